@@ -87,6 +87,11 @@ def matched(rows: DataFrame, more: DataFrame, keys: list[str], how: str = "inner
     return rows.join(other, on, how).drop(*[f"__r{i}" for i in range(len(keys))])
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """df with columns of its own, so that it can meet another that comes from the same table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def unsigned(h: Column) -> Column:
     """A key that sorts longs as unsigned numbers."""
     return h.bitwiseXOR(F.lit(-(2**63)))
