@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, jaccard, mixing, substring, toxicity
-from quillspark.llm.common import n_words, written
+from quillspark.llm.common import matched, n_words, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,8 +40,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: each document as often as the mix takes it, up to three times, or not at all."""
     sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    copies = mixing.mix(sizes).groupBy("doc_id").agg(F.first("copies").alias("copies")).where("copies > 0")
-    rows = docs.join(copies, "doc_id")
+    copies = mixing.mix(sizes).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = matched(docs, copies, ["doc_id"])
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
