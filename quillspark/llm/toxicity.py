@@ -52,12 +52,12 @@ class Transducer:
 
 
 #: Negation reaches two tokens on. Reported speech holds from its verb or quote to the end of the clause.
-NEGATION = Transducer({(s, "negation"): 2 for s in range(3)}, {2: 1, 1: 0})
+NEGATION = Transducer({(s, "negation"): 3 for s in range(4)}, {3: 2, 2: 1, 1: 0})
 REPORT = Transducer({(0, "report"): 1, (0, "quote"): 1, (1, "quote"): 0}, {})
 #: A target reaches four tokens on.
-TARGET = Transducer({(s, "target"): 4 for s in range(5)}, {4: 3, 3: 2, 2: 1, 1: 0})
+TARGET = Transducer({(s, "target"): 5 for s in range(6)}, {5: 4, 4: 3, 3: 2, 2: 1, 1: 0})
 #: A threat's verb waits three tokens for its target.
-THREAT = Transducer({**{(s, "threat"): 3 for s in range(4)}, **{(s, "target"): 4 for s in (1, 2, 3)}}, {4: 0, 3: 2, 2: 1, 1: 0})
+THREAT = Transducer({**{(s, "threat"): 3 for s in range(5)}, **{(s, "target"): 4 for s in (1, 2, 3)}}, {4: 0, 3: 2, 2: 1, 1: 0})
 GRAMMAR = (NEGATION, REPORT, TARGET, THREAT)
 AIMED = 1.25
 
