@@ -1,0 +1,28 @@
+"""SQL for DuckDB of the operators that it can express over whole tables."""
+
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+ORACLES = {
+    "op4_substring": rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS a FROM documents),
+p AS (SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) AS i FROM w),
+win AS (SELECT doc_id, i, array_to_string(a[i : i + 12], ' ') AS g FROM (SELECT doc_id, a, unnest(range(1, len(a) - 11)) AS i FROM w WHERE len(a) >= 13)),
+f AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g), hit AS (SELECT doc_id, i FROM win JOIN f USING (g) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(13)) AS k FROM hit)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM p ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(a)::BIGINT AS n_words, len(a) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op6_topk": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS a FROM embeddings WHERE {_FINITE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.a, c.a)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.a) = len(c.a) WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 10""",
+    "op8_jaccard": rf"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(a[i : i + 4], ' ') AS g FROM (SELECT doc_id, a, unnest(range(1, len(a) - 3)) AS i FROM w WHERE len(a) >= 5) UNION ALL SELECT doc_id, array_to_string(a, ' ') FROM w WHERE len(a) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (WITH RECURSIVE t(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.node WHERE t.root < e.b) SELECT node, min(root) AS root FROM t GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(r.root, w.doc_id), w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.node = w.doc_id""",
+    "op9_vectors": f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND {_FINITE} AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.98),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+r AS (WITH RECURSIVE t(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.node WHERE t.root < e.b) SELECT node, min(root) AS root FROM t GROUP BY node)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(least(r.root, vec_id), vec_id) AS component_id, vec_id = coalesce(least(r.root, vec_id), vec_id) AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN r ON r.node = vec_id""",
+}

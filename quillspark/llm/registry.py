@@ -6,6 +6,7 @@ from .bpe import op5
 from .html import op3
 from .jaccard import op8
 from .mixing import op10
+from .oracles import ORACLES
 from .sharding import op1
 from .substring import op4
 from .topk import op6
@@ -13,6 +14,6 @@ from .toxicity import op2
 from .vectors import op9
 from .warc import op7
 
-QUERIES = {"op1_sharding": op1, "op2_toxicity": op2, "op3_html": op3, "op4_substring": op4, "op5_bpe": op5, "op6_topk": op6, "op7_warc": op7, "op8_jaccard": op8, "op9_vectors": op9, "op10_mixing": op10}
+__all__ = ["ORACLES", "QUERIES"]
 
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_sharding": op1, "op2_toxicity": op2, "op3_html": op3, "op4_substring": op4, "op5_bpe": op5, "op6_topk": op6, "op7_warc": op7, "op8_jaccard": op8, "op9_vectors": op9, "op10_mixing": op10}

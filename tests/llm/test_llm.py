@@ -452,3 +452,19 @@ def test_queries_are_registered():
     from quillspark.llm import registry
 
     assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+@pytest.mark.parametrize("name", ["op4_substring", "op6_topk", "op8_jaccard", "op9_vectors"])
+def test_sql(spark, name):
+    import duckdb
+
+    from quillspark.llm import registry
+
+    folder, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = registry.QUERIES[name](spark, folder)
+    want = db.sql(registry.ORACLES[name])
+    assert sorted(want.columns) == sorted(got.columns)
+    at = [got.columns.index(c) for c in want.columns]
+    assert Counter(tuple(r[i] for i in at) for r in got.collect()) == Counter(want.fetchall())
