@@ -258,7 +258,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
 
     comp = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
     names = both.where("kind = 1").groupBy("name").agg(F.min("own").alias("sid")).join(comp, "sid", "left").select("name", F.coalesce("comp", "sid").alias("comp"))
-    out = both.where("kind = 0").select("doc", "own", "n", "name").join(names, "name", "left")
+    rows = both.where("kind = 0").select("doc", "own", "n", "name")
+    # most documents have no such set; they take no part in the join, where they would all be one key
+    out = rows.where("name is not null").join(names, "name", "left").select("doc", "own", "n", "comp")
+    out = out.union(rows.where("name is null").select("doc", "own", "n", F.lit(None).cast("long")))
     null = lambda c: F.when(c < LAST, c)
     return out.select(null(F.col("doc")).alias(key), F.col("n").alias("n_shingles"), null(F.coalesce("comp", "own")).alias("component_id"))
 
