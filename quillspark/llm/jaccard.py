@@ -67,11 +67,11 @@ class Sets:
         self.first = [None if x is None else seen.setdefault(x, i) for i, x in enumerate(self.names)]
         self.distinct = np.array([i for i, f in enumerate(self.first) if f == i], np.int64)
 
-    def run(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct hashes of the distinct sets, sorted, and in how many of these sets each is (up to 255)."""
+    def run(self, shift: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct upper bits of the distinct sets' hashes, sorted, and how often each stands in them (up to 255)."""
         keep = np.zeros(len(self.counts), bool)
         keep[self.distinct] = True
-        h, n = np.unique(self.hashes[np.repeat(keep, self.counts)], return_counts=True)
+        h, n = np.unique(self.hashes[np.repeat(keep, self.counts)] >> U(shift), return_counts=True)
         return h, np.minimum(n, 255).astype(np.uint8)
 
 
@@ -147,11 +147,15 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__key"), F.col(text).alias("__text"))
     total = rows.agg(F.sum(F.octet_length("__text")).alias("t")).first()["t"] or 0
     chunks, bits = max(1, -(-total // chunk_bytes)), bits_for(total, BUCKET_SHINGLES)
+    # Frequencies are kept of the upper bits of a hash, 64 values for each shingle of the corpus. Where two shingles
+    # share them, both count as more frequent than they are: the order of shingles stays one and the same
+    # for all sets, which is all that the prefix principle needs, and no shingle passes for unique that isn't.
+    shift = max(0, 64 - (total // 6 + 1).bit_length() - 6)
     rows = rows.withColumn("__chunk", F.pmod(F.xxhash64("__key"), F.lit(chunks)).cast("long"))
 
     def send(table: pa.Table) -> pa.Table:
-        h, n = Sets(_texts(table, "__text"), k).run()
-        edges = bucket_edges(h, bits)
+        h, n = Sets(_texts(table, "__text"), k).run(shift)
+        edges = bucket_edges(h << U(shift), bits)
         chunk = table.column("__chunk")[0].as_py()
         return _rows([(chunk, b, pack(h[x:y], n[x:y])) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x])
 
@@ -179,8 +183,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     def settle(table: pa.Table, replies: pa.Table) -> pa.Table:
         keys = table.column("__key").to_pylist()
         sets = Sets(_texts(table, "__text"), k)
-        h, _ = sets.run()
-        edges = bucket_edges(h, bits)
+        h, _ = sets.run(shift)
+        edges = bucket_edges(h << U(shift), bits)
         codes = np.zeros(len(h), np.uint8)
         for b, data in zip(replies.column("__bucket").to_pylist(), replies.column("__data"), strict=True):
             codes[edges[b] : edges[b + 1]] = np.frombuffer(data.as_py(), np.uint8)
@@ -191,7 +195,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
         out, alive = [], set()
         for i in sets.distinct:
             own = sets.hashes[sets.firsts[i] : sets.ends[i]]
-            code = codes[np.searchsorted(h, own)]
+            code = codes[np.searchsorted(h, own >> U(shift))]
             n, alone = len(own), int((code == 0).sum())
             if n - alone < need(n, least, of):
                 continue  # too few of its shingles are in any other set
