@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +33,8 @@ el los las del y es una por con para como no más pero sus al lo se su ha este e
 #: First pass: lengths in characters and shares.
 LONG, SHORT, MAX_LINKS, STOP_HIGH, STOP_LOW = 200, 70, 0.2, 0.12, 0.08
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.DOTALL)
+#: What stands in quotes is taken whole, once and for all, where they close before the tag does; else the tag ends at the next >.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?=>)|[^>]*+)>", re.DOTALL)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 MARKS = re.compile(r"[^a-z0-9]+")
 WORDS = re.compile(r"[^\W\d_]+")
@@ -53,6 +55,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     """(text, characters in links, bad place, inside article or main, heading) of each block, in page order."""
     out, text, links = [], [], 0
     stack: list[tuple[str, bool]] = []  # (tag, bad)
+    opened: Counter[str] = Counter()  # how often each tag stands in the stack
     bad = in_article = link = 0
     heading = False
     at, n = 0, len(page)
@@ -86,9 +89,10 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             if tag == "a":
                 link = 0
             # what stands open above a closed tag ends with it; a close tag that opened nothing is passed over
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
                     for name, was in stack[i:]:
+                        opened[name] -= 1
                         bad -= was
                         in_article -= name in ARTICLE
                     del stack[i:]
@@ -117,8 +121,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in ("p", "li") and stack and stack[-1][0] == tag:
-            stack_bad = stack.pop()[1]
-            bad -= stack_bad
+            opened[tag] -= 1
+            bad -= stack.pop()[1]
         heading = tag in HEADINGS or heading and tag not in BLOCK
         # a header inside an article may hold its title: there only what the class says counts
         was = off(m[3]) if tag not in ("html", "body") else False
@@ -126,6 +130,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         bad += was
         in_article += tag in ARTICLE
         stack.append((tag, was))
+        opened[tag] += 1
     close()
     return out
 
