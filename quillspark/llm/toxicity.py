@@ -24,7 +24,9 @@ from .common import written
 #: Labelled documents of each class, by the hash of their id, from which the model is fitted at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
 #: Learned entries at most; letters of a stem; likelihood ratio and enrichment that an entry needs.
-ENTRIES, STEMS, LEAST_G, LEAST_RATIO = 4000, range(3, 9), 22.0, 6.0
+ENTRIES, STEMS, LEAST_G, LEAST_RATIO = 4000, range(3, 9), 22.0, 3.0
+#: Marks a stem of words that a document has twice or more.
+TWICE = "#2"
 #: From this score a document is toxic.
 THRESHOLD = 0.3
 
@@ -86,7 +88,7 @@ class Model:
     """Learned entries (a stem, or a word with its end mark) with weights, and the logistic model."""
 
     entries: dict[str, float] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(7))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(8))
     fitted: bool = False
     scanner: object = None
 
@@ -109,15 +111,15 @@ class Model:
         return max([get(word + "$", 0.0), *[get(word[:n], 0.0) for n in STEMS if n <= len(word)]])
 
     def features(self, text: str) -> np.ndarray:
-        """Of a document: the largest and the damped sum of its clauses by kind, and 1."""
+        """Of a document: the largest of its clauses by kind, their damped sum, whether there are any, their share, and 1."""
         text, hits, scan = text.lower(), [], self.scan()
         if len(scan):
             for end, n in scan.iter(text):
                 at = end - n + 1
                 if at == 0 or not LETTER.match(text[at - 1]):
                     hits.append(at)
-        out = np.zeros(7)
-        out[6] = 1.0
+        out = np.zeros(8)
+        out[7] = 1.0
         if not hits:
             return out
         top, total, done = np.zeros(4), 0.0, -1
@@ -140,6 +142,7 @@ class Model:
             total += got.sum()
         out[:4] = np.minimum(top, 8.0)
         out[4], out[5] = np.log1p(total), float(total > 0)
+        out[6] = np.log1p(100 * total / (text.count(" ") + 50))
         return out
 
     def score(self, text: str | None) -> float:
@@ -169,28 +172,21 @@ def entries(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> d
         cells = ((a, row * n_toxic / n), (b, row * n_clean / n), (n_toxic - a, (n - row) * n_toxic / n), (n_clean - b, (n - row) * n_clean / n))
         return 2 * sum(o * np.log(o / e) for o, e in cells if o > 0 and e > 0)
 
-    out = {}
-    for f, (a, b) in counts.items():
-        ratio = (a + 0.5) / (n_toxic + 1) / ((b + 0.5) / (n_clean + 1))
-        if ratio >= LEAST_RATIO and g(a, b) >= LEAST_G:
-            out[f] = float(np.log(ratio))
-    # of a stem and a longer one with nearly all its toxic documents the longer stays; of a stem with many
-    # endings, the stem
-    longest = {}
-    for f in out:
-        for n in STEMS:
-            if (stem := f[:n]) != f and stem in out and n < len(f):
-                longest[stem] = max(longest.get(stem, 0), counts[f][0])
-    out = {f: w for f, w in out.items() if longest.get(f, 0) < 0.95 * counts[f][0]}
-    for f in sorted(out, key=len, reverse=True):
-        if any(f[:n] in out and out[f[:n]] >= out[f] - 0.5 for n in STEMS if n < len(f)):
-            del out[f]
-    # a stem must hold without the clearer longer ones that it begins
-    for f in sorted(out, key=len, reverse=True):
-        inner = [x for x in out if x != f and x.startswith(f)]
-        a, b = (counts[f][i] - sum(counts[x][i] for x in inner) for i in (0, 1))
-        if inner and (a < 1 or (a + 0.5) / (n_toxic + 1) < LEAST_RATIO * (max(b, 0) + 0.5) / (n_clean + 1) or g(a, max(b, 0)) < LEAST_G):
-            del out[f]
+    # a stem counts as it is or by the documents that have it twice, whichever says more
+    out, says = {}, {}
+    for name, (a, b) in counts.items():
+        f, ratio = name.removesuffix(TWICE), (a + 0.5) / (n_toxic + 1) / ((b + 0.5) / (n_clean + 1))
+        if ratio >= LEAST_RATIO and (now := g(a, b)) >= max(LEAST_G, says.get(f, 0.0)):
+            out[f], says[f] = float(np.log(ratio)), now
+    # of entries that begin one another the one with the most evidence stays, the longest if it is equal
+    kept: dict[str, float] = {}
+    begun: set[str] = set()
+    for f in sorted(out, key=lambda f: (-says[f], -len(f), f)):
+        begins = {f[:n] for n in STEMS if n <= len(f)}
+        if f not in begun and kept.keys().isdisjoint(begins):
+            kept[f] = out[f]
+            begun |= begins
+    out = kept
     top = sorted(out, key=lambda f: (-out[f], f))[:ENTRIES]
     return {f: out[f] for f in top}
 
@@ -202,12 +198,13 @@ def sketch(text: str) -> int:
 
 
 def stems(text: str) -> set[str]:
-    out = set()
-    for w in {w.lower() for w in re.findall(r"[^\W\d_]+", text)}:
+    """A text's words with their end marks and the stems of its words; with a sign those that it has twice or more."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(w.lower() for w in re.findall(r"[^\W\d_]+", text)).items():
         if len(w) >= 3:
-            out.add(w[:24] + "$" if len(w) <= 24 else w[:8])
-            out.update(w[:n] for n in STEMS if n <= len(w))
-    return out
+            for f in {w[:24] + "$" if len(w) <= 24 else w[:8], *[w[:n] for n in STEMS if n <= len(w)]}:
+                out[f] += n
+    return {*out, *[f + TWICE for f, n in out.items() if n > 1]}
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:

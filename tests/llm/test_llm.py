@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import re
 from array import array
 from collections import Counter
@@ -152,6 +153,22 @@ def test_held_out_labels_dont_count(spark):
     assert a.entries == b.entries and np.allclose(a.weights, b.weights)
 
 
+def test_inflected_stems_of_chance():
+    """A stem that clean texts have by chance, once, and toxic ones twice with many endings, is learned as that stem."""
+    rng, ends = random.Random(9), ["ta", "no", "li", "re", "mu", "so", "ki", "pa"]
+    texts = {}
+    for i in range(600):
+        words = ["".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+        for _ in range(3 if i % 6 == 0 else int(i % 6 == 1)):
+            words[rng.randrange(60)] = "zorgo" + rng.choice(ends)
+        texts[i] = " ".join(words)
+    counts: dict[str, list[int]] = {}
+    for i, t in texts.items():
+        for f in toxicity.stems(t):
+            counts.setdefault(f, [0, 0])[i % 6 > 0] += 1
+    assert list(toxicity.entries({f: tuple(c) for f, c in counts.items()}, 100, 500)) == ["zorgo"]
+
+
 def test_grammar():
     word = ("insult", 2.0)
     say = lambda *k: toxicity.compose([word if x == "insult" else (x, 0.0) for x in k]).tolist()
@@ -183,6 +200,11 @@ def test_html(spark):
     assert html.extract_pages(rows.limit(0)).count() == 0
     plain = "<body><div><a href=1>The menu of it</a> <a href=2>and of that</a></div><p>" + "It was the best of the times and it was the worst of them. " * 5 + "</p><p>Then.</p><div><a>next of the</a></div></body>"
     assert html.extract(plain)[-1] == "Then." and len(html.extract(plain)) == 2
+    # quotes of a tag that never ends, quoted >, a quote that never ends: each once, in linear time
+    began = time.time()
+    assert html.extract("<p>a <a " + '""' * 100_000) == html.extract("<p>a <a " + '""' * 100_000) and html.extract("<div>" * 30_000 + "</x>" * 30_000) == []
+    assert time.time() - began < 20
+    assert html.extract('<article><p>It is <i title="x>y">one</i> of <b title="z>two</b></p></article>') == ["It is one of two"]
 
 
 # 4 --------------------------------------------------------------------------------------------------------------
