@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 #: Fixed values of byte-level vocabularies: the pattern that cuts a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words up to this many characters are remembered, so many and as many older ones; others are encoded anew.
-REMEMBER_CHARS, REMEMBER = 48, 200_000
+REMEMBER_CHARS, REMEMBER = 48, 100_000
 
 
 def default_vocabulary() -> str:
@@ -166,6 +168,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, k
     that of one text and of the remembered pieces. An empty table gives no rows. The columns made replace
     kept ones of their names.
     """
+    bounded_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     made = [("n_tokens", "bigint"), *([("ids", "binary"), ("decoded", "string")] if full else [("ids_sha256", "string"), ("decoded_sha256", "string")])]
     names = [c for c in keep if c not in {n for n, _ in made}]

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Maximal runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch, and what Spark says where nobody has set them.
+BATCH_BYTES, DEFAULT_BATCH = 4 << 20, "67108864b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, unless the session has a bound of its own.
+
+    A batch stands several times over in a task, in the JVM and in Python, and long texts make the
+    default bound of 64 MB a large part of an executor.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

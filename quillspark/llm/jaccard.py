@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, fresh, matched, written
+from .common import bounded_batches, components, fresh, matched, written
 from .fingerprints import SECOND, WORD, U, Words, bits_for, bucket_edges, mix, pack, slices, unpack, window_hashes
 from .substring import REPLY, _rows, _texts
 
@@ -144,6 +144,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     hashes are. Empty sets link with nothing; a null key counts as the largest, and a component of
     null keys only has a null id. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__key"), F.col(text).alias("__text"))
     total = rows.agg(F.sum(F.octet_length("__text")).alias("t")).first()["t"] or 0
     chunks, bits = max(1, -(-total // chunk_bytes)), bits_for(total, BUCKET_SHINGLES)

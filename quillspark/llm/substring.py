@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import bounded_batches, written
 from .fingerprints import Words, bits_for, bucket_edges, pack, slices, unpack, window_hashes
 
 WINDOW = 13
@@ -232,6 +232,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WIN
     largest. Two windows are taken for equal if 80 bits of two independent hashes agree. An empty table gives no
     rows. The columns made replace columns of their names.
     """
+    bounded_batches(docs.sparkSession)
     made = [("n_words", "bigint"), ("n_removed", "bigint"), ("kept_text", "string") if full else ("kept_sha256", "string")]
     keep = [c for c in (docs.columns if full else [key]) if c not in dict(made)]
     rows = docs.select(*dict.fromkeys([*keep, key, text])).withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(LAST)))

@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import bounded_batches, written
 
 #: Labelled documents of each class, by the hash of their id, from which the model is fitted at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
 #: Learned entries at most; letters of a stem; likelihood ratio and enrichment that an entry needs.
 ENTRIES, STEMS, LEAST_G, LEAST_RATIO = 4000, range(3, 9), 22.0, 3.0
+#: Counts that a task holds before it passes them on to be summed.
+HELD = 50_000
 #: Marks a stem of words that a document has twice or more.
 TWICE = "#2"
 #: From this score a document is toxic.
@@ -213,6 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Of a key with several labels the largest counts; null labels and keys are passed over. Without documents
     of both classes the model says 0 to everything.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.groupBy(key).agg(F.max(toxic).cast("int").alias("__y")).where(F.col(key).isNotNull() & F.col("__y").isin(0, 1) & ~is_held_out(key))
     order = F.xxhash64(key)
     pick = known.where("__y = 1").orderBy(order, key).limit(SAMPLE_TOXIC).union(known.where("__y = 0").orderBy(order, key).limit(SAMPLE_CLEAN))
@@ -228,13 +231,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def count(batches):
         n: dict[int, Counter] = {0: Counter(), 1: Counter()}
+
+        def given(y):
+            out = pa.RecordBatch.from_pydict({"f": pa.array(n[y].keys(), pa.string()), "y": pa.array([y] * len(n[y]), pa.int32()), "n": pa.array(n[y].values(), pa.int64())})
+            n[y].clear()
+            return out
+
         for b in batches:
             for y, t in zip(b.column("__y").to_pylist(), b.column("__t"), strict=True):
                 n[y].update(stems(t.as_py()))
                 n[y][""] += 1
-        for y, c in n.items():
-            for part in [list(c.items())[i : i + 20_000] for i in range(0, len(c), 20_000)]:
-                yield pa.RecordBatch.from_pydict({"f": [x[0] for x in part], "y": pa.array([y] * len(part), pa.int32()), "n": pa.array([x[1] for x in part], pa.int64())})
+                if len(n[y]) >= HELD:
+                    yield given(y)
+        yield from map(given, n)
 
     counts = sample.select("__y", "__t").mapInArrow(count, "f string, y int, n bigint")
     sums = counts.groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
@@ -261,6 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with double score and int predicted. A null text is scored as an empty one. The two replace columns of their names."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
