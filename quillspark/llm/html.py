@@ -161,15 +161,17 @@ def extract(page: str | None) -> list[str]:
         labels = [x if b[3] else False for x, b in zip(labels, found, strict=True)]
     n = len(found)
     before, after = [None] * n, [None] * n
+    # what stands in a bad place inside the article says nothing about the text around it
+    speaks = [x is not None and not (b[2] and b[3]) for x, b in zip(labels, found, strict=True)]
     last = None
     for i in range(n):
         before[i] = last
-        if labels[i] is not None:
+        if speaks[i]:
             last = i
     last = None
     for i in range(n - 1, -1, -1):
         after[i] = last
-        if labels[i] is not None:
+        if speaks[i]:
             last = i
     out = []
     for i, b in enumerate(found):

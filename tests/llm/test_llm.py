@@ -207,6 +207,16 @@ def test_html(spark):
     assert html.extract('<article><p>It is <i title="x>y">one</i> of <b title="z>two</b></p></article>') == ["It is one of two"]
 
 
+PROSE = "It was the best of the times and it was the worst of them, as all of us had been told by the ones who were there. " * 3
+
+
+def test_html_bad_places_are_no_neighbours():
+    page = f'<article><h1>T</h1><div class="ad">Buy it now</div><p>{PROSE}</p><div class="ad">Buy more</div><p>The end.</p><section class=comments><p>{PROSE}</p></section></article>'
+    assert html.extract(page) == ["T", PROSE.strip(), "The end."]
+    short = f"<nav>Menu</nav><main><p>One.</p><p>Two.</p><section class=comments><p>{PROSE}</p></section></main>"
+    assert html.extract(short) == ["One.", "Two."]
+
+
 # 4 --------------------------------------------------------------------------------------------------------------
 
 
