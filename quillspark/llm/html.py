@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass decides a block by where it stands (menus,
 footers, forms, and what its class says), its length, its share of link characters and of stop words; short blocks
-stay open. In the second pass an open block takes the label of the nearest decided neighbours.
+and long prose with many links stay open. What a class says doesn't count where it stands on the page's main
+text. In the second pass an open block takes the label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark what isn't the article; a word counts whole, between marks.
 BAD_WORDS = frozenset("ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer form gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets complementary contentinfo".split())
+#: Of these, words of what may be long and well written and yet isn't the article.
+FOREIGN = frozenset("ad ads advert advertisement advertising adsense comment comments commentlist consent cookie cookies copyright disclaimer disqus gdpr newsletter promoted related replies reply respond sponsor sponsored".split())
+#: Words that make a name with a bad word one of a state (has-sidebar, comments-open, tag-social), not of what is inside.
+STATE = frozenset("category closed disabled enabled format has hide is layout left no not off on open right show status tag type with without".split())
 #: The article's own header may hold its title.
 ARTICLE = frozenset("article main".split())
 #: Frequent function words of the languages of the corpus: English, German, French, Spanish.
@@ -40,21 +45,93 @@ MARKS = re.compile(r"[^a-z0-9]+")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
-def off(attrs: str) -> bool:
-    """Whether a tag's class, id, role or style says that it holds no article text."""
+def off(attrs: str, article: bool = False) -> str:
+    """What a tag's class, id, role or style says: "hidden", that it holds no article text; "strong" or "weak", that it may hold none; or nothing.
+
+    A bad word is strong if what it names may pass for article text by its words. A name that is only partly
+    of bad words, or that is of a state, says nothing of an article or main.
+    """
+    found = ""
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return "hidden"
         if name in ("class", "id", "role") and not BAD_WORDS.isdisjoint(MARKS.split(value)):
-            return True
-    return False
+            for token in value.split():
+                words = {w for w in MARKS.split(token) if w}
+                if words.isdisjoint(BAD_WORDS):
+                    continue
+                if not words.isdisjoint(FOREIGN) and words.isdisjoint(STATE):
+                    found = "strong"
+                elif not article or words <= BAD_WORDS:
+                    found = found or "weak"
+    return found
+
+
+def lifted(marks: list[list], found: list[tuple[str, int, bool, int, bool, int]]) -> list[bool]:
+    """Of each mark (the mark around it or -1, strong or weak, whether an article or main opens in it) whether it counts no more, as it stands on the page's main text.
+
+    found has of each block text, link characters, bad place by tag, inside article or main, heading, and
+    its innermost mark or -1. Weak marks go if they hold most of the long text with many stop words, or
+    the article where no other stands free; strong ones only if they hold both.
+    """
+    n = len(marks)
+    up = [m[0] for m in marks]
+    holds = [m[2] for m in marks]
+    strong = [m[1] == "strong" for m in marks]
+    under = strong[:]  # whether the mark or one around it is strong
+    for i in range(n):
+        if up[i] >= 0:
+            under[i] |= under[up[i]]
+    every, plain = [0] * n, [0] * n  # long text in each mark, and such without strong marks
+    total = total_plain = clean = 0
+    for text, links, bad, article, heading, mark in found:
+        if bad:
+            continue
+        long = len(text) if first_pass((text, links, False, article, heading)) else 0
+        total += long
+        if mark < 0:
+            clean += long
+        else:
+            every[mark] += long
+        if mark < 0 or not under[mark]:
+            total_plain += long
+            if mark >= 0:
+                plain[mark] += long
+    for i in range(n - 1, -1, -1):
+        if up[i] >= 0:
+            every[up[i]] += every[i]
+            if not under[i]:
+                plain[up[i]] += plain[i]
+            holds[up[i]] |= holds[i]
+
+    gone = [False] * n
+
+    def free() -> bool:
+        """Whether text of an article or main stands in no mark that counts."""
+        counts = [False] * n
+        for i in range(n):
+            counts[i] = not gone[i] or up[i] >= 0 and counts[up[i]]
+        return any(b[3] and not b[2] and (b[5] < 0 or not counts[b[5]]) for b in found)
+
+    lone = not free()
+    for i in range(n):
+        if not strong[i]:
+            most = 2 * plain[i] > total_plain
+            gone[i] = most or lone and holds[i] and 4 * plain[i] >= clean
+    if any(strong) and not free():
+        for i in range(n):
+            if strong[i] and holds[i]:
+                gone[i] = 2 * every[i] > total
+    return gone
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     """(text, characters in links, bad place, inside article or main, heading) of each block, in page order."""
     out, text, links = [], [], 0
-    stack: list[tuple[str, bool]] = []  # (tag, bad)
+    stack: list[tuple[str, bool, int]] = []  # (tag, bad, the mark that it made or -1)
+    marks: list[list] = []  # [the mark around it or -1, strong or weak, whether an article or main opens in it]
+    mark = -1
     opened: Counter[str] = Counter()  # how often each tag stands in the stack
     bad = in_article = link = 0
     heading = False
@@ -65,7 +142,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                out.append((whole, links, bad > 0, in_article > 0, heading))
+                out.append((whole, links, bad > 0, in_article > 0, heading, mark))
             text, links = [], 0
 
     while at < n:
@@ -91,10 +168,12 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             # what stands open above a closed tag ends with it; a close tag that opened nothing is passed over
             for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    for name, was in stack[i:]:
+                    for name, was, made in reversed(stack[i:]):
                         opened[name] -= 1
                         bad -= was
                         in_article -= name in ARTICLE
+                        if made >= 0:
+                            mark = marks[made][0]
                     del stack[i:]
                     break
             if tag in HEADINGS:
@@ -122,29 +201,46 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             continue
         if tag in ("p", "li") and stack and stack[-1][0] == tag:
             opened[tag] -= 1
-            bad -= stack.pop()[1]
+            _, was, made = stack.pop()
+            bad -= was
+            if made >= 0:
+                mark = marks[made][0]
         heading = tag in HEADINGS or heading and tag not in BLOCK
         # a header inside an article may hold its title: there only what the class says counts
-        was = off(m[3]) if tag not in ("html", "body") else False
-        was = was or tag in BAD and not (tag == "header" and in_article)
+        says = off(m[3], tag in ARTICLE) if tag not in ("html", "body") else ""
+        was = says == "hidden" or tag in BAD and not (tag == "header" and in_article)
+        made = -1
+        if says and not was:
+            marks.append([mark, says, False])
+            made = mark = len(marks) - 1
         bad += was
+        if tag in ARTICLE and not bad and mark >= 0:
+            marks[mark][2] = True
         in_article += tag in ARTICLE
-        stack.append((tag, was))
+        stack.append((tag, was, made))
         opened[tag] += 1
     close()
-    return out
+    counts = []  # whether a mark, or one around it, counts
+    for (around, _, _), gone in zip(marks, lifted(marks, out) if marks else (), strict=True):
+        counts.append(not gone or around >= 0 and counts[around])
+    return [(*b[:2], b[2] or b[5] >= 0 and counts[b[5]], *b[3:5]) for b in out]
 
 
 def first_pass(block: tuple[str, int, bool, bool, bool]) -> bool | None:
     """True: article text; False: not; None: open."""
-    text, links, bad, _, _ = block
+    text, links, bad, article, heading = block
     if bad:
         return False
     n = len(text)
-    if links > MAX_LINKS * n and links > 0:
+    linked = links > MAX_LINKS * n and links > 0
+    if linked and article and heading:
+        return None
+    if linked and n < LONG:
         return False
     words = WORDS.findall(text.lower())
     share = sum(w in STOP for w in words) / len(words) if words else 0.0
+    if linked:  # prose with many links stays open
+        return None if share >= STOP_HIGH else False
     if n >= LONG:
         return share >= STOP_LOW or None
     if n >= SHORT:

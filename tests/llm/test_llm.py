@@ -217,6 +217,24 @@ def test_html_bad_places_are_no_neighbours():
     assert html.extract(short) == ["One.", "Two."]
 
 
+def test_html_bad_words_on_the_main_text():
+    p, said = PROSE.strip(), f"<section class=comments><article class=comment><p>{PROSE * 3}</p></article></section>"
+    for page in (
+        f'<div class="content has-sidebar"><p>{p}</p></div><div class="sidebar">Top of the week</div>',
+        f'<div class="comments-open"><p>{p}</p></div>',
+        f'<article class="post tag-social"><p>{p}</p>{said}</article>',
+        f'<article class="post tag-social"><p>{p}</p></article>{said}',
+        f'<div class="content has-sidebar"><article><p>{p}</p></article></div>{said}',
+        f'<main class="widget"><p>{p}</p><div class="related"><p>{p} {p}</p></div></main>',
+        f'<main><article class="ad"><p>{p} {p}</p></article><article><p>{p}</p></article></main>',
+    ):
+        assert html.extract(page) == [p], page
+    assert html.extract(f"<article class=tag-social><p>Short.</p>{said}</article>") == ["Short."]
+    linked = f'{p[:200]} <a href="/">{p[:150]}</a>'
+    page = f'<article><h1><a href="/">The title</a></h1><p>{p}</p><p>{linked}</p><p>{p}</p><ul><li><a href=1>Read on</a></li></ul></article>'
+    assert html.extract(page) == ["The title", p, f"{p[:200].strip()} {p[:150].strip()}", p]
+
+
 # 4 --------------------------------------------------------------------------------------------------------------
 
 
