@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import matched, scratch, written
 
 #: Fixed values of the WARC format (ISO 28500).
 VERSION = b"WARC/1.1"
@@ -34,8 +34,9 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id, payload_digest: str) -> str:
+    """The id of a page's record; pages of one page_id with different payloads have different ones."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{payload_digest}')}>"
 
 
 def one_line(value) -> str:
@@ -54,13 +55,14 @@ def record(kind: str, headers: list[tuple[str, object]], block: bytes) -> bytes:
 def page_record(page_id, url, payload: bytes, refers_to, refers_url=None) -> bytes:
     """A page as a response, or as a revisit of the page refers_to, which stands without its payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    full = digest(payload)
     headers = [
-        ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", EPOCH), ("WARC-Target-URI", url or ""),
-        ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Page-ID", page_id),
+        ("WARC-Record-ID", record_id(page_id, full)), ("WARC-Date", EPOCH), ("WARC-Target-URI", url or ""),
+        ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{full}"), ("X-Page-ID", page_id),
     ]
     if refers_to is None:
         return record("response", headers, http + payload)
-    more = [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-ID", refers_to)]
+    more = [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(refers_to, full)), ("X-Refers-To-Page-ID", refers_to)]
     return record("revisit", headers + more, http)
 
 
@@ -121,8 +123,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Writes a WARC record for each page (page_id, url, html); returns the archives (path, records).
 
     Of payloads of at least `least` bytes that are equal, the one with the smallest page_id becomes the
-    response and the others its revisits; a repeated page_id can only be a response once, as its copies
-    refer to the page_id itself. A null html is an empty payload, a null url an empty one; a null
+    response and the others its revisits; where that page_id repeats with the payload, each of its rows is a
+    response, as a revisit can't refer to its own page_id. A null html is an empty payload, a null url an empty one; a null
     page_id is written as none and counts as the largest. Each task writes one archive under a name of
     its own attempt, so that a task run twice spoils nothing; only archives that the returned table
     names count. Tables without rows give no archives.
@@ -131,11 +133,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     html = F.col("html")
     key = F.coalesce("page_id", F.lit(2**63 - 1))
     # narrow rows decide the revisits; payloads aren't dealt by digest, so a common one makes no large task
-    by = pages.select("page_id", F.sha1(F.encode(html, "UTF-8")).alias("d"), F.octet_length(html).alias("n"))
-    by = by.where(F.col("n") >= least).select("page_id", F.unhex("d").alias("d"))
+    pages = pages.withColumn("d", F.unhex(F.sha1(F.encode(html, "UTF-8"))))
+    by = pages.where(F.octet_length(html) >= least).select("page_id", "d")
     firsts = by.groupBy("d").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    again = by.join(firsts, "d").where(key > F.col("first")).select("page_id", F.col("first").alias("refers_to")).distinct()
-    rows = pages.join(again, "page_id", "left")
+    again = by.join(firsts, "d").where(key > F.col("first")).select("page_id", "d", F.col("first").alias("refers_to")).distinct()
+    rows = matched(pages, again, ["page_id", "d"], "left")
     fs, root = opened(folder)
     fs.create_dir(root, recursive=True)
 

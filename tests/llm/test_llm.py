@@ -352,6 +352,17 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0), scratch(spark, "warc-test"))).count() == 0
 
 
+def test_warc_repeated_and_null_page_ids(spark):
+    pages = [(5, "A"), (5, "B"), (1, "A"), (2, "B"), (5, "C"), (7, "D"), (7, "D"), (8, "D"), (None, "A"), (None, "A"), (None, "E"), (None, "E"), (None, "F")]
+    df = spark.createDataFrame([(p, f"u{i}", h) for i, (p, h) in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    files = warc.write_archives(df, scratch(spark, "warc-test"))
+    rows = warc.read_archives(files).collect()
+    got = {r.url: (r.page_id, r.payload and bytes(r.payload).decode(), r.refers_to) for r in rows}
+    refers = [1, 2, None, None, None, None, None, 7, 1, 1, None, None, None]
+    assert len(rows) == len(pages) and got == {f"u{i}": (p, None if to else h, to) for i, ((p, h), to) in enumerate(zip(pages, refers, strict=True))}
+    assert warc.record_id(5, warc.digest(b"A")) != warc.record_id(5, warc.digest(b"B"))
+
+
 def test_warc_damage():
     import io
 
