@@ -152,7 +152,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     # share them, both count as more frequent than they are: the order of shingles stays one and the same
     # for all sets, which is all that the prefix principle needs, and no shingle passes for unique that isn't.
     shift = max(0, 64 - (total // 6 + 1).bit_length() - 6)
-    rows = rows.withColumn("__chunk", F.pmod(F.xxhash64("__key"), F.lit(chunks)).cast("long"))
+    # by the text as well, so that the rows of one key, or without any, aren't one chunk
+    rows = rows.withColumn("__chunk", F.pmod(F.xxhash64("__key", "__text"), F.lit(chunks)).cast("long"))
 
     def send(table: pa.Table) -> pa.Table:
         h, n = Sets(_texts(table, "__text"), k).run(shift)
@@ -211,9 +212,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     replies = rows.groupBy("__chunk").applyInArrow(send, REPLY).groupBy("__bucket").applyInArrow(count, REPLY)
     both = written(rows.groupBy("__chunk").cogroup(replies.groupBy("__chunk")).applyInArrow(settle, found), "jaccard-sets")
 
-    # sets that chunks have in common become one, named by the smallest document
-    sets = both.where("kind = 1").groupBy("name").agg(F.min("own").alias("sid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("body").alias("body"))
-    sets = written(sets, "jaccard-distinct")
+    # sets that chunks have in common become one; each gets a number of its own, as keys may repeat or be null
+    sets = both.where("kind = 1").groupBy("name").agg(F.min("own").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("body").alias("body"))
+    sets = written(sets.withColumn("sid", F.monotonically_increasing_id()), "jaccard-distinct")
     posts = sets.select("sid", F.explode("prefix").alias("token"))
     least_of = posts.groupBy("token").agg(F.min("sid").alias("b"), F.max("sid").alias("c")).where("b < c").drop("c")
     stars = posts.join(least_of, "token").where("sid <> b").select(F.col("sid").alias("a"), "b")
@@ -262,7 +263,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
         edges = edges.union(written(more, "jaccard-links"))
 
     comp = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-    names = both.where("kind = 1").groupBy("name").agg(F.min("own").alias("sid")).join(comp, "sid", "left").select("name", F.coalesce("comp", "sid").alias("comp"))
+    # only here the smallest document names a component
+    linked = written(sets.select("name", "sid", "least").join(comp, "sid", "left"), "jaccard-named")
+    best = linked.where("comp is not null").groupBy("comp").agg(F.min("least").alias("best"))
+    names = linked.join(fresh(best), "comp", "left").select("name", F.coalesce("best", "least").alias("comp"))
     rows = both.where("kind = 0").select("doc", "own", "n", "name")
     # most documents have no such set; they take no part in the join, where they would all be one key
     out = rows.where("name is not null").join(names, "name", "left").select("doc", "own", "n", "comp")

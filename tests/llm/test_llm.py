@@ -400,6 +400,15 @@ def test_jaccard_null_key(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.similar(rows).collect()) == [("4", "4"), ("None", "4"), ("None", "None")]
 
 
+@pytest.mark.parametrize("kw", [{}, {"chunk_bytes": 300, "side": 2}])
+def test_jaccard_shared_keys_dont_link(spark, kw):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    given = [(1, a), (None, a + " more"), (2, b), (None, b + " more"), (None, c), (None, c + " more"), (7, d), (7, a + " other"), (7, b + " other"), (7, d + " more"), (None, "")]
+    got = jaccard.similar(spark.createDataFrame(given, "doc_id long, text string"), **kw).collect()
+    want = [(1, 56, 1), (None, 57, 1), (2, 56, 2), (None, 57, 2), (None, 56, None), (None, 57, None), (7, 56, 7), (7, 57, 1), (7, 57, 2), (7, 57, 7), (None, 0, None)]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_bitmaps_bound_overlaps():
     rng = np.random.default_rng(8)
     pool = rng.integers(0, 1 << 62, 900).astype(np.uint64)
