@@ -24,10 +24,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (5-word shingles, similarity of 0.75 or more) the smallest doc_id stays.
 
-    Documents without a doc_id stay.
+    One row of each group stays, also where doc_ids repeat or are null: a null one counts as the largest, and
+    of rows with the smallest one that with the least hash stays. Texts without words are in no group.
     """
-    gone = jaccard.similar(docs).where("component_id < doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row"), F.xxhash64(*COLUMNS).alias("__hash")), "pipeline-rows")
+    found = jaccard.similar(rows, key="__row").select(F.col("__row").alias("row"), F.col("component_id").alias("group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__hash").alias("hash"), F.col("__row").alias("row"))
+    found = written(rows.select("__row", order.alias("order")).join(found, F.col("__row") == F.col("row")).select("group", "row", "order"), "pipeline-groups")
+    best = found.groupBy("group").agg(F.min("order")["row"].alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = matched(found.select("group", "row"), best, ["group"]).where("row <> best").select(F.col("row").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +44,19 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: each document as often as the mix takes it, up to three times, or not at all."""
-    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    copies = mixing.mix(sizes).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    rows = matched(docs, copies, ["doc_id"])
+    """Sources at their target weights: each document as often as the mix takes it, up to three times, or not at all.
+
+    Rows of one doc_id are told apart by a hash of the whole row; equal rows are given as often as the mix
+    takes them all together.
+    """
+    row = F.xxhash64(*COLUMNS).alias("__hash")
+    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row)
+    taken = mixing.mix(sizes).groupBy("doc_id", "__hash").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0")
+    taken = written(taken, "pipeline-taken")
+    docs, keys = docs.select(*COLUMNS, row), ["doc_id", "__hash"]
+    rows = matched(docs, taken.where("n = 1").drop("n"), keys)
+    if taken.where("n > 1").limit(1).count():
+        rows = rows.unionByName(matched(docs, taken.where("n > 1").drop("n"), keys).dropDuplicates(keys))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

@@ -518,6 +518,25 @@ def test_pipeline(spark, docs, tmp_path):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == mixed
 
 
+def test_pipeline_repeated_and_null_doc_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    given = [(5, a), (5, a), (9, a + " more"), (None, b), (None, b), (None, b + " more"), (None, c), (3, d), (None, d), (5, d + " more")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given], DOCS).repartition(3)
+    kept = corpus_pipeline.near_copies(spark, df, "").collect()
+    assert Counter(r.doc_id for r in kept) == Counter([5, None, None, 3])
+    assert {r.text[0]: r.doc_id for r in kept} == {"a": 5, "b": None, "c": None, "d": 3}
+    # one source is at its target as it stands: each row of it once
+    more = [(i, f"w{i} " * (3 + i % 4)) for i in range(20)] + [(1, "x y z"), (1, "x y z"), (None, "x y"), (None, "x y z"), (None, "x y z")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in more], DOCS).repartition(3)
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.mixed(spark, df, "").collect()) == Counter(more)
+    # two sources: words taken are those due, not those of the largest copies of any row of an id
+    rows = [(None if i % 2 else 1, " ".join(f"v{i}_{j}" for j in range(10)), "en", "pq"[i % 4 // 2], 9) for i in range(400)]
+    out = corpus_pipeline.mixed(spark, spark.createDataFrame(rows, DOCS).repartition(3), "").collect()
+    assert abs(len(out) - 400) <= 4
+
+
 def test_queries_are_registered():
     from quillspark.llm import registry
 
