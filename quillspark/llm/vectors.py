@@ -88,7 +88,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
     rows = vectors.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("v"))
     good = usable(F.col("v")) & F.col("l").isNotNull() & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("h", F.xxhash64("v"))
-    distinct = written(rows.where("good").groupBy("l", "h", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("d", F.size("v")), "vectors")
+    # each distinct vector of a label gets a number of its own, as keys may repeat or be null
+    distinct = rows.where("good").groupBy("l", "h", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("d", F.size("v"))
+    distinct = written(distinct.withColumn("s", F.monotonically_increasing_id()), "vectors")
     lengths = {r["d"]: r["c"] for r in distinct.groupBy("d").agg(F.count(F.lit(1)).alias("c")).orderBy("d").limit(64).collect()}
     labels = max(1, distinct.select("l").distinct().count())
     books = {}
@@ -115,22 +117,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
                 else:  # beyond 64 lengths: one list for each, without codes
                     own, codes, error, to = np.zeros(part.num_rows, int), np.zeros((part.num_rows, 0), np.uint8), np.full(part.num_rows, 2.0), [[0]] * part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in ("l", "d", "id", "n", "v")] + [pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64()), pa.array([list(map(int, t)) for t in to], pa.list_(pa.int32()))],
-                    names=["l", "d", "id", "n", "v", "cell", "codes", "error", "to"],
+                    [part.column(c) for c in ("l", "d", "s", "n", "v")] + [pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64()), pa.array([list(map(int, t)) for t in to], pa.list_(pa.int32()))],
+                    names=["l", "d", "s", "n", "v", "cell", "codes", "error", "to"],
                 )
 
-    placed = distinct.select("l", "d", "id", "n", "v").mapInArrow(place, "l string, d int, id bigint, n bigint, v array<double>, cell int, codes binary, error double, to array<int>")
+    placed = distinct.select("l", "d", "s", "n", "v").mapInArrow(place, "l string, d int, s bigint, n bigint, v array<double>, cell int, codes binary, error double, to array<int>")
     placed = written(placed, "vectors-placed")
     series = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     cell = ["l", "d", "cell"]
-    asks = placed.select("l", "d", "id", F.explode("to").alias("cell"))
+    asks = placed.select("l", "d", "s", F.explode("to").alias("cell"))
     size = placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     asked = asks.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / probes).alias("turns"))
     size = written(matched(size, asked, cell), "vectors-sizes")
-    left = matched(placed.select("l", "d", "id", "v", F.explode("to").alias("cell")), size, cell)
-    left = left.select(*[F.col(c).alias(c) for c in cell], F.col("id").alias("id"), F.col("v").alias("v"), F.pmod(F.xxhash64("id"), F.col("turns")).alias("turn"), series("blocks").alias("block"))
-    right = matched(placed.select(*cell, "id", "n", "v", "codes", "error"), size, cell)
-    right = right.select(*cell, "id", "n", "v", "codes", "error", series("turns").alias("turn"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    left = matched(placed.select("l", "d", "s", "v", F.explode("to").alias("cell")), size, cell)
+    left = left.select(*[F.col(c).alias(c) for c in cell], F.col("s").alias("s"), F.col("v").alias("v"), F.pmod(F.xxhash64("s"), F.col("turns")).alias("turn"), series("blocks").alias("block"))
+    right = matched(placed.select(*cell, "s", "n", "v", "codes", "error"), size, cell)
+    right = right.select(*cell, "s", "n", "v", "codes", "error", series("turns").alias("turn"), F.pmod(F.xxhash64("s"), F.col("blocks")).alias("block"))
 
     def tile(asking: pa.Table, held: pa.Table) -> pa.Table:
         out: dict[int, int] = {}
@@ -145,7 +147,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
         if asking.num_rows and held.num_rows:
             d, at = held.column("d")[0].as_py(), held.column("cell")[0].as_py()
             x, y = stacked(asking.column("v")), stacked(held.column("v"))
-            xs, ys, n = (t.column(c).to_numpy() for t, c in ((asking, "id"), (held, "id"), (held, "n")))
+            xs, ys, n = (t.column(c).to_numpy() for t, c in ((asking, "s"), (held, "s"), (held, "n")))
             if d in books:
                 codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(len(y), -1)
                 error = held.column("error").to_numpy()
@@ -164,9 +166,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
 
     keys = [*cell, "turn", "block"]
     found = written(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, "a bigint, b bigint, n bigint"), "vectors-links")
-    comp = components(found.select("a", "b")).select(F.col("node").alias("id"), "component")
-    links = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
-    per = distinct.select("l", "h", "v", "id", "n").join(links, "id", "left").join(comp, "id", "left")
+    comp = components(found.select("a", "b")).select(F.col("node").alias("s"), F.col("component").alias("c"))
+    links = found.groupBy(F.col("a").alias("s")).agg(F.sum("n").alias("links"))
+    # only here the smallest key names a component
+    narrow = written(distinct.select("s", "id").join(comp, "s"), "vectors-named")
+    least = narrow.groupBy("c").agg(F.min("id").alias("component"))
+    comp = narrow.select("s", "c").join(least, "c").drop("c")
+    per = distinct.select("l", "h", "v", "id", "n", "s").join(links, "s", "left").join(comp, "s", "left")
     per = per.select("l", "h", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
     per = per.select(*[F.col(c).alias(f"p_{c}") for c in per.columns])
     out = rows.join(per, rows["good"] & (F.col("l") == F.col("p_l")) & (F.col("h") == F.col("p_h")) & (F.col("v") == F.col("p_v")), "left")

@@ -441,6 +441,16 @@ def test_vectors(spark, kw):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in (900, 901, 902, 903, 906, 907))
 
 
+@pytest.mark.parametrize("kw", [{}, {"block": 2, "probes": 2, "sample": 4}])
+def test_vectors_of_shared_ids(spark, kw):
+    x, y, z = np.eye(4)[:3]
+    near = np.array([0.01, 0.01, 0.01, 0.01])
+    rows = [(5, x), (5, x + near), (5, y), (1, y + near), (None, z), (None, z + near), (None, z + near), (None, y + 2 * near), (None, -x), (5, -y)]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(df, **kw).collect())
+    assert got == Counter([(5, 1, 5), (5, 1, 5), (5, 2, 1), (1, 2, 1), (None, 2, None), (None, 2, None), (None, 2, None), (None, 2, 1), (None, 0, None), (5, 0, 5)])
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
