@@ -295,8 +295,22 @@ def test_bpe_random():
     c, t, rng = bpe.codec(bpe.default_vocabulary()), Tokenizer.from_file(bpe.default_vocabulary()), random.Random(4)
     rows = ["".join(rng.choice("aeé \n\t'stkm.,09日🙂 ́\x1c") for _ in range(rng.randint(0, 60))) for _ in range(2000)] + ["a" * 4000, "<|endoftext|><|endoftext|>"]
     want = t.encode_batch(rows, add_special_tokens=False)
-    for x, w in zip(rows, want, strict=True):
-        assert array("I", c.encode(x)).tolist() == w.ids, x
+    for x, w, ids in zip(rows, want, c.encode(rows), strict=True):
+        assert ids.tolist() == w.ids, x
+    assert [c.encode([x])[0].tolist() for x in rows[:300]] == [w.ids for w in want[:300]] and c.encode([]) == []
+
+
+def test_bpe_forgets(monkeypatch):
+    """However few pieces are remembered, and however few texts and words are taken at a time, ids stay the same."""
+    rng = random.Random(14)
+    rows = [" ".join("".join(rng.choice("abcdé,.") for _ in range(rng.randint(0, 70))) for _ in range(30)) for _ in range(40)]
+    want = bpe.Codec(bpe.default_vocabulary()).encode(rows)
+    monkeypatch.setattr(bpe, "REMEMBER", 5)
+    monkeypatch.setattr(bpe, "AT_ONCE", 7)
+    c = bpe.Codec(bpe.default_vocabulary())
+    for some in (rows[:3], rows[3:], rows):
+        for t, ids in zip(some, c.encode(some), strict=True):
+            assert ids.tolist() == want[rows.index(t)].tolist() and c.decode(ids) == t
 
 
 # 6 --------------------------------------------------------------------------------------------------------------
