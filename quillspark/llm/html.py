@@ -1,9 +1,11 @@
 """Operator 3, HTML extraction: two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides a block by where it stands (menus,
-footers, forms, and what its class says), its length, its share of link characters and of stop words; short blocks
-and long prose with many links stay open. What a class says doesn't count where it stands on the page's main
-text. In the second pass an open block takes the label of the nearest decided neighbours.
+A page is cut into blocks at block-level tags. The first pass decides a block by its length, its share of link
+characters and of stop words (by length and sentences alone in scripts that the stop words don't cover), and by
+where it stands (menus, footers, and what a class says); short blocks and long prose with many links stay open.
+What a class or a form around it says doesn't count where it stands on the page's main text, nor does an article
+beside which most of the good text stands. In the second pass an open block takes the label of the nearest decided
+neighbours.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import types as T
 #: Tags by what they do to the text around them.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video head select textarea button datalist".split())
-BAD = frozenset("nav header footer aside form menu dialog search fieldset".split())
+BAD = frozenset("nav header footer aside menu dialog search".split())
+#: Some pages stand in a form as a whole.
+WEAK = frozenset("form fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark what isn't the article; a word counts whole, between marks.
@@ -37,12 +41,18 @@ le la les de des du et est un une en que qui dans pour pas sur au aux par plus n
 el los las del y es una por con para como no más pero sus al lo se su ha este esta son entre cuando muy sin sobre también me hasta hay donde""".split())
 #: First pass: lengths in characters and shares.
 LONG, SHORT, MAX_LINKS, STOP_HIGH, STOP_LOW = 200, 70, 0.2, 0.12, 0.08
+#: In an article links may be up to this share of prose; letters of scripts without spaces count so often towards a length.
+MOST_LINKS, DENSE = 0.5, 3
 
 #: What stands in quotes is taken whole, once and for all, where they close before the tag does; else the tag ends at the next >.
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?=>)|[^>]*+)>", re.DOTALL)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 MARKS = re.compile(r"[^a-z0-9]+")
 WORDS = re.compile(r"[^\W\d_]+")
+#: Letters of the stop words' script; letters of scripts that put no spaces between words; what ends a sentence.
+LATIN = re.compile(r"[a-zA-Z\u00AA-\u024F\u1E00-\u1EFF]")
+UNSPACED = re.compile(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\U00020000-\U0003FFFF]")
+ENDS = re.compile(r"[.!?…。！？؟।]")
 
 
 def off(attrs: str, article: bool = False) -> str:
@@ -140,7 +150,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     def close():
         nonlocal text, links
         if text:
-            whole = " ".join(entities.unescape("".join(text)).split())
+            whole = " ".join("".join(text).split())
             if whole:
                 out.append((whole, links, bad > 0, in_article > 0, heading, mark))
             text, links = [], 0
@@ -149,6 +159,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         m = TAG.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
         if piece:
+            if "&" in piece:  # a reference ends where a tag begins
+                piece = entities.unescape(piece)
             text.append(piece)
             if link:
                 links += len(piece)
@@ -208,6 +220,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         heading = tag in HEADINGS or heading and tag not in BLOCK
         # a header inside an article may hold its title: there only what the class says counts
         says = off(m[3], tag in ARTICLE) if tag not in ("html", "body") else ""
+        if tag in WEAK:
+            says = says or "weak"
         was = says == "hidden" or tag in BAD and not (tag == "header" and in_article)
         made = -1
         if says and not was:
@@ -226,6 +240,17 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     return [(*b[:2], b[2] or b[5] >= 0 and counts[b[5]], *b[3:5]) for b in out]
 
 
+def stop_share(text: str) -> float | None:
+    """The share of stop words among a block's words; None for a text of another script, which has none of them."""
+    words = WORDS.findall(text.lower())
+    if not words:
+        return 0.0
+    share = sum(w in STOP for w in words) / len(words)
+    if share < STOP_LOW and 2 * len(LATIN.findall(text)) < sum(map(len, words)):
+        return None
+    return share
+
+
 def first_pass(block: tuple[str, int, bool, bool, bool]) -> bool | None:
     """True: article text; False: not; None: open."""
     text, links, bad, article, heading = block
@@ -235,10 +260,14 @@ def first_pass(block: tuple[str, int, bool, bool, bool]) -> bool | None:
     linked = links > MAX_LINKS * n and links > 0
     if linked and article and heading:
         return None
-    if linked and n < LONG:
+    prose = article and n >= SHORT and links <= MOST_LINKS * n
+    if linked and n < LONG and not prose:
         return False
-    words = WORDS.findall(text.lower())
-    share = sum(w in STOP for w in words) / len(words) if words else 0.0
+    share = stop_share(text)
+    if share is None:  # no stop words to go by: length and sentences
+        if linked:
+            return None if prose and ENDS.search(text) else False
+        return True if n + (DENSE - 1) * len(UNSPACED.findall(text)) >= LONG and ENDS.search(text) else None
     if linked:  # prose with many links stays open
         return None if share >= STOP_HIGH else False
     if n >= LONG:
@@ -252,8 +281,12 @@ def extract(page: str | None) -> list[str]:
     """The blocks of the main text of a page, in order."""
     found = blocks(page or "")
     labels = [first_pass(b) for b in found]
-    # where a page names its article, the text is in it
-    if any(b[3] and not b[2] for b in found):
+    if True not in labels:  # no stop words anywhere: in a language without any that are known, length and sentences decide
+        labels = [True if x is None and len(b[0]) >= LONG and b[1] <= MAX_LINKS * len(b[0]) and ENDS.search(b[0]) else x for x, b in zip(labels, found, strict=True)]
+    # where a page names its article, the text is in it, unless most of the good text stands outside, as beside a teaser
+    inside, outside = (sum(len(b[0]) for x, b in zip(labels, found, strict=True) if x and b[3] == here) for here in (True, False))
+    named = any(b[3] and not b[2] for b in found) and 2 * inside >= outside
+    if named:
         labels = [x if b[3] else False for x, b in zip(labels, found, strict=True)]
     n = len(found)
     before, after = [None] * n, [None] * n
@@ -280,7 +313,7 @@ def extract(page: str | None) -> list[str]:
                 least = min(abs(j - i) for j in near)
                 label = any(labels[j] for j in near if abs(j - i) == least) or b[3] and any(labels[j] for j in near)
             else:
-                label = b[3]  # an article of short blocks alone is kept, short text outside one isn't
+                label = named and b[3]  # an article of short blocks alone is kept, short text outside one isn't
         if label:
             out.append(b[0])
     return out
