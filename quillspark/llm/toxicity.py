@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +23,8 @@ from .common import bounded_batches, written
 
 #: Labelled documents of each class, by the hash of their id, from which the model is fitted at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
-#: Learned entries at most; letters of a stem; likelihood ratio and enrichment that an entry needs.
-ENTRIES, STEMS, LEAST_G, LEAST_RATIO = 4000, range(3, 9), 22.0, 3.0
+#: Letters of a stem; toxic documents, likelihood ratio and enrichment that an entry needs.
+STEMS, LEAST_TOXIC, LEAST_G, LEAST_RATIO = range(3, 9), 3, 22.0, 3.0
 #: Counts that a task holds before it passes them on to be summed.
 HELD = 50_000
 #: Marks a stem of words that a document has twice or more.
@@ -124,11 +124,12 @@ class Model:
         out[7] = 1.0
         if not hits:
             return out
-        top, total, done = np.zeros(4), 0.0, -1
+        top, total, done = np.zeros(4), 0.0, 0
         for at in sorted(hits):
             if at < done:
                 continue
-            begin = max((text.rfind(c, 0, at) for c in ".!?;:\n\r")) + 1
+            # no clause begins before the last one's end, so that each part of a text is looked through once
+            begin = max(done, 1 + max(text.rfind(c, done, at) for c in ".!?;:\n\r"))
             end = m.start() if (m := CLAUSE.search(text, at)) else len(text)
             done = end
             kinds = []
@@ -188,9 +189,15 @@ def entries(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> d
         if f not in begun and kept.keys().isdisjoint(begins):
             kept[f] = out[f]
             begun |= begins
-    out = kept
-    top = sorted(out, key=lambda f: (-out[f], f))[:ENTRIES]
-    return {f: out[f] for f in top}
+    return kept
+
+
+def enriched(a: Column, b: Column, n_toxic: int, n_clean: int) -> Column:
+    """Whether document counts in toxic and clean documents pass both tests of entries(), which decides at the very bounds."""
+    n, row = n_toxic + n_clean, a + b
+    cells = ((a, row * n_toxic / n), (b, row * n_clean / n), (n_toxic - a, (n - row) * n_toxic / n), (n_clean - b, (n - row) * n_clean / n))
+    g = sum((F.when((o > 0) & (e > 0), 2 * o * F.log(F.try_divide(o.cast("double"), e))).otherwise(0.0) for o, e in cells), F.lit(0.0))
+    return (g >= LEAST_G - 1e-6) & ((a + 0.5) * (n_clean + 1) >= (LEAST_RATIO - 1e-9) * (b + 0.5) * (n_toxic + 1))
 
 
 def sketch(text: str) -> int:
@@ -204,7 +211,7 @@ def stems(text: str) -> set[str]:
     out: Counter[str] = Counter()
     for w, n in Counter(w.lower() for w in re.findall(r"[^\W\d_]+", text)).items():
         if len(w) >= 3:
-            for f in {w[:24] + "$" if len(w) <= 24 else w[:8], *[w[:n] for n in STEMS if n <= len(w)]}:
+            for f in {w + "$", *[w[:n] for n in STEMS if n <= len(w)]}:
                 out[f] += n
     return {*out, *[f + TWICE for f, n in out.items() if n > 1]}
 
@@ -212,22 +219,25 @@ def stems(text: str) -> set[str]:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
     """A model of the labelled documents that aren't held out: at most SAMPLE_TOXIC and SAMPLE_CLEAN of them.
 
-    Of a key with several labels the largest counts; null labels and keys are passed over. Without documents
-    of both classes the model says 0 to everything.
+    Of a key with several labels the largest counts; null labels and keys are passed over. Of rows of one key all
+    are in the sample. Of texts that are near copies of each other the one with the smallest key stands for all, so the
+    rows alone decide. Without documents of both classes the model says 0 to everything.
     """
     bounded_batches(docs.sparkSession)
     known = labels.groupBy(key).agg(F.max(toxic).cast("int").alias("__y")).where(F.col(key).isNotNull() & F.col("__y").isin(0, 1) & ~is_held_out(key))
     order = F.xxhash64(key)
     pick = known.where("__y = 1").orderBy(order, key).limit(SAMPLE_TOXIC).union(known.where("__y = 0").orderBy(order, key).limit(SAMPLE_CLEAN))
     # the sample's ids are bounded by the two parameters
-    sample = docs.select(key, F.coalesce(text, F.lit("")).alias("__t")).join(F.broadcast(pick), key)
+    sample = docs.select(F.col(key).alias("__k"), F.coalesce(text, F.lit("")).alias("__t")).join(F.broadcast(pick.withColumnRenamed(key, "__k")), "__k")
+    rows = "__y int, __k " + docs.schema[key].dataType.simpleString() + ", __t string, __s bigint"
 
     def drawn(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("__y"), b.column("__t"), pa.array([sketch(t.as_py()) for t in b.column("__t")], pa.int64())], names=["__y", "__t", "__s"])
+            yield pa.RecordBatch.from_arrays([b.column("__y"), b.column("__k"), b.column("__t"), pa.array([sketch(t.as_py()) for t in b.column("__t")], pa.int64())], names=["__y", "__k", "__t", "__s"])
 
-    # one of each group of near copies, whose common words would all seem to mark a class
-    sample = written(sample.select("__y", "__t").mapInArrow(drawn, "__y int, __t string, __s bigint").dropDuplicates(["__y", "__s"]), "toxicity-sample")
+    # the first of each group of near copies, whose common words would all seem to mark a class
+    sample = sample.select("__y", "__k", "__t").mapInArrow(drawn, rows)
+    sample = written(sample.groupBy("__y", "__s").agg(F.min(F.struct("__k", "__t"))["__t"].alias("__t")), "toxicity-sample")
 
     def count(batches):
         n: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -247,13 +257,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     counts = sample.select("__y", "__t").mapInArrow(count, "f string, y int, n bigint")
     sums = counts.groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
-    rows = sums.where((F.col("f") == "") | (F.col("a") >= 3) & (F.col("a") * SAMPLE_CLEAN >= F.col("b") * SAMPLE_TOXIC)).orderBy(F.desc(F.col("f") == ""), F.desc("a"), "f").limit(200_000)
-    got = {r["f"]: (r["a"], r["b"]) for r in rows.collect()}
-    n_toxic, n_clean = got.pop("", (0, 0))
+    sums = written(sums.where((F.col("f") == "") | (F.col("a") >= LEAST_TOXIC)), "toxicity-counts")
+    of = sums.where("f = ''").first()
+    n_toxic, n_clean = (of["a"], of["b"]) if of else (0, 0)
     model = Model()
     if not n_toxic or not n_clean:
         return model
-    model.entries = entries(got, n_toxic, n_clean)
+    # how many pass is bounded by the sample: a stem needs LEAST_TOXIC of its toxic documents at least
+    passed = sums.where((F.col("f") != "") & enriched(F.col("a"), F.col("b"), n_toxic, n_clean)).collect()
+    model.entries = entries({r["f"]: (r["a"], r["b"]) for r in passed}, n_toxic, n_clean)
 
     def measure(batches):
         for b in batches:
@@ -269,7 +281,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with double score and int predicted. A null text is scored as an empty one. The two replace columns of their names."""
+    """docs with double score and int predicted, which replace columns of their names.
+
+    A null text is scored as an empty one. Rows are scored each by itself, so repeated ones score alike and
+    an empty table gives no rows. Texts are read whole, in time that grows with their length.
+    """
     bounded_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     names = docs.columns

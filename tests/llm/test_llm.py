@@ -140,6 +140,8 @@ def test_toxicity(spark, empty):
     got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
     assert all(0 <= r.score <= 1 for r in got) and len(got) == 402
     assert {r.doc_id for r in got if r.predicted} == {r[0] for r in rows if r[2]}
+    model, again = (toxicity.fit(docs.repartition(n), labels.repartition(n)) for n in (1, 5))
+    assert model.entries == again.entries and model.weights.tolist() == again.weights.tolist()
     none = toxicity.fit(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(empty, none).count() == 0
@@ -169,6 +171,22 @@ def test_inflected_stems_of_chance():
     assert list(toxicity.entries({f: tuple(c) for f, c in counts.items()}, 100, 500)) == ["zorgo"]
 
 
+def test_toxic_clauses_in_linear_time():
+    """A long text without ends of clauses, and one of many, with a hit in each part of it."""
+    model = toxicity.Model({"zorg": 2.0}, np.ones(8), True)
+    began = time.time()
+    one, many = ("zorgot and more " * 60_000, "zorgot, then more of it. " * 60_000)
+    assert model.features(one)[5] == model.features(many)[5] == 1.0 and time.time() - began < 20
+    assert model.features("a zorgot. You zorgot! Plain")[:4].tolist() == [2.0 * toxicity.AIMED, 0, 0, 0]
+
+
+def test_enriched_is_what_entries_takes(spark):
+    counts = {f"w{a}x{b}$": (a, b) for a in range(3, 90, 4) for b in range(0, 60, 3)}
+    rows = spark.createDataFrame([(f, a, b) for f, (a, b) in counts.items()], "f string, a long, b long")
+    got = {r.f for r in rows.where(toxicity.enriched(F.col("a"), F.col("b"), 100, 300)).collect()}
+    assert got == set(toxicity.entries(counts, 100, 300))
+
+
 def test_grammar():
     word = ("insult", 2.0)
     say = lambda *k: toxicity.compose([word if x == "insult" else (x, 0.0) for x in k]).tolist()
@@ -557,14 +575,32 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty.select("doc_id", "source", F.lit(1).alias("size"))).count() == 0
 
 
-def test_mixing_chances_hold(spark):
-    rows = spark.createDataFrame([(i, "a" if i % 2 else "b", 10 + i % 7) for i in range(400)], "doc_id long, source string, size long")
-    taken = Counter()
-    for seed in range(6):
-        for r in mixing.mix(rows, seed=seed).collect():
-            taken[r.source, r.doc_id % 7] += r.copies
-    a = [taken["a", k] for k in range(7)]
-    assert max(a) - min(a) <= 60
+@pytest.mark.parametrize(("p", "blocks"), [(0.1, 12), (0.5, 12), (0.75, 12), (0.3, 200)])
+def test_mixing_chances_hold(spark, p, blocks):
+    """Over many blocks of the same documents each is taken with its chance, and each block's words are those due but for one document."""
+    rng, n = random.Random(11), 3000
+    sizes = sorted((int(2 ** rng.uniform(0, 10)) for _ in range(12)), reverse=True)
+    items = F.array(*[F.struct(F.lit(-z).cast("long").alias("order"), (F.col("id") * 100 + i).alias("g"), F.lit(z).cast("long").alias("size"), F.lit(p).alias("p")) for i, z in enumerate(sizes)])
+    open_ = spark.range(n).repartition(4).select(F.col("id").alias("s"), F.posexplode(items).alias("r", "item")).withColumn("r", F.col("r") * (blocks // 12))
+    # as one block, and as two whose documents left go on
+    done, _ = mixing._tree(open_, blocks, 23)
+    got = done.select(F.col("s").alias("id"), (F.col("g") % 100).alias("i"), "one").collect()
+    taken, words = Counter(), Counter()
+    for r in got:
+        taken[r.i] += r.one
+        words[r.id] += r.one * sizes[r.i]
+    assert len(got) == n * len(sizes)
+    assert max(abs(taken[i] / n - p) for i in range(len(sizes))) < 5 * (p * (1 - p) / n) ** 0.5
+    assert all(abs(words[k] - p * sum(sizes)) <= max(sizes) for k in range(n))
+
+
+def test_mixing_words_stay_due(spark):
+    """Of a large document beside many small ones, and of documents of one size, the words taken are those due but for the last document."""
+    rows = [(i, "abc"[i % 3], 9000 if i < 3 else 1 + i % 97) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    for s in "abc":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= 100
 
 
 # pipeline -------------------------------------------------------------------------------------------------------
