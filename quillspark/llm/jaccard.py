@@ -5,14 +5,15 @@ the corpus. By the prefix principle two sets can only link if their rarest shing
 one; sets that share none are settled at once, which most documents are. The others fall into candidate
 clusters, and these into tiles of sets of like size. In a tile bit counts of the sets' bitmaps bound an overlap from
 above, and what may link is intersected exactly. Pairs that are linked already through others are passed over:
-only components are asked for.
+only components are asked for. So every set meets two pivots first, which settles groups of copies; what shares a
+rare shingle with another component after that makes up the clusters that are compared in full.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, fresh, matched, written
@@ -219,44 +220,50 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     least_of = posts.groupBy("token").agg(F.min("sid").alias("b"), F.max("sid").alias("c")).where("b < c").drop("c")
     stars = posts.join(least_of, "token").where("sid <> b").select(F.col("sid").alias("a"), "b")
     cluster = components(stars).select(F.col("node").alias("sid"), F.col("component").alias("cl"))
-
-    # tiles: clusters by size band; sets of sizes that can link are in one band or in neighbours
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(of / least)) - F.lit(1e-9)).cast("int")
-    own = sets.select("sid", band.alias("band")).join(cluster, "sid")
-    per = own.groupBy("cl", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("subs"))
-    own = matched(own, per, ["cl", "band"]).withColumn("sub", F.pmod(F.xxhash64("sid"), F.col("subs"))).drop("subs")
-    placed = written(sets.select("sid", "body").join(own, "sid"), "jaccard-placed")
-    bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-
-    # first each set against two pivots of its band and of the two beside it
-    rank = F.row_number().over(Window.partitionBy("cl", "band").orderBy(F.xxhash64("sid"), "sid"))
-    pivots = own.select("sid", "cl", "band").withColumn("r", rank).where("r <= 2").select("sid", "cl", "band")
-    spread = pivots.select("sid", "cl", bands.alias("band")).join(per, ["cl", "band"]).select("sid", "cl", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"))
-    spread = spread.join(placed.select("sid", "body"), "sid").withColumn("comp", F.col("sid"))
-    keys = ["cl", "band", "sub"]
+    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)).alias("band")
+    series = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    def tiles(cluster: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Clusters (sid, cl) by size band, as sets of sizes that can link are in one band or in neighbours: (sid, cl, band, sub), the subs of each band, and the sets' bodies."""
+        own = sets.select("sid", band.alias("band")).join(cluster, "sid")
+        per = own.groupBy("cl", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("subs"))
+        own = matched(own, per, ["cl", "band"]).withColumn("sub", F.pmod(F.xxhash64("sid"), F.col("subs"))).drop("subs")
+        placed = written(sets.select("sid", "body").join(own, "sid"), "jaccard-placed")
+        return placed.select("sid", "cl", "band", "sub"), per, placed
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         return _edges(links(_sets(left), _sets(right), least, of))
 
+    # first each set against two pivots of its band and of the two beside it: those of the least and the largest hash
+    own, per, placed = tiles(cluster)
+    hashed = F.struct(F.xxhash64("sid").alias("h"), "sid")
+    ends = own.groupBy("cl", "band").agg(F.min(hashed)["sid"].alias("a"), F.max(hashed)["sid"].alias("b"))
+    pivots = ends.select("cl", "band", F.explode(F.array_distinct(F.array("a", "b"))).alias("sid"))
+    spread = pivots.select("sid", "cl", around("band")).join(per, ["cl", "band"]).select("sid", "cl", "band", series("subs").alias("sub"))
+    spread = spread.join(placed.select("sid", "body"), "sid").withColumn("comp", F.col("sid"))
+    keys = ["cl", "band", "sub"]
     first = spread.groupBy(*keys).cogroup(fresh(placed.withColumn("comp", F.col("sid"))).groupBy(*keys)).applyInArrow(tile, EDGES)
     edges = written(first, "jaccard-links")
 
-    # then whatever isn't in its cluster's largest component against all other components of the cluster
+    # what may still link is what shares a rare shingle across components: of these smaller clusters are made anew
     comp = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-    state = written(own.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-state")
-    main = state.groupBy("cl", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("cl").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    rest = state.join(main, "cl").where("comp <> main").drop("main", "sub")
-    rest = written(rest, "jaccard-rest")
-    if rest.limit(1).count():
-        rper = rest.groupBy("cl", F.col("band").alias("rband")).agg(F.ceil(F.count(F.lit(1)) / side).alias("rsubs"))
-        rest = rest.withColumnRenamed("band", "rband")
+    state = written(cluster.select("sid").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-state")
+    seen = posts.join(state, "sid")
+    still = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("sid").alias("b")).where("lo < hi").select("token", "b")
+    stars = written(seen.join(still, "token").where("sid <> b").select(F.col("sid").alias("a"), "b"), "jaccard-open")
+    if stars.limit(1).count():
+        own, per, placed = tiles(components(stars).select(F.col("node").alias("sid"), F.col("component").alias("cl")))
+        # whatever isn't in its cluster's largest component against all other components of the cluster
+        state = written(own.join(state, "sid"), "jaccard-state")
+        main = state.groupBy("cl", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("cl").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
+        rest = written(state.join(main, "cl").where("comp <> main").drop("main", "sub").withColumnRenamed("band", "rband"), "jaccard-rest")
+        rper = rest.groupBy("cl", "rband").agg(F.ceil(F.count(F.lit(1)) / side).alias("rsubs"))
         rest = matched(rest, rper, ["cl", "rband"]).withColumn("rsub", F.pmod(F.xxhash64("sid"), F.col("rsubs"))).drop("rsubs")
-        around = F.explode(F.array(F.col("rband") - 1, F.col("rband"), F.col("rband") + 1)).alias("band")
-        series = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        lefts = rest.select("sid", "cl", "comp", "rband", "rsub", around).join(per, ["cl", "band"]).select("sid", "cl", "comp", "rband", "rsub", "band", series("subs").alias("sub"))
+        lefts = rest.select("sid", "cl", "comp", "rband", "rsub", around("rband")).join(per, ["cl", "band"]).select("sid", "cl", "comp", "rband", "rsub", "band", series("subs").alias("sub"))
         lefts = lefts.join(placed.select("sid", "body"), "sid")
-        tiles = rper.select("cl", "rband", "rsubs", around)
-        rights = state.join(tiles, ["cl", "band"]).select("sid", "cl", "comp", "rband", series("rsubs").alias("rsub"), "band", "sub")
+        meet = rper.select("cl", "rband", "rsubs", around("rband"))
+        rights = state.join(meet, ["cl", "band"]).select("sid", "cl", "comp", "rband", series("rsubs").alias("rsub"), "band", "sub")
         rights = rights.join(placed.select("sid", "body"), "sid")
         keys = ["cl", "rband", "rsub", "band", "sub"]
         more = lefts.groupBy(*keys).cogroup(fresh(rights).groupBy(*keys)).applyInArrow(tile, EDGES)
