@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vector
 from .graph import reachable, short_hops
+from .retrieval import PLACES, candidates
 
 MATCH, TOP = 0.99, 5
 
 
 def best_matches(left: DataFrame, right: DataFrame, keys: list[str], top: int = TOP) -> DataFrame:
     """(keys, a, b, sim, rank) of entities (keys, entity, v) within one sample: the `top` most alike; ties to the later entity."""
-    a = left.select(*keys, F.col("entity").alias("a"), F.col("v").alias("va"))
-    b = right.select(*keys, F.col("entity").alias("b"), F.col("v").alias("vb"))
-    rows = a.join(b, keys).select(*keys, "a", "b", F.round(vector.cosine(F.col("va"), F.col("vb")), 6).alias("sim"))
+    # entities that stand in both lists under one name are compared as well
+    a = left.select(*keys, F.struct(F.col("entity").alias("a")).alias("query_id"), F.col("v").alias("q"))
+    rows = candidates(a, right.select(*keys, F.col("entity").alias("id"), "v"), keys, top, largest=True).select(*keys, "query_id.a", F.col("id").alias("b"), F.round("score", PLACES).alias("sim"))
     rank = F.row_number().over(Window.partitionBy(*keys, "a").orderBy(F.desc("sim"), F.desc("b")))
     return rows.withColumn("rank", rank).where(F.col("rank") <= top)
 
@@ -49,12 +49,12 @@ def edge_connectivity(truth: DataFrame, said: DataFrame, keys: list[str]) -> Dat
     return ends.groupBy(*keys).agg(F.round(F.avg(F.coalesce((F.col("ca") == F.col("cb")).cast("int"), F.lit(0))), 4).alias("mec"))
 
 
-def edge_distance(truth: DataFrame, said: DataFrame, keys: list[str], most: int = 64) -> DataFrame:
+def edge_distance(truth: DataFrame, said: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, med): the mean over true edges of hops in the answer's graph, relative to the mean path of its largest component.
 
     Ends that aren't there or aren't connected count as the number of its nodes, at least 2.
     """
-    hops = short_hops(said, keys, most)
+    hops = short_hops(said, keys)
     comp = reachable(said, keys)
     size = comp.groupBy(*keys).agg(F.greatest(F.count(F.lit(1)), F.lit(2)).alias("penalty"))
     largest = comp.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.max(F.struct("c", "component"))["component"].alias("component"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector
+from ..sources.tables import written
 
 PAIR = ["i", "j"]
 
@@ -16,21 +17,51 @@ def cited_local(papers: DataFrame, out: DataFrame) -> DataFrame:
     return out.select("i", "doi").where("i <> doi").distinct().join(here, "doi", "left_semi").join(here.select(F.col("doi").alias("i")), "i", "left_semi").select("i", F.col("doi").alias("j"))
 
 
-def all_local(papers: DataFrame) -> DataFrame:
-    """All pairs i < j of local papers; for small collections only, which the caller has to see to."""
+#: Pairs from which on a set of candidates is called too large.
+MOST_PAIRS = 5_000_000
+
+
+def all_local(papers: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
+    """All pairs i < j of local papers: a choice for small collections, an error if there are more than `most`."""
+    n = papers.select("doi").distinct().count()
+    if n * (n - 1) // 2 > most:
+        raise ValueError(f"{n} papers have more than {most} pairs; use the pairs that cite each other")
     a, b = papers.select(F.col("doi").alias("i")).distinct(), papers.select(F.col("doi").alias("j")).distinct()
     return a.join(b, F.col("i") < F.col("j"))
 
 
+def local_references(papers: DataFrame, references: DataFrame, cited: DataFrame) -> DataFrame:
+    """(i, doi): what local papers (doi) refer to by their references or by the articles that they cite (both i, doi), among local papers, without themselves."""
+    return cited_local(papers, references.select("i", "doi").union(cited.select("i", "doi")).where("doi is not null")).withColumnRenamed("j", "doi")
+
+
+def build_candidates(papers: DataFrame, out: DataFrame, scope: str = "cited_local", most: int = MOST_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """The candidate pairs (i, j) of a scope, sorted, and one row (papers, pairs, over) that says whether there are more than `most`."""
+    if scope not in ("cited_local", "all_local"):
+        raise ValueError(f"unknown scope {scope!r}")
+    pairs = all_local(papers, most) if scope == "all_local" else cited_local(papers, out)
+    n = papers.agg(F.count_distinct("doi").alias("papers"))
+    said = n.join(F.broadcast(pairs.agg(F.count(F.lit(1)).alias("pairs")))).withColumn("over", F.col("pairs") > most)
+    return pairs.orderBy(*PAIR), said
+
+
+def reference_summary(references: DataFrame) -> DataFrame:
+    """(papers_with_references, reference_vocab_size) of references (owner, member)."""
+    return references.agg(F.count_distinct("owner").alias("papers_with_references"), F.count_distinct("member").alias("reference_vocab_size"))
+
+
 def overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (i, j) and set members (owner, member), distinct: sizes ni, nj (null if none) and common.
 
-    Candidates lead: only their sets are multiplied out, never all sets with each other.
+    Candidates lead: only their sets are multiplied out, never all sets with each other, and of a pair
+    only the smaller set, whose members are looked up in the other.
     """
     sizes = sets.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
-    left = pairs.join(sets.select(F.col("owner").alias("i"), "member"), "i")
-    common = left.join(sets.select(F.col("owner").alias("j"), "member"), ["j", "member"]).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("common"))
     out = pairs.join(sizes.select(F.col("owner").alias("i"), F.col("n").alias("ni")), "i", "left").join(sizes.select(F.col("owner").alias("j"), F.col("n").alias("nj")), "j", "left")
+    first = F.col("ni") <= F.col("nj")
+    asked = out.where("ni is not null and nj is not null").select("i", "j", F.when(first, F.col("i")).otherwise(F.col("j")).alias("small"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("large"))
+    members = asked.join(sets.select(F.col("owner").alias("small"), "member"), "small")
+    common = members.join(sets.select(F.col("owner").alias("large"), "member"), ["large", "member"]).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("common"))
     return out.join(common, PAIR, "left").select("i", "j", "ni", "nj", F.when(F.col("ni").isNotNull() & F.col("nj").isNotNull(), F.coalesce("common", F.lit(0))).alias("common"))
 
 
@@ -115,18 +146,28 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when((n >= 2) & (spread > 1e-300), F.try_divide(cov, spread))
 
 
-def spearman_inputs(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Average ranks rx, ry of the rows that have both columns, from counts of distinct values.
+def running(values: DataFrame, c: str, n: str, name: str) -> DataFrame:
+    """values (c, n), one row for each c, with the sum of n over all smaller c as `name`.
 
-    Ranks come from the values' table with its running counts, not from a window over all rows.
+    Values are dealt to ranges; a range is summed up by itself and shifted by the totals of the ranges before it,
+    a table of as many rows as there are ranges. No task sees all values.
     """
     from pyspark.sql import Window
 
+    values = written(values.repartitionByRange(c).withColumn("__p", F.spark_partition_id()), "ranges")
+    totals = values.groupBy("__p").agg(F.sum(n).alias("__t"))
+    before = F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy("__p").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifted = values.withColumn("__i", inside).join(totals.select(F.col("__p").alias("__q"), before.alias("__b")), F.col("__p") == F.col("__q"))
+    return shifted.select(c, n, (F.col("__i") + F.col("__b")).alias(name))
+
+
+def spearman_inputs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Average ranks rx, ry of the rows that have both columns, from running counts of distinct values."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
 
     def ranks(c: str, name: str) -> DataFrame:
-        values = both.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return values.select(c, (before + (F.col("n") + 1) / 2).alias(name))
+        values = running(both.groupBy(c).agg(F.count(F.lit(1)).alias("__n")), c, "__n", "__before")
+        return values.select(c, (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
 
     return both.join(ranks(x, "rx"), x).join(ranks(y, "ry"), y).select("rx", "ry")

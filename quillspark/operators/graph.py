@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
@@ -70,8 +70,8 @@ def fetch_first(by_source: DataFrame, keys: list[str], rank: str = "priority") -
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10, tolerance: float | None = None) -> DataFrame:
     """(doi, pagerank): uniform teleport and dangling mass, a fixed number of rounds or until the L1 change is small.
 
-    Out-degrees are joined to the edges once. The ranks of a round are written, so lineage stays short
-    and a lost executor costs one round.
+    Out-degrees are joined to the edges once. Every round is a table, so lineage stays short, a lost executor
+    costs one round, and the mass of dangling nodes is summed up while the round is written.
     """
     n = nodes.count()
     if not n:
@@ -80,63 +80,99 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     links = written(edges.join(out, "source_doi"), "pagerank-links")
     dangling = nodes.select("doi").join(out, F.col("doi") == F.col("source_doi"), "left_anti").withColumn("dangling", F.lit(True))
     base = written(nodes.select("doi").join(dangling, "doi", "left"), "pagerank-nodes")
-    ranks = base.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("m")).first()["m"]
+    ranks, whole = base.withColumn("rank", F.lit(1.0 / n)), 1.0
+    lost = base.agg(F.count_if("dangling").alias("c")).first()["c"] / n
+    for _ in range(rounds):
         given = links.join(ranks.select(F.col("doi").alias("source_doi"), "rank"), "source_doi").groupBy(F.col("target_doi").alias("doi")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
         new = base.join(given, "doi", "left").withColumn("rank", (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).drop("got")
-        new = written(new, "pagerank") if i % 5 == 4 or tolerance is not None or i == rounds - 1 else new
+        seen = Observation()
+        new = written(new.observe(seen, F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"), F.sum("rank").alias("whole")), "pagerank")
+        lost, whole = seen.get["lost"], seen.get["whole"]
         if tolerance is not None:
             change = new.join(ranks.select("doi", F.col("rank").alias("was")), "doi").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("c")).first()["c"]
-            ranks = new
             if change < tolerance:
+                ranks = new
                 break
         ranks = new
-    whole = ranks.agg(F.sum("rank").alias("t")).first()["t"]
     return ranks.select("doi", (F.col("rank") / whole).alias("pagerank"))
 
 
+#: Neighbours of a node that meet in one task; nodes whose pairs are scored first, to find out what others must reach.
+ARMS, PROBED = 512, 512
+
+
+def _scores(arms: DataFrame, known: DataFrame) -> DataFrame:
+    """(i, j, score) of arms (z, n, w): pairs i < j of neighbours of a common node, without the known edges (i, j).
+
+    The neighbours of a node are dealt to blocks of ARMS, and blocks meet in pairs, so a hub's pairs are many tasks' work.
+    """
+    per = arms.groupBy("z").agg(F.ceil(F.count(F.lit(1)) / ARMS).alias("k"))
+    arms = arms.join(per, "z").withColumn("b", F.pmod(F.xxhash64("n"), F.col("k")))
+    left = arms.select("z", F.col("n").alias("i"), "w", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda c: F.struct(F.col("b").alias("x"), c.alias("y")))).alias("m"))
+    right = arms.select("z", F.col("n").alias("j"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda c: F.struct(c.alias("x"), F.col("b").alias("y")))).alias("m"))
+    left, right = (x.select(*[F.col(c).alias(c) for c in x.columns if c != "m"], F.col("m.x").alias("x"), F.col("m.y").alias("y")) for x in (left, right))
+    pairs = left.join(right, ["z", "x", "y"]).where("i < j").groupBy("i", "j").agg(F.sum("w").alias("score"))
+    return pairs.join(known, ["i", "j"], "left_anti")
+
+
 def adamic_adar(edges: DataFrame, top: int | None = 15) -> DataFrame:
-    """(i, j, score) of pairs without an edge, i < j: the sum of 1 / ln(degree) over common neighbours; best first."""
+    """(i, j, score) of pairs without an edge, i < j: the sum of 1 / ln(degree) over common neighbours; best first.
+
+    No pair scores more than either of its nodes with all its neighbours in common. So pairs of the PROBED nodes with
+    the highest such bounds are scored first, and nodes whose bound is under the last of their best are left out.
+    """
     both = edges.select(F.least("source_doi", "target_doi").alias("i"), F.greatest("source_doi", "target_doi").alias("j")).where("i <> j").distinct()
+    both = written(both, "adamic-edges")
     either = both.select("i", "j").union(both.select("j", "i"))
     degree = either.groupBy("i").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
-    arms = either.join(degree, "i").select(F.col("i").alias("z"), F.col("j").alias("n"), (1 / F.log("d")).alias("w"))
-    a, b = arms.alias("a"), arms.alias("b")
-    pairs = a.join(b, (F.col("a.z") == F.col("b.z")) & (F.col("a.n") < F.col("b.n"))).groupBy(F.col("a.n").alias("i"), F.col("b.n").alias("j")).agg(F.sum("a.w").alias("score"))
-    pairs = pairs.join(both, ["i", "j"], "left_anti")
-    return pairs if top is None else pairs.orderBy(F.round("score", 8).desc(), "i", "j").limit(top)
-
-
-def reachable(edges: DataFrame, keys: list[str], rounds: int = 40) -> DataFrame:
-    """Components of undirected edges (keys, a, b): (keys, node, component) by repeated minimum and short-cut."""
+    arms = written(either.join(degree, "i").select(F.col("i").alias("z"), F.col("j").alias("n"), (1 / F.log("d")).alias("w")), "adamic-arms")
+    if top is None:
+        return _scores(arms, both)
+    order = [F.round("score", 8).desc(), "i", "j"]
+    bound = written(arms.groupBy("n").agg(F.sum("w").alias("most")), "adamic-bounds")
+    probed = bound.orderBy(F.desc("most"), "n").limit(PROBED).select("n")
+    first = _scores(arms.join(probed, "n", "left_semi"), both).orderBy(*order).limit(top).agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("s")).first()
+    if first["c"] == top:
+        arms = arms.join(bound.where(F.col("most") >= first["s"] - 1e-6).select("n"), "n", "left_semi")
+    return _scores(arms, both).orderBy(*order).limit(top)
+
+
+def reachable(edges: DataFrame, keys: list[str], rounds: int = 100) -> DataFrame:
+    """Components of undirected edges (keys, a, b): (keys, node, component) by repeated minimum and short-cut.
+
+    Rounds grow with the logarithm of the longest path; components that aren't whole after `rounds` are an error.
+    """
     either = edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b"), F.col("a")))
     state = written(either.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "reach")
     either = written(either.distinct(), "reach-edges")
     for _ in range(rounds):
         near = either.join(state.select(*keys, F.col("node").alias("b"), "component"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        new = state.join(near, [*keys, "node"]).select(*keys, "node", F.least("component", "m").alias("component"))
+        new = state.join(near, [*keys, "node"]).select(*keys, "node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         jump = new.select(*keys, F.col("node").alias("component"), F.col("component").alias("j"))
-        new = written(new.join(jump, [*keys, "component"]).select(*keys, "node", "j").withColumnRenamed("j", "component"), "reach")
-        changed = new.join(state.select(*keys, "node", F.col("component").alias("was")), [*keys, "node"]).where("component <> was").limit(1).count()
-        state = new
-        if not changed:
-            break
-    return state
+        seen = Observation()
+        new = new.join(jump, [*keys, "component"]).select(*keys, "node", F.col("j").alias("component"), (F.col("j") != F.col("was")).alias("moved"))
+        state = written(new.observe(seen, F.count_if("moved").alias("moved")), "reach").drop("moved")
+        if not seen.get["moved"]:
+            return state
+    raise RuntimeError(f"components: no end after {rounds} rounds")
 
 
-def short_hops(edges: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """(keys, a, b, dist): hop distances up to `most` of small undirected graphs, one per keys."""
+def short_hops(edges: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """(keys, a, b, dist): hop distances (up to `most`, if given) of small undirected graphs, one per keys."""
     either = edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b"), F.col("a"))).where("a <> b").distinct()
     either = written(either, "hops-edges")
-    seen = written(either.withColumn("dist", F.lit(1)), "hops")
-    for d in range(1, most):
-        front = seen.where(F.col("dist") == d)
-        nxt = front.join(either.select(*keys, F.col("a").alias("b"), F.col("b").alias("c")), [*keys, "b"]).where("a <> c").select(*keys, "a", F.col("c").alias("b")).distinct()
-        nxt = written(nxt.join(seen.select(*keys, "a", "b"), [*keys, "a", "b"], "left_anti").withColumn("dist", F.lit(d + 1)), "hops")
-        if not nxt.limit(1).count():
+    front = seen = written(either.withColumn("dist", F.lit(1)), "hops")
+    steps = either.select(*keys, F.col("a").alias("b"), F.col("b").alias("c"))
+    d = 1
+    while most is None or d < most:
+        d += 1
+        nxt = front.join(steps, [*keys, "b"]).where("a <> c").select(*keys, "a", F.col("c").alias("b")).distinct()
+        front = written(nxt.join(seen.select(*keys, "a", "b"), [*keys, "a", "b"], "left_anti").withColumn("dist", F.lit(d)), "hops")
+        if not front.limit(1).count():
             break
-        seen = seen.union(nxt)
+        seen = seen.union(front)
+        if d % 16 == 0:
+            seen = written(seen, "hops")
     return seen
 
 
@@ -147,7 +183,3 @@ def crawl_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     sums = inside.agg(F.count(F.lit(1)).alias("total_edges"), F.round(F.try_divide(F.count_if("is_seed"), F.lit(seeds)), 3).alias("seed_in_degree"))
     per = nodes.groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
     return per.join(F.broadcast(sums))
-
-
-def score_terms(c: Column) -> Column:
-    return F.round(c, 8)

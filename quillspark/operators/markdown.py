@@ -107,6 +107,9 @@ TABLE_CAPTION = r"(?i)^\s*table\s+\d+[\s.:]"
 NUMBERED, WANTED = r"^\d+(\.\d+)*\..+", r"(?i)^(introduction|experimental|methods?|results?|discussion|conclusions?|summary)$"
 UNWANTED, CONTACT, SUPPORT = r"^(ASSOCIATED CONTENT|AUTHOR INFORMATION|ACKNOWLEDGMENTS)$", r"(?i)^(corresponding authors?|author contributions)", r"(?i)supporting information"
 METADATA = r"(?i)(\bDOI\b|doi\.org|email:|@)"
+DISPLAY, INLINE = r"(?s)^\s*\$\$.*\$\$\s*$", r"^\s*\$[^$]{10,}\$\s*$"
+CITED, SENTENCES = r"\[\d+\]|\(\d{4}\)|\bet al\.", r"[.!?]\s+[A-Z]"
+LEGEND, SHOWN, SOURCED = r"(?i)^\s*(fig\.|figure|table)\s+\d+", r"(?i)\b(fig\.|figure)\s*\d+", r"\[\d+[\d,\s\-–]+\]|\[\d+\]"
 
 
 def is_reference(c: Column, least: int = 3) -> Column:
@@ -125,7 +128,7 @@ def is_table(c: Column, after: Column) -> Column:
 
 
 def is_equation(c: Column) -> Column:
-    return c.rlike(r"(?s)^\s*\$\$.*\$\$\s*$") | c.rlike(r"^\s*\$[^$]{10,}\$\s*$")
+    return c.rlike(DISPLAY) | c.rlike(INLINE)
 
 
 def heading_state(c: Column) -> Column:
@@ -141,12 +144,13 @@ def skip_reason(c: Column) -> Column:
 
 
 def is_likely_body(c: Column) -> Column:
-    cited = c.rlike(r"\[\d+\]|\(\d{4}\)|\bet al\.")
-    return (F.length(c) >= 200) & cited & (F.regexp_count(c, F.lit(r"[.!?]\s+[A-Z]")) >= 2) & ~c.rlike(r"(?i)^\s*(fig\.|figure|table)\s+\d+")
+    """Long text that cites, has sentences and is no legend."""
+    return (F.length(c) >= 200) & c.rlike(CITED) & (F.regexp_count(c, F.lit(SENTENCES)) >= 2) & ~c.rlike(LEGEND)
 
 
 def mentions_figure_or_source(c: Column) -> Column:
-    return (F.length(c) >= 200) & (c.rlike(r"(?i)\b(fig\.|figure)\s*\d+") | c.rlike(r"\[\d+[\d,\s\-–]+\]|\[\d+\]"))
+    """Long text that points to a figure or to a source."""
+    return (F.length(c) >= 200) & (c.rlike(SHOWN) | c.rlike(SOURCED))
 
 
 def classify_blocks(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -193,41 +197,31 @@ def section_tree(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return heads.withColumn("parent_pos", parent).select(key, "pos", "level", "title", "parent_pos").join(body, [key, "pos"], "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
+#: How a paragraph ends, with the numbers of what it cites behind its full stop.
+ENDS_SENTENCE = r"\.(?:\d+(?:[,\-−–]\d+)*)?\s*$"
+
+
 def stitch(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, category, content): main_letter blocks joined by spaces until one ends a sentence.
 
-    What stands between them follows the joined paragraph; equations, tables and headings end it. Documents
-    are read one at a time, each whole.
+    Equations, tables and headings of the main text end a paragraph too. Other blocks between its parts follow it.
+    Blocks up to such an end make a segment, which running counts tell apart: in each, what stands before its main
+    text comes first, then the text, then what stood between, then what ended it.
     """
-    kind = rows.schema[key].dataType.simpleString()
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        out, held, late = [], [], []
-
-        def flush():
-            if held:
-                out.append(("main_letter", " ".join(held)))
-            out.extend(late)
-            held.clear()
-            late.clear()
-
-        for _, r in frame.sort_values("pos").iterrows():
-            category, content = r["category"], r["content"]
-            if category in ("equation", "table") or content.lstrip().startswith("#"):
-                flush()
-                out.append((category, content))
-            elif category == "main_letter":
-                held.append(content)
-                if pd.Series([content.rstrip()]).str.contains(r"\.(?:[\d,\-–\s]*|\$?\^\{[^}]*\}\$?)$").iloc[0]:
-                    flush()
-            elif held:
-                late.append((category, content))
-            else:
-                out.append((category, content))
-        flush()
-        return pd.DataFrame([(frame[key].iloc[0], i, c, t) for i, (c, t) in enumerate(out)], columns=[key, "pos", "category", "content"])
-
-    return rows.select(key, "pos", "category", "content").groupBy(key).applyInPandas(one, f"{key} {kind}, pos int, category string, content string")
+    w = Window.partitionBy(key).orderBy("pos")
+    main, text = F.col("category") == "main_letter", F.col("content")
+    heading = main & F.ltrim(text).startswith("#")
+    stops = F.col("category").isin("equation", "table") | heading
+    rows = rows.select(key, "pos", "category", "content").withColumn("__stop", stops).withColumn("__body", main & ~heading)
+    ends = (F.col("__stop") | F.col("__body") & F.rtrim(text).rlike(ENDS_SENTENCE)).cast("int")
+    rows = rows.withColumn("__g", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    first = F.min(F.when(F.col("__body"), F.col("pos"))).over(Window.partitionBy(key, "__g"))
+    order = F.when(F.col("__stop"), 3).when(F.col("__body"), 1).when(first.isNull() | (F.col("pos") < first), 0).otherwise(2)
+    rows = rows.withColumn("__o", order)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"])
+    texts = rows.where("__o = 1").groupBy(key, "__g", "__o").agg(F.min("pos").alias("__at"), F.lit("main_letter").alias("category"), trimmed(F.array_join(parts, " ")).alias("content")).where("content <> ''")
+    both = rows.where("__o <> 1").select(key, "__g", "__o", F.col("pos").alias("__at"), "category", "content").union(texts)
+    return both.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("__g", "__o", "__at")) - 1).select(key, "pos", "category", "content")
 
 
 def title_ratio(a: str | None, b: str | None) -> float:

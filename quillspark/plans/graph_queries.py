@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions import vector
 from ..operators import adjudicate, features, graph
-from ..sources.tables import table, written
+from ..sources.tables import shared, table, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -201,10 +199,10 @@ SEM = """vec AS (SELECT '10.1234/p' || p_partkey AS doi, embedding::DOUBLE[] AS
 sem AS (SELECT e.i, e.j, list_cosine_similarity(a.v, b.v) AS title_sim FROM e LEFT JOIN vec a ON a.doi = e.i LEFT JOIN vec b ON b.doi = e.j)"""
 
 
-def title_vectors(spark, d):
+def title_vectors(spark, d, step: int = 1):
     e = table(spark, d, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("v"))
     size = e.agg(F.count(F.lit(1)).alias("n"))
-    keyed = papers(spark, d).join(F.broadcast(size)).select("doi", F.when(F.col("n") > 0, F.expr("p_partkey % n")).alias("vec_id"))
+    keyed = papers(spark, d).join(F.broadcast(size)).select("doi", F.when(F.col("n") > 0, F.expr(f"(p_partkey * {step}) % n")).alias("vec_id"))
     return keyed.join(e, "vec_id").select("doi", "v")
 
 
@@ -213,17 +211,25 @@ def semantic_sim(spark, d):
     return features.semantic(pairs(spark, d), title_vectors(spark, d), "title_sim").withColumn("title_sim", F.round("title_sim", 8))
 
 
-COLUMNS = ["bibcoupling_raw", "bibcoupling_jaccard", "cocitation_raw", "cocitation_salton", "pagerank_target", "pagerank_min", "pagerank_product", "author_jaccard", "title_sim", "citation_count", "citation_total", "citation_freq"]
-ALL = f"""{RAW}, {REFS}, {BIB}, {COC}, {AUT}, {FRQ}, {RANKS}, {SEM}, feat AS (SELECT e.i, e.j, bibcoupling_raw, bibcoupling_jaccard, cocitation_raw, cocitation_salton, b.pagerank AS pagerank_target, least(a.pagerank, b.pagerank) AS pagerank_min, a.pagerank * b.pagerank AS pagerank_product,
-  author_jaccard, title_sim, citation_count, citation_total, citation_freq FROM e LEFT JOIN bib USING (i, j) LEFT JOIN coc USING (i, j) LEFT JOIN aut USING (i, j) LEFT JOIN frq USING (i, j) LEFT JOIN sem USING (i, j) LEFT JOIN pr a ON a.doi = e.i LEFT JOIN pr b ON b.doi = e.j)"""
+ABS = """abst AS (SELECT '10.1234/p' || p_partkey AS doi, embedding::DOUBLE[] AS v FROM part JOIN embeddings ON vec_id = (p_partkey * 7) % (SELECT count(*) FROM embeddings)),
+asim AS (SELECT e.i, e.j, list_cosine_similarity(a.v, b.v) AS abstract_sim FROM e LEFT JOIN abst a ON a.doi = e.i LEFT JOIN abst b ON b.doi = e.j)"""
+COLUMNS = ["bibcoupling_raw", "bibcoupling_jaccard", "cocitation_raw", "cocitation_salton", "pagerank_target", "pagerank_min", "pagerank_product", "author_jaccard", "title_sim", "abstract_sim", "citation_count", "citation_total", "citation_freq"]
+ALL = f"""{RAW}, {REFS}, {BIB}, {COC}, {AUT}, {FRQ}, {RANKS}, {SEM}, {ABS}, feat AS (SELECT e.i, e.j, bibcoupling_raw, bibcoupling_jaccard, cocitation_raw, cocitation_salton, b.pagerank AS pagerank_target, least(a.pagerank, b.pagerank) AS pagerank_min, a.pagerank * b.pagerank AS pagerank_product,
+  author_jaccard, title_sim, abstract_sim, citation_count, citation_total, citation_freq FROM e LEFT JOIN bib USING (i, j) LEFT JOIN coc USING (i, j) LEFT JOIN aut USING (i, j) LEFT JOIN frq USING (i, j) LEFT JOIN sem USING (i, j) LEFT JOIN asim USING (i, j) LEFT JOIN pr a ON a.doi = e.i LEFT JOIN pr b ON b.doi = e.j)"""
 ROUNDED = ", ".join(f"round({c}, {12 if c == 'pagerank_product' else 8}) AS {c}" if not c.endswith(("raw", "count", "total")) else c for c in COLUMNS)
 
 
 def edge_table(spark, d) -> DataFrame:
-    nodes, edges = network(spark, d)
-    p, r = pairs(spark, d), ranks(spark, d)
+    """All features of the candidate edges: one table, which the queries of a session share."""
+    return shared(spark, d, "features", _edge_table)
+
+
+def _edge_table(spark, d) -> DataFrame:
+    nodes, edges = (written(x, "network") for x in network(spark, d))
+    p = written(features.cited_local(nodes, edges.select(F.col("source_doi").alias("i"), F.col("target_doi").alias("doi"))), "pairs")
+    r = graph.pagerank(nodes, edges, rounds=ROUNDS)
     parts = [features.bibcoupling(p, references(spark, d)), features.cocitation(p, nodes, edges), features.pagerank_features(p, r), features.author_jaccard(p, authors(spark, d))]
-    parts += [features.semantic(p, title_vectors(spark, d), "title_sim"), features.citation_frequency(p, mentions(spark, d))]
+    parts += [features.semantic(p, title_vectors(spark, d), "title_sim"), features.semantic(p, title_vectors(spark, d, 7), "abstract_sim"), features.citation_frequency(p, mentions(spark, d))]
     return features.assemble(p, *parts).select("i", "j", *COLUMNS)
 
 
@@ -263,7 +269,7 @@ CORR = f"WITH {ALL} " + " UNION ALL ".join(
 
 @query("correlation", CORR)
 def correlation(spark, d):
-    rows = written(edge_table(spark, d), "features")
+    rows = edge_table(spark, d)
     one = rows.agg(*[features.pearson(F.col(x), F.col(y)).alias(f"p{k}") for k, (x, y) in enumerate(PAIRED)])
     cells = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.round(F.col(f"p{k}"), 6).alias("pearson")) for k, (x, y) in enumerate(PAIRED)]))
     plain = one.select(cells.alias("c")).select("c.*")
@@ -275,24 +281,31 @@ def correlation(spark, d):
     return plain.join(ranked, ["x", "y"])
 
 
-STAGE2 = f"""{ALL}, two AS (SELECT *, CASE WHEN citation_count >= 3 THEN 'inheritance' ELSE 'unknown' END AS stage1_label,
-  (coalesce(round(cocitation_salton, 8) >= 0.30, false))::INT + (coalesce(round(bibcoupling_jaccard, 8) >= 0.05, false))::INT + (coalesce(round(author_jaccard, 8) >= 0.25, false))::INT AS votes, coalesce(title_sim >= 0.85, false) AS content,
-  citation_freq IS NULL OR cocitation_salton IS NULL OR bibcoupling_jaccard IS NULL OR author_jaccard IS NULL AS lacking, round(citation_freq, 8) AS cf, round(pagerank_target, 8) AS pt FROM feat),
-adj AS (SELECT i, j, CASE WHEN stage1_label = 'inheritance' OR cf >= 0.10 THEN 'inheritance' WHEN votes >= 1 THEN 'parallel' ELSE 'peripheral' END AS label,
+# edges of the first stage: what is cited, and of some the other way round, which mostly has no features
+STAGE2 = f"""{ALL}, st AS (SELECT DISTINCT i, j FROM (SELECT i, j FROM e UNION ALL SELECT j, i FROM raw JOIN part ON p_partkey = s WHERE p_size % 5 = 0 AND i <> j)),
+two AS (SELECT st.i, st.j, feat.i IS NULL AS missing, citation_freq, pagerank_target, CASE WHEN citation_count >= 3 THEN 'inheritance' ELSE 'unknown' END AS stage1_label,
+  (coalesce(round(cocitation_salton, 8) >= 0.30, false))::INT + (coalesce(round(bibcoupling_jaccard, 8) >= 0.05, false))::INT + (coalesce(round(author_jaccard, 8) >= 0.25, false))::INT AS votes, coalesce(title_sim >= 0.85, false) OR coalesce(abstract_sim >= 0.90, false) AS content,
+  citation_freq IS NULL OR cocitation_salton IS NULL OR bibcoupling_jaccard IS NULL OR author_jaccard IS NULL AS lacking, round(citation_freq, 8) AS cf, round(pagerank_target, 8) AS pt FROM st LEFT JOIN feat USING (i, j)),
+adj AS (SELECT i, j, missing, CASE WHEN stage1_label = 'inheritance' OR cf >= 0.10 THEN 'inheritance' WHEN votes >= 1 THEN 'parallel' ELSE 'peripheral' END AS label,
   CASE WHEN stage1_label = 'inheritance' THEN 'high' WHEN cf >= 0.10 THEN CASE WHEN cf >= 0.15 OR pt >= 0.05 THEN 'high' ELSE 'medium' END
-  WHEN votes >= 1 THEN CASE WHEN votes >= 2 OR content THEN 'high' ELSE 'medium' END WHEN lacking OR content THEN 'medium' ELSE 'high' END AS tier,
+  WHEN votes >= 1 THEN CASE WHEN votes >= 2 OR content THEN 'high' ELSE 'medium' END WHEN missing THEN 'low' WHEN lacking OR content THEN 'medium' ELSE 'high' END AS tier,
   CASE WHEN stage1_label = 'inheritance' THEN 1 WHEN cf >= 0.10 THEN 2 ELSE 3 END AS steps FROM two)"""
 
 
+def stage1_edges(spark, d) -> DataFrame:
+    raw = raw_edges(spark, d).where("i <> j")
+    turned = raw.join(table(spark, d, "part").where("p_size % 5 = 0").select(F.col("p_partkey").alias("s")), "s", "left_semi").select(F.col("j").alias("i"), F.col("i").alias("j"))
+    return pairs(spark, d).select("i", "j").union(turned).distinct()
+
+
 def adjudicated(spark, d):
-    rows = edge_features(spark, d).withColumn("abstract_sim", F.lit(None).cast("double")).withColumn("missing", F.lit(False))
-    rows = rows.withColumn("stage1_label", F.when(F.col("citation_count") >= 3, "inheritance").otherwise("unknown"))
-    return adjudicate.classify(rows)
+    rows = adjudicate.with_features(stage1_edges(spark, d), edge_features(spark, d))
+    return adjudicate.classify(rows.withColumn("stage1_label", F.when(F.col("citation_count") >= 3, "inheritance").otherwise("unknown")))
 
 
-@query("stage2_adjudicate", f"WITH {STAGE2} SELECT i, j, label, tier, steps FROM adj")
+@query("stage2_adjudicate", f"WITH {STAGE2} SELECT i, j, missing, label, tier, steps FROM adj")
 def stage2_adjudicate(spark, d):
-    return adjudicated(spark, d).select("i", "j", "label", "tier", F.size("decision_path").alias("steps"))
+    return adjudicated(spark, d).select("i", "j", "missing", "label", "tier", F.size("decision_path").alias("steps"))
 
 
 @query("stage2_distribution", f"WITH {STAGE2} SELECT label, tier, count(*) AS edges FROM adj GROUP BY label, tier")

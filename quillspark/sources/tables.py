@@ -32,6 +32,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shared: dict[tuple[str, str, str], str] = {}
+
+
+def shared(spark: SparkSession, folder: str, name: str, make) -> DataFrame:
+    """make(spark, folder) as a table in the shared folder, made once for an application and a folder, and anew if it has gone."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    path = _shared.get(key)
+    if path is None or not _there(spark, f"{path}/_SUCCESS"):
+        path = _shared[key] = f"{shared_dir(spark)}/quill-{name}-{uuid.uuid4().hex}"
+        make(spark, folder).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))

@@ -31,9 +31,31 @@ def test_golden(spark, f, given, want):
     assert (tuple(got) if isinstance(want, tuple) else got) == want
 
 
-@pytest.mark.parametrize(("sentence", "want"), [("as shown (9-12).", ["9-12"]), ("Eq. (9) holds.", []), ("(1) open pores", []), ("along (100), (010) lattice directions", []), ("too large (500).", [])])
-def test_paren_markers(sentence, want):
-    assert citations.paren_markers_of(sentence, 40) == want
+@pytest.mark.parametrize(
+    ("sentence", "want"),
+    [
+        ("as shown (9-12).", ["9-12"]), ("Eq. (9) holds.", []), ("(1) open pores", []), ("along (100), (010) lattice directions", []), ("too large (500).", []), ("seen before (3-1).", []),
+        ("(007) and (05, 6).", ["05, 6"]), ("first (2), then (4, 7) and", ["2", "4, 7"]), ("", []), (None, None), ("in Fig. 2 (3).", ["3"]),
+    ],
+)
+def test_paren_markers(spark, sentence, want):
+    got = spark.createDataFrame([(sentence,)], "x string").select(citations.paren_markers(F.col("x"), F.lit(40))).first()[0]
+    assert (got or []) == (want or [])
+
+
+def test_citation_styles(spark):
+    lines = ["Plain.", "One ⟦SUP:2,9⟧ [1-2] (3).", "Smith et al. (2001) and (Lee, 1999; Smith, 2001).", "Both [4] by Ng (1998)."]
+    rows = citations.citation_contexts(spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, pos int, sentence string"), most=F.lit(5)).orderBy("citation_id").collect()
+    assert [(r.citation_id, r.pos, r.style, list(r.forms), list(r.markers), list(r.refs)) for r in rows] == [
+        (1, 1, "numeric", ["bracket", "superscript", "paren"], ["[1-2]", "^{2,9}", "(3)"], [1, 2, 3]),
+        (2, 2, "author-year", [], ["Smith 2001", "Lee 1999"], []), (3, 3, "numeric", ["bracket"], ["[4]"], [4]), (4, 3, "author-year", [], ["Ng 1998"], []),
+    ]
+    assert rows[0].context == "Plain. One ^{2,9} [1-2] (3). " + lines[2] and rows[0].prev_sentence == "Plain."
+    registry = spark.createDataFrame([(1, None), (2, None), (3, "done")], "doc_id long, citation_state string")
+    todo = citations.open_citations(registry)
+    assert {r.doc_id for r in todo.collect()} == {1, 2}
+    done = citations.with_citation_state(registry, todo, spark.createDataFrame([(1,)], "doc_id long"))
+    assert {tuple(r) for r in done.collect()} == {(1, "done"), (2, "Not_Found"), (3, "done")}
 
 
 def test_paragraph_sentences(spark):
@@ -47,8 +69,10 @@ def test_recursive_chunks():
     assert all(len(c) <= 400 for c in got) and md.recursive_chunks(None) == [] and md.recursive_chunks("x" * 2500, 1000, 0) == ["x" * 1000, "x" * 1000, "x" * 500]
 
 
-def test_split_references():
-    assert citations.split_references("# References\n[1] A long enough reference text, 2020\n(2) short\n3. Another long enough reference text") == ["A long enough reference text, 2020", "Another long enough reference text"]
+def test_split_references(spark):
+    text = "# References\n[1] A long enough reference text, 2020\n(2) short\n3. Another long enough reference text $^{4}$ x $a+b$ 5. The last long enough reference"
+    got = one(spark, citations.split_references, text, "", None)
+    assert got[0] == ["A long enough reference text, 2020", "Another long enough reference text [4] x", "The last long enough reference"] and got[1] == [] and not got[2]
 
 
 def test_graph_load_first_wins(spark):
