@@ -91,14 +91,20 @@ SYNONYMS = {
 }
 
 
+def once(value: Column, *steps) -> Column:
+    """value through steps, each computed once however often a step names what it is given."""
+    for f in steps:
+        value = F.element_at(F.transform(F.array(value), f), 1)
+    return value
+
+
 def clean_entity(c: Column) -> Column:
+    """In lower case without qualifiers, by its full name, in the singular, with capitals."""
     x = F.lower(F.trim(c))
     for q in QUALIFIERS:
         x = F.regexp_replace(x, rf"^{q}\s+", "")
     known = F.create_map(*[F.lit(v) for kv in SYNONYMS.items() for v in kv])
-    x = F.coalesce(F.try_element_at(known, x), x)
-    x = F.when(x.endswith("s") & ~x.endswith("ss"), F.left(x, F.length(x) - 1)).otherwise(x)
-    return F.initcap(x)
+    return F.initcap(once(x, lambda t: F.coalesce(F.try_element_at(known, t), t), lambda t: F.when(t.endswith("s") & ~t.endswith("ss"), F.left(t, F.length(t) - 1)).otherwise(t)))
 
 
 def keywords(c: Column) -> Column:

@@ -157,6 +157,11 @@ def by_article(citations: DataFrame, references: DataFrame, key: str = "doc_id")
     return rows.groupBy(key, article.alias("article")).agg(F.array_sort(F.collect_set("num")).alias("ref_keys"), F.count_distinct("citation_id").alias("citation_count"), F.min("num").alias("first_ref"))
 
 
+def ordered_articles(articles: DataFrame, key: str = "doc_id", name: str = "article") -> DataFrame:
+    """by_article() with place: the order of a document's articles by their first reference, then by name."""
+    return articles.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.col("first_ref").asc_nulls_last(), name)))
+
+
 def reference_entries(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, num, raw) of reference lines (key, pos, line): an entry begins with its number; a later one of a number counts."""
     n = F.coalesce(*[F.nullif(F.regexp_extract("line", ENTRY_LINE, i), F.lit("")) for i in (1, 2, 3)]).try_cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_doi
 from ..sources.tables import written
 
 
@@ -26,6 +27,17 @@ def load_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return kept, graph, counts
 
 
+def local_papers(registry: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
+    """(doi, file_id, title) of registry rows (file_id, doi, file_name) that have a record (file_id, title): the first by order of each DOI.
+
+    A record without a title leaves the file's name.
+    """
+    rows = registry.select("file_id", normalize_doi(F.col("doi")).alias("doi"), "file_name", *[c for c in order if c != "file_id"]).where("doi is not null")
+    rows = rows.join(known.select("file_id", "title"), "file_id")
+    first = F.row_number().over(Window.partitionBy("doi").orderBy(*order))
+    return rows.withColumn("__r", first).where("__r = 1").select("doi", "file_id", F.coalesce(F.nullif("title", F.lit("")), "file_name", F.lit("")).alias("title"))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(doi, in_degree, out_degree) of every node: one aggregation over both directions."""
     both = edges.select(F.col("source_doi").alias("doi"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("target_doi", F.lit(0), F.lit(1)))

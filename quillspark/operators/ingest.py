@@ -18,6 +18,19 @@ def new_files(listing: DataFrame, registry: DataFrame) -> DataFrame:
     return listing.join(known, ["file_name", "file_size"], "left_anti").withColumn("__r", r).where("__r = 1").drop("__r").withColumn("file_id", file_id(F.col("file_path"), F.col("file_size")))
 
 
+def registered(listing: DataFrame, registry: DataFrame) -> DataFrame:
+    """Each (file_name, file_size) of a listing with its file_id and state: that of the registry if it is known, else new ones."""
+    new = new_files(listing, registry).select("file_name", "file_size", F.lit("new").alias("state"), "file_id")
+    known = registry.join(listing.select("file_name", "file_size").distinct(), ["file_name", "file_size"], "left_semi")
+    return new.union(known.groupBy("file_name", "file_size").agg(F.min("file_id").alias("file_id")).select("file_name", "file_size", F.lit("known"), "file_id"))
+
+
+def title_duplicates(rows: DataFrame, order: list[str], title: str = "title") -> DataFrame:
+    """rows with gone: whether an earlier row by order has the same title, whatever the case of its letters."""
+    r = F.row_number().over(Window.partitionBy(F.lower(title)).orderBy(*order))
+    return rows.withColumn("gone", F.col(title).isNotNull() & (r > 1))
+
+
 def upsert(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The latest row of each key; one pass of grouped maxima, without sorting all rows of a key."""
     rest = [c for c in rows.columns if c not in keys and c not in order]

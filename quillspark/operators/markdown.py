@@ -95,6 +95,12 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return docs.select(key, text).mapInPandas(run, f"{key} {kind}, pos int, chunk string")
 
 
+def json_chunks(rows: DataFrame, key: str = "doc_id", json: str = "json", size: int = 1200, overlap: int = 300) -> DataFrame:
+    """(key, pos, chunk): windows of the content that JSON documents have; what isn't such a document gives none."""
+    text = F.get_json_object(json, "$.content")
+    return rows.select(key, F.posexplode(F.coalesce(windows_of(text, size, overlap), F.array().cast("array<string>"))).alias("pos", "chunk"))
+
+
 # Block predicates -----------------------------------------------------------------------------------------------
 
 #: The shapes of headings, entries, captions and markers.
@@ -231,17 +237,23 @@ def title_ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a or "", b or "").ratio()
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """title_ratio of two columns; null where either is."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([title_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return F.when(a.isNotNull() & b.isNotNull(), ratio(a, b))
+
+
 def is_title(chunk: Column, title: Column, least: float = 0.85, slack: int = 10) -> Column:
     """Whether two normalised titles nearly agree; lengths decide first, so few pairs reach Python."""
     from ..functions.text import title_form
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([title_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
     a, b = title_form(chunk), title_form(title)
-    near = F.abs(F.length(a) - F.length(b)) <= slack
-    return F.coalesce(near, F.lit(False)) & (ratio(F.when(near, a), F.when(near, b)) > least)
+    near = F.coalesce(F.abs(F.length(a) - F.length(b)) <= slack, F.lit(False))
+    return near & (likeness(F.when(near, a), F.when(near, b)) > least)
 
 
 def equations(c: Column) -> Column:

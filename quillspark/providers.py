@@ -41,10 +41,13 @@ class EdgeSource(Protocol):
 
 
 class TableSource:
-    """An edge source over tables: edges (source_doi, target_doi) and meta (doi, title). Targets without a DOI are left out and counted."""
+    """An edge source over tables: edges (source_doi, target_doi), meta (doi, title) and failures (doi, reason).
 
-    def __init__(self, edges: DataFrame, meta: DataFrame, cited_by: bool = True):
-        self.edges, self.meta, self.cited_by = edges, meta, cited_by
+    Ends without a DOI are left out and counted; of what is listed as a failure it says nothing.
+    """
+
+    def __init__(self, edges: DataFrame, meta: DataFrame, cited_by: bool = True, broken: DataFrame | None = None):
+        self.edges, self.meta, self.cited_by, self.broken = edges, meta, cited_by, broken
 
     def references(self, dois: DataFrame) -> DataFrame:
         return self.edges.where("target_doi is not null").join(dois.select(F.col("doi").alias("source_doi")), "source_doi", "left_semi")
@@ -57,8 +60,16 @@ class TableSource:
     def metadata(self, dois: DataFrame) -> DataFrame:
         return dois.select("doi").join(self.meta, "doi", "left").withColumn("title", F.coalesce("title", F.lit("Unknown Title")))
 
-    def dropped(self) -> DataFrame:
-        return self.edges.agg(F.count_if(F.col("source_doi").isNull() | F.col("target_doi").isNull()).alias("dropped_no_doi"))
+    def failures(self, dois: DataFrame) -> DataFrame:
+        """(doi, reason) of dois that this source fails on."""
+        if self.broken is None:
+            return dois.sparkSession.createDataFrame([], "doi string, reason string")
+        return dois.select("doi").join(self.broken, "doi").select("doi", "reason")
+
+    def dropped(self, dois: DataFrame, method: str = "references") -> int:
+        """How many edges of dois were left out, as their other end has no DOI."""
+        own, other = ("source_doi", "target_doi") if method == "references" else ("target_doi", "source_doi")
+        return self.edges.where(F.col(other).isNull()).join(dois.select(F.col("doi").alias(own)), own, "left_semi").count()
 
 
 def echo_chat(prompts: list[str]) -> list[str]:
@@ -78,7 +89,7 @@ def hash_embedding(texts: list[str], dims: int = 64) -> list[list[float]]:
     return out
 
 
-def retrying(call: Callable, tries: int = 3, wait: float = 1.0, fatal: tuple[type[Exception], ...] = (DeterministicFailure,)) -> Callable:
+def retrying(call: Callable, tries: int = 3, wait: float = 1.0, fatal: tuple[type[Exception], ...] = (DeterministicFailure,), sleep: Callable = time.sleep) -> Callable:
     """call, repeated with doubling waits, but not after a fatal error."""
 
     def run(*args):
@@ -90,11 +101,79 @@ def retrying(call: Callable, tries: int = 3, wait: float = 1.0, fatal: tuple[typ
             except Exception:
                 if i == tries - 1:
                     raise
-                time.sleep(wait * 2**i)
+                sleep(wait * 2**i)
 
     return run
 
 
+#: Answers of a service that are asked for again, and such as never change.
+AGAIN, NEVER = frozenset([429, 500, 502, 503, 504]), frozenset([400, 401, 403, 404, 410])
+
+
+class Passing(Exception):
+    """An answer that may be another one soon."""
+
+
+def fetching(get: Callable[[str, dict], tuple[int, str]], tries: int = 3, wait: float = 1.0, between: float = 0.5, sleep: Callable = time.sleep) -> Callable:
+    """(url, params) -> JSON text, by get, which gives a status and a body: passing errors again after doubling waits, lasting ones not, never faster than `between`."""
+
+    def once(url: str, params: dict) -> str:
+        sleep(between)
+        status, body = get(url, params)
+        if status in NEVER:
+            raise DeterministicFailure(f"{url}: {status}", reason=f"HTTP {status}")
+        if status in AGAIN or status >= 500:
+            raise Passing(f"{url}: {status}")
+        return body
+
+    return retrying(once, tries, wait, sleep=sleep)
+
+
+class ParseProvider(Protocol):
+    """What turns documents such as PDF into text: one text, or None, for each."""
+
+    def __call__(self, files: list[bytes]) -> list[str | None]: ...
+
+
+def parse(files: DataFrame, provider: ParseProvider, content: str = "content", out: str = "text") -> DataFrame:
+    """files with their texts and an int state: 1 parsed, 0 nothing found, -1 the provider failed."""
+
+    def run(frames: Iterable[pd.DataFrame]):
+        for f in frames:
+            try:
+                texts = provider([bytes(x) for x in f[content]])
+                yield f.drop(columns=[content]).assign(**{out: texts, "state": [1 if t else 0 for t in texts]})
+            except Exception:
+                yield f.drop(columns=[content]).assign(**{out: None, "state": -1})
+
+    fields = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in files.schema.fields if c.name != content)
+    return files.mapInPandas(run, f"{fields}, {out} string, state int")
+
+
+class SearchProvider(Protocol):
+    """Results (title, href, body) of a web search."""
+
+    def __call__(self, query: str, results: int) -> list[tuple[str, str, str]]: ...
+
+
+def search(queries: DataFrame, provider: SearchProvider, results: int = 5) -> DataFrame:
+    """(query_id, pos, title, href, body) of queries (query_id, query); a search that fails gives one row without href."""
+
+    def run(frames: Iterable[pd.DataFrame]):
+        for f in frames:
+            rows = []
+            for q, text in zip(f["query_id"], f["query"], strict=True):
+                try:
+                    found = provider(text, results) or [(None, None, None)]
+                except Exception as e:
+                    found = [(None, None, str(e))]
+                rows += [(q, i, *r) for i, r in enumerate(found[:results])]
+            yield pd.DataFrame(rows, columns=["query_id", "pos", "title", "href", "body"])
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return queries.select("query_id", "query").mapInPandas(run, f"query_id {kind}, pos int, title string, href string, body string")
+
+
 def chat(df: DataFrame, prompt: str, provider: ChatProvider, out: str = "answer") -> DataFrame:
     """df with the provider's answers, asked once for each distinct prompt; a failed batch gives nulls and an error text."""
 

@@ -28,6 +28,29 @@ def save_table(df: DataFrame, path: str, metadata: dict) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def save_embeddings(rows: DataFrame, path: str) -> None:
+    """(doi, embedding) as arrays of floats, without those that are null."""
+    rows.where("embedding is not null").select("doi", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(path)
+
+
+def save_failures(failed: DataFrame, path: str) -> None:
+    """(doi, reason), parted by tabs."""
+    save_csv(failed.select("doi", "reason"), path, tabs=True)
+
+
+def report(coverage: DataFrame, tier: DataFrame, correlations: DataFrame, note: dict) -> DataFrame:
+    """One row (report): coverage of each feature, the tier, correlations and notes, as one JSON document."""
+    as_list = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
+    whole = as_list(coverage, "coverage").join(F.broadcast(as_list(tier, "tier"))).join(F.broadcast(as_list(correlations, "correlations")))
+    return whole.select(F.to_json(F.struct("coverage", "tier", "correlations", F.lit(json.dumps(note, sort_keys=True)).alias("metadata"))).alias("report"))
+
+
+def edgelist(edges: DataFrame) -> DataFrame:
+    """(id, value): the lines of a CSV of edges (source_doi, target_doi, ...), cells with a comma, quote or line end quoted."""
+    cell = lambda c: F.when(F.col(c).cast("string").rlike('[,"\n\r]'), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return edges.select(F.concat_ws(" ", "source_doi", "target_doi").alias("id"), F.concat_ws(",", *[cell(c) for c in edges.columns]).alias("value"))
+
+
 def table_metadata(df: DataFrame) -> dict:
     return json.loads(df.schema[0].metadata.get("feature_metadata", "{}")) if df.schema.fields else {}
 

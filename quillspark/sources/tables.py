@@ -39,20 +39,20 @@ def shared(spark: SparkSession, folder: str, name: str, make) -> DataFrame:
     """make(spark, folder) as a table in the shared folder, made once for an application and a folder, and anew if it has gone."""
     key = (spark.sparkContext.applicationId, folder, name)
     path = _shared.get(key)
-    if path is None or not _there(spark, f"{path}/_SUCCESS"):
+    if path is None or not there(spark, f"{path}/_SUCCESS"):
         path = _shared[key] = f"{shared_dir(spark)}/quill-{name}-{uuid.uuid4().hex}"
         make(spark, folder).write.parquet(path)
     return spark.read.parquet(path)
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def there(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents by an explicit schema; a path that isn't there gives no rows."""
-    return spark.read.schema(schema).option("multiLine", True).json(path) if _there(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).json(path) if there(spark, path) else spark.createDataFrame([], schema)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +63,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
     """(path, name, size, modified) of files; a folder that isn't there gives none."""
     schema = "path string, name string, size bigint, modified timestamp"
-    if not _there(spark, folder):
+    if not there(spark, folder):
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))

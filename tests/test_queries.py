@@ -5,12 +5,17 @@ from collections import Counter
 import duckdb
 import pytest
 
-from quillspark.plans import graph_queries, text_queries
+from quillspark.plans import graph_queries, paper_queries, record_queries, text_queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {**graph_queries.QUERIES, **text_queries.QUERIES}
-ORACLES = {**graph_queries.ORACLES, **text_queries.ORACLES}
+MODULES = (graph_queries, text_queries, record_queries, paper_queries)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+
+
+def test_names_are_told_apart():
+    assert sum(len(m.QUERIES) for m in MODULES) == len(QUERIES) and ORACLES.keys() <= QUERIES.keys()
 
 
 def plain(v):
