@@ -120,10 +120,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     component is the smallest node reachable. Alternating large-star and small-star rounds
     (Kiveris et al. 2014): each links nodes to the smallest of their neighbours by a grouped minimum
-    and a join, until nothing changes; rounds grow with the logarithm of the longest path. Every round
-    is a table in the shared folder. Null ends and loops are dropped; no edges give no rows.
+    and a join, until nothing changes; rounds grow with the logarithm of the longest path. Every step
+    is a table in the shared folder, so the two sides of a join come as they are, and the many edges of
+    one node can be split among tasks. Null ends and loops are dropped; no edges give no rows.
     """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sign = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     at = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
     at = written(at.distinct(), "edges")
@@ -131,12 +131,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not seen["n"]:
             break
-        e = both(at)
-        least = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = e.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        # a is the larger end: what stands over a goes to the least that stands over b, if anything does
+        above = written(at.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("g")), "edges-above")
+        large = written(at.join(above, F.col("b") == F.col("u"), "left").select("a", F.coalesce("g", "b").alias("b")).distinct(), "edges-large")
+        least = written(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "edges-least")
+        ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(least, F.col("a") == F.col("u")).select(F.explode(ends).alias("e")).select("e.a", "e.b")
         at = written(small.where("a <> b").distinct(), "edges")
         now = sign(at)
         if now == seen:
