@@ -105,6 +105,16 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def shielded(df: DataFrame, *names: str):
+    """df with columns whose names begin with two underscores, which are the operators' own, called otherwise.
+
+    With it come the names given, as they are now, and a function that gives a table its names back.
+    """
+    new = {c: f"own_{i}{c}" for i, c in enumerate(df.columns) if c.startswith("__")}
+    back = lambda out: out.withColumnsRenamed({now: was for was, now in new.items() if now in out.columns}) if new else out
+    return df.withColumnsRenamed(new) if new else df, [new.get(n, n) for n in names], back
+
+
 def unsigned(h: Column) -> Column:
     """A key that sorts longs as unsigned numbers."""
     return h.bitwiseXOR(F.lit(-(2**63)))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import matched, n_words, numbered, uniform, written
+from .common import matched, n_words, numbered, shielded, uniform, written
 
 #: Documents of a block; documents of more than so many times their source's mean size go first.
 FAN, HEAVY = 64, 16
@@ -161,7 +161,8 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", seed: int =
     source's fraction drawn one by one (they add no words). A null source is a source; null sizes count
     as 0; equal rows are drawn each by itself; an empty table gives no rows. The columns made replace columns of their names.
     """
-    docs = docs.drop("source_size", "target", "copies").withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long"))
+    docs, (size, source), back = shielded(docs.drop("source_size", "target", "copies"), size, source)
+    docs = docs.withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long"))
     rows = written(numbered(docs, "__g", [source], seed), "mix-rows")
     sizes = rows.groupBy(source).agg(F.sum(size).alias("source_size"), F.min("__g").alias("__s"), F.count(F.lit(1)).alias("__m"))
     aim = written(targets(sizes, source), "mix-targets")
@@ -181,10 +182,10 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", seed: int =
     moved = last.select(F.col("s").alias("ls"), F.col("i.p").alias("lp"))
     light = light.join(moved, F.col("s") == F.col("ls")).select("s", "r", F.struct(F.col("i.g").alias("g"), F.col("i.size").alias("size"), F.col("lp").alias("p")).alias("i"))
     ones, _ = _tree(light.select("s", "r", _item(F.col("i"))), blocks, seed)
-    ones = ones.select("g", "one").union(heavy.select("g", "one"))
-    out = rows.join(ones, rows["__g"] == ones["g"], "left")
+    ones = ones.union(heavy).select(F.col("g").alias("__of"), F.col("one").alias("__one"))
+    out = rows.join(ones, F.col("__g") == F.col("__of"), "left")
     lone = (uniform(F.col("__g"), seed=seed) < F.col("__p")).cast("int")
-    return out.withColumn("copies", F.col("__whole") + F.coalesce("one", lone)).drop("__g", "__s", "__m", "__x", "__whole", "__p", "g", "one")
+    return back(out.withColumn("copies", F.col("__whole") + F.coalesce("__one", lone)).drop("__g", "__s", "__m", "__x", "__whole", "__p", "__of", "__one"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import numbered, shielded, written
 
 ROUNDS, WALKS = 6, 64
 
@@ -52,10 +52,10 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 17) -> DataFrame:
     places of their own. Nulls are values like others; an empty table gives no rows. The four columns
     replace columns of their names.
     """
-    df = df.drop("row", "place", "slot", "shard")
-    rows = numbered(df, "row", seed=seed)
-    n = df.count()
-    out = rows.withColumn("place", feistel(F.col("row"), n, seed))
+    df, _, back = shielded(df.drop("row", "place", "slot", "shard"))
+    rows = written(numbered(df, "row", seed=seed), "shard-rows")
+    n = rows.count()
+    out = back(rows).withColumn("place", feistel(F.col("row"), n, seed))
     return out.withColumn("shard", F.pmod(F.col("place"), F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("place") / shards).cast("long"))
 
 

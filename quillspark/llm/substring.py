@@ -1,7 +1,7 @@
 """Operator 4, substring dedup: a log-structured fingerprint index of word windows.
 
-Documents come in batches of rising doc_id, a batch in chunks of rising doc_id. The index is dealt by
-ranges of window hashes to buckets. A chunk sends each bucket a sorted run of its distinct hashes; the
+Documents come in batches of rising doc_id, a batch in chunks of rising doc_id and of like size; the documents of one
+doc_id may be several chunks, which are no earlier ones to each other. The index is dealt by ranges of window hashes to buckets. A chunk sends each bucket a sorted run of its distinct hashes; the
 bucket merge-joins the run with the immutable runs of what came before, verifies a match by a second hash,
 keeps what is new as a run, and compacts runs of like size. What it answers, one bit for each hash,
 goes back to the chunk, which removes the words that repeated windows cover.
@@ -10,19 +10,22 @@ goes back to the chunk, which removes the words that repeated windows cover.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, written
+from .common import bounded_batches, shielded, written
 from .fingerprints import Words, bits_for, bucket_edges, pack, slices, unpack, window_hashes
 
 WINDOW = 13
-#: Bytes of text of a chunk at least, and of a batch at most, which has up to MOST_CHUNKS chunks.
-CHUNK_BYTES, BATCH_BYTES, MOST_CHUNKS = 4 << 20, 256 << 30, 4096
+#: Bytes of text of a chunk, and of a batch at most; a batch has MOST_CHUNKS chunks at most, so a chunk is four times as large at most.
+CHUNK_BYTES, BATCH_BYTES, MOST_CHUNKS = 4 << 20, 64 << 30, 4096
+#: Ranges of keys that are weighed for each chunk.
+FINE = 4
 BUCKET_WINDOWS = 1 << 20
 #: Run tables of an index before they are compacted into one; runs in a bucket merge when within this ratio.
 MOST_RUNS, RATIO = 8, 2
@@ -133,13 +136,31 @@ def _sorted(table: pa.Table) -> pa.Table:
 
 
 class FingerprintIndex:
-    """An index of the window hashes of all batches so far: run tables (bucket, run) in the shared folder."""
+    """An index of the window hashes of all batches so far: run tables (bucket, run) in the shared folder, which can be saved and opened by a later job."""
 
     def __init__(self, bits: int, k: int = WINDOW):
         self.bits, self.k, self.tables = bits, k, []
 
-    def ingest(self, docs: DataFrame, text: str, made: list, keep: list[str], keep_runs: bool) -> DataFrame:
-        """docs of one batch (with __chunk, __key) as rows of keep and made; then their hashes are in the index."""
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """The index as one compacted table in a folder, with what it was made with; a folder that is there already is an error."""
+        self.compact()
+        runs = self.tables[0] if self.tables else spark.createDataFrame([], REPLY)
+        runs.write.parquet(f"{folder}/runs")
+        spark.createDataFrame([(self.bits, self.k)], "bits int, k int").coalesce(1).write.parquet(f"{folder}/made")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> "FingerprintIndex":
+        """A saved index, whose documents come before all that are ingested from now on."""
+        made = spark.read.parquet(f"{folder}/made").first()
+        index = cls(made["bits"], made["k"])
+        index.tables = [spark.read.schema(REPLY).parquet(f"{folder}/runs")]
+        return index
+
+    def ingest(self, docs: DataFrame, text: str, made: list, keep: list[str], keep_runs: bool, groups: list[int]) -> DataFrame:
+        """docs of one batch (with __chunk, __key) as rows of keep and made; then their hashes are in the index.
+
+        groups has the first chunk of each group of chunks that are no earlier ones to each other.
+        """
         k, bits = self.k, self.bits
 
         def send(table: pa.Table) -> pa.Table:
@@ -151,15 +172,27 @@ class FingerprintIndex:
         def join(table: pa.Table) -> pa.Table:
             rows = sorted(zip(table.column("__chunk").to_pylist(), table.column("__data"), strict=True), key=lambda r: r[0])
             bucket, out, index, new = table.column("__bucket")[0].as_py(), [], Runs(), Runs()
+            group, waiting = -1, []
+
+            def enter():
+                for h, c in waiting:
+                    fresh = ~new.seen(h, c)
+                    new.add(h[fresh], c[fresh])
+                waiting.clear()
+
             for chunk, data in rows:
                 h, c = unpack(data.as_py(), np.uint16)
                 if chunk < 0:  # a run of the history
                     index.add(h, c)
                     continue
+                if (at := bisect_right(groups, chunk)) != group:
+                    enter()
+                    group = at
                 seen = index.seen(h, c) | new.seen(h, c)
                 if seen.any():
                     out.append((chunk, bucket, np.packbits(seen).tobytes()))
-                new.add(h[~seen], c[~seen])
+                waiting.append((h[~seen], c[~seen]))
+            enter()
             if keep_runs and new.runs:
                 new.compact(len(new.runs))
                 out.append((-1, bucket, pack(*new.runs[0])))
@@ -205,6 +238,8 @@ class FingerprintIndex:
             runs.compact(len(runs.runs))
             return _rows([(-1, table.column("__bucket")[0].as_py(), pack(*runs.runs[0]))])
 
+        if len(self.tables) < 2:
+            return
         whole = self.tables[0]
         for t in self.tables[1:]:
             whole = whole.unionByName(t)
@@ -223,34 +258,78 @@ def ranges(key, points: list[int]):
     return (part * w + below(F.get(F.array(*[lit(p) for p in parts]), part))).cast("long")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WINDOW, full: bool = True, chunk_bytes: int = CHUNK_BYTES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def cuts(rows: DataFrame, text: str, parts: int) -> tuple[Column, list[int]]:
+    """The chunk of each row of rows (__key, text), of about `parts`, and the first chunk of each group.
+
+    Keys are cut into FINE times as many ranges, whose bytes say where chunks begin. A key that fills a
+    range by itself is a range of its own, and a group of chunks if it has the bytes of several.
+    """
+    if parts < 2:
+        return F.lit(0).cast("long"), [0]
+    n = parts * FINE
+    points = rows.agg(F.percentile_approx("__key", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("p")).first()["p"] or []
+    alone = {p for p, q in zip(points, points[1:], strict=False) if p == q}
+    points = sorted({*points, *[p - 1 for p in alone]})
+    range_of = ranges(F.col("__key"), points)
+    weighed = rows.groupBy(range_of.alias("r")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1).alias("w")).collect()  # a row for each range
+    weights = [0] * (len(points) + 1)
+    for r in weighed:
+        weights[r["r"]] = r["w"]
+    share = sum(weights) / parts
+    first, subs, groups, held = [], [], [0], 0.0
+    for i, w in enumerate(weights):
+        own = i < len(points) and points[i] in alone
+        if held and (held + w > share or own):
+            groups.append(groups[-1] + 1)
+            held = 0.0
+        first.append(groups[-1])
+        subs.append(max(1, round(w / share)) if own else 1)
+        held += w
+        if own:
+            groups.append(groups[-1] + subs[-1])
+            held = 0.0
+    numbers = lambda xs: lookup(xs, range_of)
+    return (numbers(first) + F.pmod(F.xxhash64(text), numbers(subs))).cast("long"), groups
+
+
+def lookup(values: list[int], at: Column) -> Column:
+    """The value at a position of a list, in two steps."""
+    w = max(1, int(len(values) ** 0.5))
+    lit = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    return F.get(F.get(F.array(*[lit(values[i : i + w]) for i in range(0, len(values), w)]), F.floor(at / w).cast("int")), F.pmod(at, F.lit(w)).cast("int"))
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WINDOW, full: bool = True, chunk_bytes: int = CHUNK_BYTES, batch_bytes: int = BATCH_BYTES, index: FingerprintIndex | None = None) -> DataFrame:
     """docs with long n_words and n_removed and string kept_text (with full=False kept_sha256, and of docs the key alone).
 
     A word is removed if a window of k words that covers it also starts in a document of smaller key.
     kept_text has the other words, joined by one space. Null texts have no words; documents of fewer than
     k words lose none; rows of one key are no earlier documents of each other; null keys count as the
     largest. Two windows are taken for equal if 80 bits of two independent hashes agree. An empty table gives no
-    rows. The columns made replace columns of their names.
+    rows. The columns made replace columns of their names. What an index holds that is given comes before all of
+    docs, whose windows it then has as well; k is the index's.
     """
     bounded_batches(docs.sparkSession)
     made = [("n_words", "bigint"), ("n_removed", "bigint"), ("kept_text", "string") if full else ("kept_sha256", "string")]
+    docs, (key, text), back = shielded(docs, key, text)
     keep = [c for c in (docs.columns if full else [key]) if c not in dict(made)]
     rows = docs.select(*dict.fromkeys([*keep, key, text])).withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(LAST)))
     total = rows.agg(F.sum(F.octet_length(text)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not total["n"]:
-        return rows.select(*keep, *[F.lit(None).cast(t).alias(n) for n, t in made])
-    batches = max(1, -(-(total["t"] or 0) // batch_bytes))
-    chunks = max(1, min(MOST_CHUNKS, -(-(total["t"] or 0) // (batches * chunk_bytes))))
-    parts = batches * chunks
-    points = rows.agg(F.percentile_approx("__key", [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("p")).first()["p"] if parts > 1 else []
-    points = sorted(set(points or []))
-    rows = rows.withColumn("__chunk", ranges(F.col("__key"), points))
-    index, out = FingerprintIndex(bits_for(total["t"] or 0, BUCKET_WINDOWS), k), None
+        return back(rows.select(*keep, *[F.lit(None).cast(t).alias(n) for n, t in made]))
+    size, lasting = total["t"] or 0, index is not None
+    batches = max(1, -(-size // batch_bytes))
+    chunks = max(1, min(MOST_CHUNKS, -(-size // (batches * chunk_bytes))))
+    chunk, groups = cuts(rows, text, batches * chunks)
+    rows = rows.withColumn("__chunk", chunk)
+    index, out = index or FingerprintIndex(bits_for(size, BUCKET_WINDOWS), k), None
+    # batches end where groups do
+    ends = [groups[min(len(groups) - 1, -(-len(groups) * b // batches))] for b in range(batches)]
     for b in range(batches):
-        part = rows if batches == 1 else rows.where((F.col("__chunk") >= b * chunks) & (F.col("__chunk") < (b + 1) * chunks if b < batches - 1 else F.lit(True)))
-        got = index.ingest(part, text, made, keep, batches > 1)
+        part = rows if batches == 1 else rows.where((F.col("__chunk") >= ends[b]) & (F.col("__chunk") < ends[b + 1] if b < batches - 1 else F.lit(True)))
+        got = index.ingest(part, text, made, keep, lasting or batches > 1, groups)
         out = got if out is None else out.unionByName(got)
-    return out
+    return back(out)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

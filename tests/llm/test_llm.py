@@ -118,8 +118,10 @@ def test_feistel_by_hand(spark):
 
 
 def test_shards(spark, docs, empty):
-    rows = docs.withColumn("slot", F.lit("x"))
-    got = sharding.shard_rows(rows, 8).collect()
+    rows = docs.withColumn("slot", F.lit("x")).withColumn("__n", F.lit(1)).withColumn("__h", F.lit("h"))
+    made = sharding.shard_rows(rows, 8)
+    assert made.columns == [*docs.columns, "__n", "__h", "row", "place", "shard", "slot"] and made.where("__n = 1 and __h = 'h'").count() == docs.count()
+    got = made.collect()
     sizes = Counter(r.shard for r in got)
     assert max(sizes.values()) - min(sizes.values()) <= 1 and len(got) == docs.count()
     for s in sizes:
@@ -338,6 +340,41 @@ def test_substring_keys(spark):
     assert got == [("1", 0), ("1", 0), ("2", 20), ("None", 20)]
 
 
+@pytest.mark.parametrize("kw", [{"chunk_bytes": 2000}, {"chunk_bytes": 1000, "batch_bytes": 9000}])
+def test_substring_of_a_key_in_chunks(spark, kw):
+    """A key, or none, that holds a third of all rows is cut into chunks that are no earlier documents to each other."""
+    rng = random.Random(16)
+    base = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(60)) for _ in range(30)]
+    rows = [(i, base[i % 30] + f" end{i}") for i in range(30)] + [(17, rng.choice(base) + f" x{i}") for i in range(40)] + [(None, rng.choice(base) + f" y{i}") for i in range(40)]
+    df = spark.createDataFrame([(d, t, "own") for d, t in rows], "doc_id long, text string, __chunk string").repartition(3)
+    got = substring.dedup(df, **kw)
+    assert got.columns == ["doc_id", "text", "__chunk", "n_words", "n_removed", "kept_text"]
+    first = {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        w = t.split()
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), 2**63 - 1 if d is None else d)
+    want = Counter()
+    for d, t in rows:
+        w, gone = t.split(), set()
+        for i in range(len(w) - 12):
+            if first[tuple(w[i : i + 13])] < (2**63 - 1 if d is None else d):
+                gone.update(range(i, i + 13))
+        want[d, t, "own", len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)] += 1
+    assert Counter(map(tuple, got.collect())) == want
+
+
+def test_index_is_opened_by_a_later_job(spark, docs):
+    given = texts(docs)
+    index, at = substring.FingerprintIndex(4), scratch(spark, "index")
+    early, late = docs.where("doc_id < 20"), docs.where("doc_id >= 20")
+    got = substring.dedup(early, index=index, chunk_bytes=3000).collect()
+    index.save(spark, at)
+    again = substring.FingerprintIndex.open(spark, at)
+    got += substring.dedup(late.where("doc_id < 40"), index=again).collect() + substring.dedup(late.where("doc_id >= 40"), index=again, batch_bytes=4000, chunk_bytes=1000).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == dedup_by_hand(given, 13)
+
+
 def test_index_compacts(docs, monkeypatch):
     monkeypatch.setattr(substring, "MOST_RUNS", 2)
     got = {r.doc_id: r.n_removed for r in substring.dedup(docs, chunk_bytes=2000, batch_bytes=4000).collect()}
@@ -563,6 +600,8 @@ def test_mixing(spark, empty):
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
     got = mixing.mix(df).collect()
     again = mixing.mix(df.repartition(5)).collect()
+    odd = mixing.mix(df.withColumnRenamed("size", "__p").withColumn("__g", F.lit("own")).withColumn("g", F.lit(0)), "__p")
+    assert odd.columns == ["doc_id", "source", "__p", "__g", "g", "source_size", "target", "copies"] and odd.where("__g = 'own' and g = 0").count() == len(rows)
     assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
     sizes = Counter()
     for _, s, n in rows:
