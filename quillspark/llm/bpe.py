@@ -25,9 +25,9 @@ from .common import bounded_batches
 #: Fixed values of byte-level vocabularies: the pattern that cuts a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces up to this many bytes are remembered, so many and as many older ones; others are encoded anew.
-REMEMBER_BYTES, REMEMBER = 48, 500_000
+REMEMBER_BYTES, REMEMBER = 48, 150_000
 #: Characters of texts that are taken at a time (a longer text alone), and words whose ids are put together at a time.
-HELD, AT_ONCE = 16 << 20, 1 << 18
+HELD, AT_ONCE = 8 << 20, 1 << 18
 #: Ids as they are kept, and as they are given.
 IDS, GIVEN = np.dtype(np.uint32), np.dtype("<u4")
 

@@ -38,7 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, kept when executors go, with a short lineage."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quill_path = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Deletes tables that written() gave, of which no more is to be read: what was made of them is a table by now."""
+    for t in tables:
+        if path := getattr(t, "quill_path", None):
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -57,7 +68,7 @@ def n_words(text: Column) -> Column:
 
 
 def numbered(df: DataFrame, name: str, leading: list[str] = (), seed: int = 0) -> DataFrame:
-    """df with gapless row numbers from 0 in column `name`, in a fixed pseudo-random order.
+    """df with gapless row numbers from 0 in column `name`, in a fixed pseudo-random order; a table in the shared folder.
 
     The order is by `leading`, then by a hash of the whole row, then by the row itself, so it depends on
     the rows alone. Equal rows are counted before the shuffle, numbered as one run and expanded after it:
@@ -68,7 +79,7 @@ def numbered(df: DataFrame, name: str, leading: list[str] = (), seed: int = 0) -
     cols = df.columns
     at = F.xxhash64(F.lit(seed), *cols)
     rows = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).withColumn("__h", at)
-    rows = written(rows, "numbered")
+    rows = table = written(rows, "numbered")
     total = rows.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("t")).first()["t"]
     sizes = max(16, int(total**0.5))
     groups = rows.groupBy(*leading).agg(F.count(F.lit(1)).alias("__g")) if leading else rows.agg(F.count(F.lit(1)).alias("__g"))
@@ -88,7 +99,9 @@ def numbered(df: DataFrame, name: str, leading: list[str] = (), seed: int = 0) -
     rows = rows.withColumn("__i", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
     out = matched(rows, counts, keys).select(*cols, "__n", (F.col("__i") + F.col("__o")).alias("__f"))
     one = F.explode(F.sequence(F.col("__f"), F.col("__f") + F.col("__n") - 1))
-    return out.select(*cols, one.alias(name))
+    out = written(out.select(*cols, one.alias(name)), "numbered")
+    done(table)
+    return out
 
 
 def matched(rows: DataFrame, more: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -147,7 +160,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = written(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "edges-least")
         ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = large.join(least, F.col("a") == F.col("u")).select(F.explode(ends).alias("e")).select("e.a", "e.b")
-        at = written(small.where("a <> b").distinct(), "edges")
+        was, at = at, written(small.where("a <> b").distinct(), "edges")
+        done(was, above, large, least)
         now = sign(at)
         if now == seen:
             break

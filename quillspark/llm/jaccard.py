@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, fresh, matched, written
+from .common import bounded_batches, components, done, fresh, matched, written
 from .fingerprints import SECOND, WORD, U, Words, bits_for, bucket_edges, mix, pack, slices, unpack, window_hashes
 from .substring import REPLY, _rows, _texts
 
@@ -213,6 +213,13 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     replies = rows.groupBy("__chunk").applyInArrow(send, REPLY).groupBy("__bucket").applyInArrow(count, REPLY)
     both = written(rows.groupBy("__chunk").cogroup(replies.groupBy("__chunk")).applyInArrow(settle, found), "jaccard-sets")
 
+    used = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        """written(df), to be deleted at the end."""
+        used.append(written(df, name))
+        return used[-1]
+
     # sets that chunks have in common become one; each gets a number of its own, as keys may repeat or be null
     sets = both.where("kind = 1").groupBy("name").agg(F.min("own").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("body").alias("body"))
     sets = written(sets.withColumn("sid", F.monotonically_increasing_id()), "jaccard-distinct")
@@ -229,7 +236,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
         own = sets.select("sid", band.alias("band")).join(cluster, "sid")
         per = own.groupBy("cl", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("subs"))
         own = matched(own, per, ["cl", "band"]).withColumn("sub", F.pmod(F.xxhash64("sid"), F.col("subs"))).drop("subs")
-        placed = written(sets.select("sid", "body").join(own, "sid"), "jaccard-placed")
+        placed = keep(sets.select("sid", "body").join(own, "sid"), "jaccard-placed")
         return placed.select("sid", "cl", "band", "sub"), per, placed
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -244,20 +251,21 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     spread = spread.join(placed.select("sid", "body"), "sid").withColumn("comp", F.col("sid"))
     keys = ["cl", "band", "sub"]
     first = spread.groupBy(*keys).cogroup(fresh(placed.withColumn("comp", F.col("sid"))).groupBy(*keys)).applyInArrow(tile, EDGES)
-    edges = written(first, "jaccard-links")
+    edges = keep(first, "jaccard-links")
 
     # what may still link is what shares a rare shingle across components: of these smaller clusters are made anew
     comp = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-    state = written(cluster.select("sid").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-state")
+    state = keep(cluster.select("sid").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-state")
     seen = posts.join(state, "sid")
     still = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("sid").alias("b")).where("lo < hi").select("token", "b")
-    stars = written(seen.join(still, "token").where("sid <> b").select(F.col("sid").alias("a"), "b"), "jaccard-open")
+    stars = keep(seen.join(still, "token").where("sid <> b").select(F.col("sid").alias("a"), "b"), "jaccard-open")
     if stars.limit(1).count():
+        done(placed)
         own, per, placed = tiles(components(stars).select(F.col("node").alias("sid"), F.col("component").alias("cl")))
         # whatever isn't in its cluster's largest component against all other components of the cluster
-        state = written(own.join(state, "sid"), "jaccard-state")
+        state = keep(own.join(state, "sid"), "jaccard-state")
         main = state.groupBy("cl", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("cl").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-        rest = written(state.join(main, "cl").where("comp <> main").drop("main", "sub").withColumnRenamed("band", "rband"), "jaccard-rest")
+        rest = keep(state.join(main, "cl").where("comp <> main").drop("main", "sub").withColumnRenamed("band", "rband"), "jaccard-rest")
         rper = rest.groupBy("cl", "rband").agg(F.ceil(F.count(F.lit(1)) / side).alias("rsubs"))
         rest = matched(rest, rper, ["cl", "rband"]).withColumn("rsub", F.pmod(F.xxhash64("sid"), F.col("rsubs"))).drop("rsubs")
         lefts = rest.select("sid", "cl", "comp", "rband", "rsub", around("rband")).join(per, ["cl", "band"]).select("sid", "cl", "comp", "rband", "rsub", "band", series("subs").alias("sub"))
@@ -267,14 +275,15 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
         rights = rights.join(placed.select("sid", "body"), "sid")
         keys = ["cl", "rband", "rsub", "band", "sub"]
         more = lefts.groupBy(*keys).cogroup(fresh(rights).groupBy(*keys)).applyInArrow(tile, EDGES)
-        edges = edges.union(written(more, "jaccard-links"))
+        edges = edges.union(keep(more, "jaccard-links"))
 
     comp = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
     # only here the smallest document names a component
     linked = written(sets.select("name", "sid", "least").join(comp, "sid", "left"), "jaccard-named")
+    rows = written(both.where("kind = 0").select("doc", "own", "n", "name"), "jaccard-documents")
+    done(both, sets, *used)
     best = linked.where("comp is not null").groupBy("comp").agg(F.min("least").alias("best"))
     names = linked.join(fresh(best), "comp", "left").select("name", F.coalesce("best", "least").alias("comp"))
-    rows = both.where("kind = 0").select("doc", "own", "n", "name")
     # most documents have no such set; they take no part in the join, where they would all be one key
     out = rows.where("name is not null").join(names, "name", "left").select("doc", "own", "n", "comp")
     out = out.union(rows.where("name is null").select("doc", "own", "n", F.lit(None).cast("long")))

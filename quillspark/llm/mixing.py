@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import matched, n_words, numbered, shielded, uniform, written
+from .common import done, matched, n_words, numbered, shielded, uniform, written
 
 #: Documents of a block; documents of more than so many times their source's mean size go first.
 FAN, HEAVY = 64, 16
@@ -163,7 +163,7 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", seed: int =
     """
     docs, (size, source), back = shielded(docs.drop("source_size", "target", "copies"), size, source)
     docs = docs.withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long"))
-    rows = written(numbered(docs, "__g", [source], seed), "mix-rows")
+    rows = plain = numbered(docs, "__g", [source], seed)
     sizes = rows.groupBy(source).agg(F.sum(size).alias("source_size"), F.min("__g").alias("__s"), F.count(F.lit(1)).alias("__m"))
     aim = written(targets(sizes, source), "mix-targets")
     rows = matched(rows, aim, [source])
@@ -174,6 +174,7 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", seed: int =
     # s, the number of a source's first row, names the source; r is a row's number in its source
     items = free.select(F.col("__s").alias("s"), (F.col("__g") - F.col("__s")).alias("r"), F.struct(F.col("__g").alias("g"), F.col(size).alias("size"), F.col("__p").alias("p")).alias("i"), "__heavy")
     blocks = aim.agg(F.max("__m").alias("m")).first()["m"] or 1
+    done(plain, aim)
     light = items.where("not __heavy")
     # all the light documents of a source have one chance, which the heavy ones move
     whole = light.groupBy("s").agg(F.sum("i.size").alias("size"), F.min("i.p").alias("p"))

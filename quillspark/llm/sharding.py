@@ -12,7 +12,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, shielded, written
+from .common import numbered, shielded
 
 ROUNDS, WALKS = 6, 64
 
@@ -53,7 +53,7 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 17) -> DataFrame:
     replace columns of their names.
     """
     df, _, back = shielded(df.drop("row", "place", "slot", "shard"))
-    rows = written(numbered(df, "row", seed=seed), "shard-rows")
+    rows = numbered(df, "row", seed=seed)
     n = rows.count()
     out = back(rows).withColumn("place", feistel(F.col("row"), n, seed))
     return out.withColumn("shard", F.pmod(F.col("place"), F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("place") / shards).cast("long"))

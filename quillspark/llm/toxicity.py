@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, written
+from .common import bounded_batches, done, written
 
 #: Labelled documents of each class, by the hash of their id, from which the model is fitted at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
@@ -277,6 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     at = sorted((r["y"], tuple(r["x"])) for r in at)
     model.weights = logistic(np.array([r[1] for r in at]), np.array([r[0] for r in at], float))
     model.fitted = True
+    done(sample, sums)
     return model
 
 

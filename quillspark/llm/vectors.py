@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, matched, written
+from .common import components, done, matched, written
 from .topk import usable
 
 #: Vectors from which the codebooks are fitted at most, by the hash of the id; subspaces, codes of each, rounds.
@@ -167,7 +167,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
     keys = [*cell, "turn", "block"]
     found = written(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, "a bigint, b bigint, n bigint"), "vectors-links")
     comp = components(found.select("a", "b")).select(F.col("node").alias("s"), F.col("component").alias("c"))
-    links = found.groupBy(F.col("a").alias("s")).agg(F.sum("n").alias("links"))
+    links = written(found.groupBy(F.col("a").alias("s")).agg(F.sum("n").alias("links")), "vectors-counts")
+    done(placed, size, found)
     # only here the smallest key names a component
     narrow = written(distinct.select("s", "id").join(comp, "s"), "vectors-named")
     least = narrow.groupBy("c").agg(F.min("id").alias("component"))
