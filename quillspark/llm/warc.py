@@ -66,40 +66,78 @@ def page_record(page_id, url, payload: bytes, refers_to, refers_url=None) -> byt
     return record("revisit", headers + more, http)
 
 
-def members(stream):
-    """The decompressed gzip members of a stream, one after the other."""
-    rest = b""
-    while True:
-        if not rest:
-            rest = stream.read(CHUNK)
-            if not rest:
-                return
-        unpack, parts = zlib.decompressobj(31), []
-        while not unpack.eof:
-            if not rest:
-                rest = stream.read(CHUNK)
-                if not rest:
+class Member:
+    """One gzip member of a stream, decompressed by pieces of CHUNK bytes at most; rest is what was read beyond it."""
+
+    def __init__(self, stream, rest: bytes):
+        self.stream, self.unpack, self.rest, self.buffer = stream, zlib.decompressobj(31), rest, b""
+
+    def more(self) -> bytes:
+        """The next bytes of the member; none at its end."""
+        while not self.unpack.eof:
+            if not self.rest:
+                self.rest = self.stream.read(CHUNK)
+                if not self.rest:
                     raise ValueError("the archive ends inside a gzip member")
-            parts.append(unpack.decompress(rest))
-            rest = unpack.unused_data if unpack.eof else b""
-        yield b"".join(parts)
+            out = self.unpack.decompress(self.rest, CHUNK)
+            self.rest = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+            if out:
+                return out
+        return b""
+
+    def until(self, mark: bytes) -> bytes:
+        """What stands before a mark, which is passed over."""
+        while (at := self.buffer.find(mark)) < 0:
+            got = self.more()
+            if not got or len(self.buffer) > CHUNK:
+                raise ValueError("a member is no WARC record")
+            self.buffer += got
+        out, self.buffer = self.buffer[:at], self.buffer[at + len(mark) :]
+        return out
+
+    def pieces(self, n: int):
+        """The next n bytes."""
+        while n:
+            if not self.buffer:
+                self.buffer = self.more()
+                if not self.buffer:
+                    raise ValueError("a record's length isn't its Content-Length")
+            out, self.buffer = self.buffer[:n], self.buffer[n:]
+            n -= len(out)
+            yield out
+
+    def end(self) -> bytes:
+        """All that is left."""
+        out = self.buffer
+        while got := self.more():
+            out += got
+        self.buffer = b""
+        return out
 
 
 def read_records(stream):
-    """Of each record of an archive: its headers by lower-case name, and its block, after verification."""
-    for data in members(stream):
-        head, mark, rest = data.partition(b"\r\n\r\n")
-        lines = head.split(b"\r\n")
-        if not mark or not lines[0].startswith(b"WARC/"):
+    """Of each record of an archive: its headers by lower-case name, and its block, after verification.
+
+    A member is decompressed piece by piece: its header first, then as many bytes as the header says, whose digest grows
+    with them.
+    """
+    rest = stream.read(CHUNK)
+    while rest:
+        member = Member(stream, rest)
+        lines = member.until(b"\r\n\r\n").split(b"\r\n")
+        if not lines[0].startswith(b"WARC/"):
             raise ValueError("a member is no WARC record")
         headers = {k.strip().lower().decode(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines[1:])}
-        n = int(headers["content-length"])
-        if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
+        sha, parts = hashlib.sha1(), []
+        for piece in member.pieces(int(headers["content-length"])):
+            sha.update(piece)
+            parts.append(piece)
+        if member.end() != b"\r\n\r\n":
             raise ValueError("a record's length isn't its Content-Length")
-        block = rest[:n]
-        if headers["warc-block-digest"] != f"sha1:{digest(block)}":
+        if headers["warc-block-digest"] != f"sha1:{base64.b32encode(sha.digest()).decode()}":
             raise ValueError("a record's block doesn't match its digest")
-        yield headers, block
+        yield headers, b"".join(parts)
+        rest = member.rest or stream.read(CHUNK)
 
 
 def parsed(headers: dict[str, str], block: bytes) -> tuple:
