@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from .common import components, done, matched, written
 from .topk import usable
 
-#: Vectors from which the codebooks are fitted at most, by the hash of the id; subspaces, codes of each, rounds.
+#: Vectors from which the codebooks are fitted at most, by their hash; subspaces, codes of each, rounds.
 SAMPLE, SUBSPACES, CODES, ROUNDS = 20_000, 8, 32, 8
+#: Vectors of the sample for each list; lengths of vectors, the most frequent ones, that have codebooks of their own.
+FOR_LIST, LENGTHS = 8, 64
 #: Vectors of a list's block, and probing vectors that meet it at a time.
 BLOCK, PROBES = 1024, 2048
 LAST = 2**63 - 1
@@ -50,7 +52,7 @@ class Quantiser:
         self.cuts = np.linspace(0, d, min(SUBSPACES, d) + 1).astype(int)
         rest = sample - self.coarse[np.argmax(sample @ self.coarse.T, axis=1)]
         self.books = [kmeans(rest[:, a:b], CODES, False) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
-        self.gaps = np.linalg.norm(self.coarse[:, None] - self.coarse[None], axis=2)
+        self.squares = (self.coarse * self.coarse).sum(1)
 
     def place(self, x: np.ndarray):
         """List, codes and coding error of each vector, and the lists that it has to probe."""
@@ -62,7 +64,9 @@ class Quantiser:
         error = np.linalg.norm(rest - back, axis=1)
         # If y is nearest to c' and x to c then (x - y)(c - c') >= x (c - c'): beyond reach * |c - c'| nothing
         # in the list of c' is within reach of x.
-        probes = dots[np.arange(len(x)), own][:, None] - dots <= self.reach * self.gaps[own] + 1e-9
+        gaps = np.sqrt(np.maximum(self.squares[own][:, None] + self.squares - 2 * (self.coarse @ self.coarse.T)[own], 0.0)) if len(self.coarse) <= len(x) else np.linalg.norm(self.coarse[own][:, None] - self.coarse, axis=2)
+        # rounding of a gap between centroids that are all but equal can only add a probe
+        probes = dots[np.arange(len(x)), own][:, None] - dots <= self.reach * (gaps + 1e-7) + 1e-9
         return own, codes, error, probes
 
     def estimate(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
@@ -91,14 +95,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
     # each distinct vector of a label gets a number of its own, as keys may repeat or be null
     distinct = rows.where("good").groupBy("l", "h", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("d", F.size("v"))
     distinct = written(distinct.withColumn("s", F.monotonically_increasing_id()), "vectors")
-    lengths = {r["d"]: r["c"] for r in distinct.groupBy("d").agg(F.count(F.lit(1)).alias("c")).orderBy("d").limit(64).collect()}
+    lengths = {r["d"]: r["c"] for r in distinct.groupBy("d").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "d").limit(LENGTHS).collect()}
     labels = max(1, distinct.select("l").distinct().count())
     books = {}
     for d, c in lengths.items():
-        take = distinct.where(F.col("d") == d).orderBy(F.xxhash64("id"), "h", "l").limit(sample).select("v").toPandas()["v"]
+        take = distinct.where(F.col("d") == d).orderBy("h", "l").limit(sample).select("v").toPandas()["v"]
         x = np.array([list(v) for v in take])
         x = unit(x / np.abs(x).max(axis=1, keepdims=True))
-        books[d] = Quantiser(x, max(1, min(1024, int(math.sqrt(c / labels) / 2))), threshold)
+        books[d] = Quantiser(x, max(1, min(len(x) // FOR_LIST, int(math.sqrt(c / labels) / 2))), threshold)
 
     def stacked(column) -> np.ndarray:
         # by the largest component first, so that no square overflows or vanishes
@@ -114,7 +118,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
                     x = stacked(part.column("v"))
                     own, codes, error, probe = books[d].place(x)
                     to = [np.flatnonzero(p) for p in probe]
-                else:  # beyond 64 lengths: one list for each, without codes
+                else:  # beyond the most frequent lengths: one list for each, without codes, all compared exactly
                     own, codes, error, to = np.zeros(part.num_rows, int), np.zeros((part.num_rows, 0), np.uint8), np.full(part.num_rows, 2.0), [[0]] * part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in ("l", "d", "s", "n", "v")] + [pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64()), pa.array([list(map(int, t)) for t in to], pa.list_(pa.int32()))],
