@@ -1,7 +1,7 @@
 """Operator 6, exact top-k search: an impact-ordered index of integer vectors, read score at a time.
 
-Candidates come in blocks; in a block each component's values are quantised to levels, and a (component,
-level) segment lists who has it. A query takes the segments by falling impact, adds impacts to accumulators,
+Candidates come in blocks, queries are sent past each block in a stream. In a block each component's values are
+quantised to levels, and a (component, level) segment lists who has it. A query takes the segments by falling impact, adds impacts to accumulators,
 and stops only when bounds prove who may still be among its k best; these are scored exactly.
 """
 
@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
-#: Candidates of a block, queries of a block, width of a quantised level, share of postings read between two proofs.
-BLOCK, QUERIES, WIDTH, SHARE = 4096, 256, 16, 16
+#: Candidates of a block, width of a quantised level, share of postings read between two proofs.
+BLOCK, WIDTH, SHARE = 4096, 16, 16
+#: Tasks at most; a task takes its blocks one after the other.
+TASKS = 20_000
 
 
 def usable(v: Column) -> Column:
@@ -29,6 +31,7 @@ class Index:
 
     def __init__(self, values: np.ndarray, width: int = WIDTH):
         self.values, self.width = values, width
+        self.most = int(np.abs(values.astype(float)).max()) if values.size else 0
         n, d = values.shape
         level = values // width
         ids, dims, levels, starts = [], [], [], [0]
@@ -46,7 +49,8 @@ class Index:
     def best(self, query: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
         """Rows that may be among the k best for query, all that are included; `own` rows don't count."""
         n, d = self.values.shape
-        if n <= 4 * k:
+        # few candidates, or sums that doubles don't hold to the last unit: all are scored
+        if n <= 4 * k or (self.most + self.width) * int(np.abs(query.astype(float)).max(initial=0)) * 4 * d >= 1 << 52:
             return np.flatnonzero(~own)
         q = query[self.dims]
         high = np.maximum(q * self.levels * self.width, q * (self.levels * self.width + self.width - 1))
@@ -75,45 +79,66 @@ class Index:
         return np.flatnonzero(may)
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "ints", block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+def scores(values: np.ndarray, query: np.ndarray, most: int) -> np.ndarray:
+    """Inner products, to the last unit; such as 64 bits don't hold are an error."""
+    if most * int(np.abs(query.astype(float)).max(initial=0)) * max(1, len(query)) < 1 << 62:
+        return values @ query
+    exact = values.astype(object) @ query.astype(object)
+    if any(abs(x) >= 1 << 63 for x in exact):
+        raise OverflowError("an inner product is beyond 64 bits")
+    return exact.astype(np.int64)
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "ints", block: int = BLOCK) -> DataFrame:
     """(query_id, rank, key, score): of each query row the k rows of other keys with the highest inner product.
 
     vector is an array of integers; ties go to the smaller key, then a repeated key appears as often as it has rows.
     Rows with null keys or null vectors take no part, and only vectors of a query's length are its candidates.
-    Each block of queries meets each block of candidates in a task of its own, so memory is bounded by the two.
-    Fewer candidates than k give as many rows; an empty table none.
+    A task holds a block of candidates, whose index is made once, and a batch of the queries that stream past it.
+    Inner products beyond 64 bits are an error. Fewer candidates than k give as many rows; an empty table none.
     """
-    rows = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<bigint>").alias("v"), is_query.alias("q"))
+    bounded_batches(rows.sparkSession)
+    rows = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<bigint>").alias("v"), is_query.alias("q"))
     rows = written(rows.withColumn("d", F.size("v")), "topk-rows")
-    n = rows.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / block).alias("cs"), F.ceil(F.count(F.when(F.col("q"), 1)) / queries).alias("qs")).where("qs > 0")
-    series = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    n = rows.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / block).alias("cs"), F.count_if("q").alias("qs")).where("qs > 0")
+    blocks = n.agg(F.sum("cs").alias("b")).first()["b"] or 1
     dealt = rows.join(n, "d")
-    cand = dealt.select("d", "id", "v", F.pmod(F.xxhash64("id"), F.col("cs")).alias("c"), series("qs").alias("b"))
-    ask = dealt.where("q").select("d", "id", "v", F.pmod(F.xxhash64("id"), F.col("qs")).alias("b"), series("cs").alias("c"))
-    ask = ask.select(*[F.col(x).alias(x) for x in ("d", "id", "v", "b", "c")])
+    held = dealt.select("d", F.pmod(F.xxhash64("id"), F.col("cs")).alias("c"), F.lit(0).alias("kind"), "id", "v")
+    asked = dealt.where("q").select("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cs") - 1)).alias("c"), F.lit(1).alias("kind"), "id", "v")
     schema = f"query_id bigint, {key} bigint, score bigint"
-
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = table.column("id").to_numpy()
-        flat = table.column("v").combine_chunks().flatten().to_numpy() if table.num_rows else np.zeros(0, np.int64)
-        return ids, flat.reshape(table.num_rows, -1) if table.num_rows else flat.reshape(0, 0)
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        (qids, qs), (ids, values) = matrix(left), matrix(right)
-        out = ([], [], [])
-        if len(ids) and len(qids):
-            index = Index(values)
-            for qid, q in zip(qids, qs, strict=True):
-                may = index.best(q, k, ids == qid)
-                score = values[may] @ q
-                for i in np.lexsort((ids[may], -score))[:k]:
-                    out[0].append(qid)
-                    out[1].append(ids[may[i]])
-                    out[2].append(score[i])
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), key: pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
-
-    keys = ["d", "b", "c"]
-    found = ask.groupBy(*keys).cogroup(cand.groupBy(*keys)).applyInArrow(search, schema)
+    names = ["query_id", key, "score"]
+
+    def search(batches):
+        at, ids, parts, index = None, [], [], None
+        for b in batches:
+            d, c, kind, id_ = (b.column(i).to_numpy() for i in range(4))
+            v = b.column(4)
+            # runs of rows of one block and kind
+            new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (kind[1:] != kind[:-1])))) if len(d) else ()
+            for x, y in zip(new, [*new[1:], len(d)], strict=True):
+                if at != (d[x], c[x]):
+                    at, ids, parts, index = (d[x], c[x]), [], [], None
+                values = v.slice(x, y - x).flatten().to_numpy().reshape(y - x, -1) if d[x] else np.zeros((y - x, 0), np.int64)
+                if kind[x] == 0:
+                    ids.append(id_[x:y].copy())
+                    parts.append(values.copy())
+                    continue
+                if not parts:
+                    continue
+                if index is None:
+                    index, ids, parts = Index(np.concatenate(parts)), np.concatenate(ids), [True]
+                out = ([], [], [])
+                for qid, q in zip(id_[x:y], values, strict=True):
+                    may = index.best(q, k, ids == qid)
+                    score = scores(index.values[may], q, index.most)
+                    best = np.lexsort((ids[may], -score))[:k]
+                    out[0].append(np.full(len(best), qid))
+                    out[1].append(ids[may[best]])
+                    out[2].append(score[best])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=names)
+
+    both = held.union(asked).repartition(max(1, min(TASKS, blocks)), "d", "c").sortWithinPartitions("d", "c", "kind")
+    found = both.mapInArrow(search, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
