@@ -12,8 +12,15 @@ def save_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def save_text(df: DataFrame, column: str, path: str) -> None:
-    df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
+def save_text(df: DataFrame, column: str, path: str, by: list[str] = ()) -> None:
+    """Texts, each with a line end behind it; with `by` in folders named by the values of these columns."""
+    df.select(*by, F.col(column).alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+
+
+def save_registry(rows: DataFrame, path: str) -> None:
+    """A registry's rows (file_id, row) as one JSON document, which its readers want whole."""
+    whole = rows.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("file_id", "row"))))).alias("value"))
+    save_text(whole, "value", path)
 
 
 def save_csv(df: DataFrame, path: str, tabs: bool = False) -> None:

@@ -50,9 +50,9 @@ def there(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents by an explicit schema; a path that isn't there gives no rows."""
-    return spark.read.schema(schema).option("multiLine", True).json(path) if there(spark, path) else spark.createDataFrame([], schema)
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON documents by an explicit schema, one to a file or one to a line; a path that isn't there gives no rows."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path) if there(spark, path) else spark.createDataFrame([], schema)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
