@@ -234,7 +234,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
     def tiles(cluster: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Clusters (sid, cl) by size band, as sets of sizes that can link are in one band or in neighbours: (sid, cl, band, sub), the subs of each band, and the sets' bodies."""
         own = sets.select("sid", band.alias("band")).join(cluster, "sid")
-        per = own.groupBy("cl", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("subs"))
+        # a table of its own, so that the join with it can split the rows of a large cluster
+        own = keep(own, "jaccard-own")
+        per = keep(own.groupBy("cl", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("subs")), "jaccard-bands")
         own = matched(own, per, ["cl", "band"]).withColumn("sub", F.pmod(F.xxhash64("sid"), F.col("subs"))).drop("subs")
         placed = keep(sets.select("sid", "body").join(own, "sid"), "jaccard-placed")
         return placed.select("sid", "cl", "band", "sub"), per, placed
@@ -265,13 +267,15 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
         # whatever isn't in its cluster's largest component against all other components of the cluster
         state = keep(own.join(state, "sid"), "jaccard-state")
         main = state.groupBy("cl", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("cl").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
+        main = keep(main, "jaccard-main")
         rest = keep(state.join(main, "cl").where("comp <> main").drop("main", "sub").withColumnRenamed("band", "rband"), "jaccard-rest")
-        rper = rest.groupBy("cl", "rband").agg(F.ceil(F.count(F.lit(1)) / side).alias("rsubs"))
+        rper = keep(rest.groupBy("cl", "rband").agg(F.ceil(F.count(F.lit(1)) / side).alias("rsubs")), "jaccard-bands")
         rest = matched(rest, rper, ["cl", "rband"]).withColumn("rsub", F.pmod(F.xxhash64("sid"), F.col("rsubs"))).drop("rsubs")
         lefts = rest.select("sid", "cl", "comp", "rband", "rsub", around("rband")).join(per, ["cl", "band"]).select("sid", "cl", "comp", "rband", "rsub", "band", series("subs").alias("sub"))
         lefts = lefts.join(placed.select("sid", "body"), "sid")
-        meet = rper.select("cl", "rband", "rsubs", around("rband"))
-        rights = state.join(meet, ["cl", "band"]).select("sid", "cl", "comp", "rband", series("rsubs").alias("rsub"), "band", "sub")
+        # by the part of a band as well: no key of this join has more than about `side` sets
+        meet = rper.select("cl", "rband", "rsubs", around("rband")).join(per, ["cl", "band"]).select("cl", "rband", "rsubs", "band", series("subs").alias("sub"))
+        rights = state.join(meet, ["cl", "band", "sub"]).select("sid", "cl", "comp", "rband", series("rsubs").alias("rsub"), "band", "sub")
         rights = rights.join(placed.select("sid", "body"), "sid")
         keys = ["cl", "rband", "rsub", "band", "sub"]
         more = lefts.groupBy(*keys).cogroup(fresh(rights).groupBy(*keys)).applyInArrow(tile, EDGES)
