@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,14 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The folders, each in the one before, in which scratch tables are made at present.
+_inside: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/quill-{name}-{uuid.uuid4().hex}"
+    return "/".join([shared_dir(spark), *_inside, f"quill-{name}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def passing(spark: SparkSession, name: str):
+    """Scratch tables made in here are deleted at the end, when what was to be made of them is a table elsewhere."""
+    at = scratch(spark, name)
+    _inside.append(at.rsplit("/", 1)[1])
+    try:
+        yield
+    finally:
+        _inside.pop()
+        delete(spark, at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: computed once, kept when executors go, with a short lineage."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    spark = df.sparkSession
+    path = path or scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.quill_path = path
@@ -47,9 +70,7 @@ def done(*tables: DataFrame) -> None:
     """Deletes tables that written() gave, of which no more is to be read: what was made of them is a table by now."""
     for t in tables:
         if path := getattr(t, "quill_path", None):
-            spark = t.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(t.sparkSession, path)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -72,6 +72,25 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_scratch_tables_go(spark, tmp_path):
+    from quillspark.llm import common
+
+    def left():
+        at = spark._jvm.org.apache.hadoop.fs.Path(common.shared_dir(spark))
+        return {x.getPath().getName() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)}
+
+    before = left()
+    with common.passing(spark, "some"):
+        out = scratch(spark, "inner")
+        inner = common.written(spark.range(5), "inner")
+        kept = common.written(inner.where("id > 2"), "kept", str(tmp_path / "kept"))
+        assert out.count("/") == scratch(spark, "x").count("/") and len(left() - before) == 1
+    assert kept.count() == 2 and left() == before
+    table = common.written(spark.range(5), "one")
+    common.done(table, spark.range(3))
+    assert left() == before
+
+
 def test_numbers_have_no_gaps_and_repeat(spark):
     rows = spark.createDataFrame([(1, "a")] * 500 + [(i, None if i % 3 else "b") for i in range(300)], "id long, s string")
     a, b = (sorted(map(tuple, numbered(x, "n").collect()), key=str) for x in (rows, rows.repartition(7)))
