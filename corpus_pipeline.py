@@ -1,7 +1,8 @@
 """A corpus from documents in five stages, each one operator of quillspark.llm.
 
 Each stage takes (spark, docs, sf_dir), is written as Parquet and read again as the next one's docs; all but
-the last return the columns of documents.
+the last return the columns of documents, whatever else docs has. An empty table gives an empty one; nulls,
+empty and very long texts, and repeated rows are what the stages' own descriptions say.
 """
 
 from __future__ import annotations
@@ -10,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, jaccard, mixing, substring, toxicity
-from quillspark.llm.common import matched, n_words, written
+from quillspark.llm.common import done, matched, n_words, passing, scratch, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; it is fitted on the labelled ones among docs."""
+    """Documents that the toxicity model rejects go; it is fitted on the labelled ones among docs.
+
+    Without labels of both classes all stay. A null text is judged as an empty one, rows each by itself.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 
@@ -37,7 +41,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 13 words that an earlier document has go from later ones; texts that lose nothing stay as they are."""
+    """Windows of 13 words that an earlier document has go from later ones; texts that lose nothing stay as they are, null ones too.
+
+    A text all of whose words go is an empty one. Rows of one doc_id are no earlier documents of each other, rows
+    without one come last.
+    """
     out = substring.dedup(docs.select(*COLUMNS))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -61,7 +69,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each text, with their number and the digests of ids and of the text decoded from them."""
+    """The number of tokens of each text and the digests of its ids and of the text decoded from them; a null text has none."""
     return bpe.encode(docs, keep=("doc_id", "lang", "source"), full=False)
 
 
@@ -72,8 +80,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is a table in the shared folder before the next begins."""
+    """All stages over documents; each is a table in the shared folder before the next begins, and what it was made of goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path, was = scratch(spark, f"pipeline-{name}"), docs
+        with passing(spark, name):
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        done(was)
     return STAGES[-1][1](spark, docs, sf_dir)
