@@ -135,6 +135,12 @@ def citation_contexts(sents: DataFrame, key: str = "doc_id", most: Column | None
     return rows.select(*sents.columns, "prev_sentence", "next_sentence", "context", "citation_id", "__e.*")
 
 
+def style_counts(citations: DataFrame) -> DataFrame:
+    """(style, form, citations): how many citations there are of each style and form; a citation of several forms counts for each."""
+    forms = F.explode(F.when(F.size("forms") > 0, F.col("forms")).otherwise(F.array(F.lit("")))).alias("form")
+    return citations.select("style", forms).groupBy("style", "form").agg(F.count(F.lit(1)).alias("citations"))
+
+
 def open_citations(registry: DataFrame, again: bool = False) -> DataFrame:
     """Rows of a registry whose citations are still to be found; all of them, if they are to be found again."""
     return registry if again else registry.where(F.col("citation_state").isNull() | ~F.col("citation_state").isin("done", "Not_Found"))

@@ -67,6 +67,17 @@ def detail(rows: DataFrame, body: Column, key: str = "doc_id") -> DataFrame:
     return rows.withColumn("category", F.when(other, found).otherwise(F.col("category"))).drop("__b", "__a", "__f", "abstract")
 
 
+def decided(rows: DataFrame, provider, key: str = "doc_id") -> DataFrame:
+    """rows (key, pos, category, content) in which a model has said of each undecided block whether it is main text; the others aren't asked about."""
+    from ..providers import chat
+
+    open_ = rows.where("category = 'undecided'").withColumn("__p", F.concat(F.lit("Is this main text of a paper? Answer main_letter or other.\n"), "content"))
+    said = chat(open_, "__p", provider, "__said")
+    answer = F.when(F.lower(F.trim("__said")) == "main_letter", "main_letter").otherwise("other")
+    columns = [key, "pos", "category", "content"]
+    return rows.where("category <> 'undecided'").select(columns).unionByName(said.withColumn("category", answer).select(columns))
+
+
 def reconciled(rows: DataFrame, known: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """rows with the known abstract (key, abstract) in place of a chunk that is nearly it, and the abstracts (key, abstract) as they are then known."""
     from ..functions.text import title_form

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import providers
-from ..functions import jsons, vector
+from ..functions import jsons, records, vector
 from ..functions import text as fx
 from ..operators import citations as ct
 from ..operators import evaluation as ev
-from ..operators import ingest, sections
+from ..operators import ingest, knowledge, sections
 from ..operators import markdown as md
 from ..operators import retrieval as rt
 from ..sources import layout
 from ..sources.tables import table
-from .text_queries import BLOCKS, MERGED, ORDERED, SHAPED, docs, ordered, paragraphs, shaped, told
+from .rag import index
+from .text_queries import BLOCKS, CITED, MERGED, ORDERED, SHAPED, cited, docs, ordered, paragraphs, shaped, told
 
 QUERIES, ORACLES = {}, {}
 
@@ -218,6 +219,13 @@ def abstract_choice(spark, d):
     return out.join(abstracts, "doc_id").select("doc_id", F.md5("content").alias("chunk_md5"), F.md5("abstract").alias("abstract_md5"))
 
 
+@query("main_letters", f"""WITH {SHAPED} SELECT doc_id, pos, CASE WHEN category <> 'undecided' THEN category WHEN contains(content, 'ing') THEN 'main_letter' ELSE 'other' END AS category FROM cat""")
+def main_letters(spark, d):
+    """Undecided blocks by a stand-in for a model."""
+    rows = md.classify_blocks(shaped(spark, d))
+    return sections.decided(rows, lambda prompts: [" Main_letter" if "ing" in p.split("\n", 1)[1] else "no" for p in prompts]).select("doc_id", "pos", "category")
+
+
 @query("title_records", f"""WITH {BLOCKS}, b AS (SELECT doc_id, min(pos) AS pos FROM blocks WHERE pos % 3 = 2 GROUP BY doc_id), t AS (SELECT doc_id, content FROM blocks JOIN b USING (doc_id, pos)),
 k AS (SELECT lower(trim(regexp_replace(regexp_replace(regexp_replace(content, '^#+\\s*', ''), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS f, min(doc_id) AS doi FROM t WHERE doc_id % 2 = 0 GROUP BY 1)
 SELECT doc_id, md5(content) AS title_md5, doi FROM t LEFT JOIN k ON f <> '' AND f = lower(trim(regexp_replace(regexp_replace(regexp_replace(content, '^#+\\s*', ''), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')))""")
@@ -250,6 +258,36 @@ def json_chunks(spark, d):
     return md.json_chunks(rows)
 
 
+@query("reference_links", r"""WITH e AS (SELECT c_custkey, 1 AS k, 'Seen in ' || c_mktsegment || ' by ' || c_name || ', 2001' AS entry FROM customer UNION ALL SELECT c_custkey, 2, 'Nothing of what is known at all' FROM customer),
+w AS (SELECT c_custkey, k, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(entry), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) >= 7))) AS w FROM e), t AS (SELECT c_custkey AS doi, unnest(['customer', lpad(c_custkey::VARCHAR, 9, '0')]) AS w FROM customer WHERE c_custkey % 10 < 7),
+s AS (SELECT c_custkey, k, doi, count(*) AS shared FROM w JOIN t USING (w) GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, k ORDER BY shared DESC, doi) AS r FROM s)
+SELECT e.c_custkey || '-' || e.k AS ref_id, doi, shared FROM e LEFT JOIN b ON b.c_custkey = e.c_custkey AND b.k = e.k AND r = 1""")
+def reference_links(spark, d):
+    """Entries of reference sections, each with the record that shares most of its long words."""
+    c = table(spark, d, "customer")
+    text = F.concat(F.lit("# References\n[1] Seen in "), "c_mktsegment", F.lit(" by "), "c_name", F.lit(", 2001\n(2) Nothing of what is known at all\n3. short"))
+    entries = c.select("c_custkey", F.posexplode(ct.split_references(text)).alias("pos", "text")).select(F.concat_ws("-", "c_custkey", F.col("pos") + 1).alias("ref_id"), "text")
+    titles = c.where("c_custkey % 10 < 7").select(F.col("c_custkey").alias("doi"), F.col("c_name").alias("title"))
+    return records.best_record(entries, titles, letters=7)
+
+
+@query("mined_triplets", f"""WITH {BLOCKS}, c AS (SELECT doc_id, substring(content, 1, 3000) AS chunk FROM blocks WHERE pos % 9 = 0) SELECT doc_id, 'part' AS path, 'n' || length(chunk) AS source, 'block' AS target, 'is in' AS relation FROM c WHERE length(chunk) % 2 = 0""")
+def mined_triplets(spark, d):
+    """Triplets that a stand-in for a model names in blocks of even length."""
+
+    def model(prompts):
+        sizes = [len(p.split("\n", 2)[2]) for p in prompts]
+        return [f'[{{"source": "n{n}", "target": "block", "relation": "is in"}}]' if n % 2 == 0 else "none" for n in sizes]
+
+    chunks = paragraphs(spark, d).where("pos % 9 = 0").select("doc_id", F.lit("part").alias("path"), F.explode(F.slice(md.windows_of(F.col("content"), 3000), 1, 1)).alias("chunk"))
+    return knowledge.mined(chunks, model)
+
+
+@query("citation_styles", f"WITH {CITED} SELECT style, forms AS form, count(*) AS citations FROM k GROUP BY ALL")
+def citation_styles(spark, d):
+    return ct.style_counts(cited(spark, d))
+
+
 # Searches and stores --------------------------------------------------------------------------------------------
 
 
@@ -303,6 +341,12 @@ def store_append(spark, d):
     return rt.delete_source(rt.append(store_of(spark, d), docs(spark, d).select("source", "doc_id")), "src5")
 
 
+@query("indexed_chunks", f"WITH {STORE} SELECT doc_id, 64 AS dims FROM documents WHERE source NOT IN (SELECT source FROM store)")
+def indexed_chunks(spark, d):
+    chunks = docs(spark, d).select("doc_id", "source", F.col("text").alias("content"))
+    return index(chunks, store_of(spark, d)).select("doc_id", F.size("embedding").alias("dims"))
+
+
 @query("relation_strength", """WITH i AS (SELECT DISTINCT l_returnflag AS sample, l_partkey || '-' || l_suppkey AS item, l_suppkey % 11 AS s, l_partkey % 3 AS k FROM lineitem) SELECT sample, round(avg(CASE WHEN k > 0 THEN s ELSE 0 END), 4) AS rs FROM i GROUP BY sample""")
 def relation_strength(spark, d):
     items = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("sample"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("item"), "l_partkey", "l_suppkey")
