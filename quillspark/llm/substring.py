@@ -30,6 +30,8 @@ BUCKET_WINDOWS = 1 << 20
 #: Run tables of an index before they are compacted into one; runs in a bucket merge when within this ratio.
 MOST_RUNS, RATIO = 8, 2
 LAST = 2**63 - 1
+#: What is kept of a window's second hash, by which a match of the first is verified.
+CHECK = np.dtype(np.uint32)
 REPLY = "__chunk bigint, __bucket bigint, __data binary"
 
 
@@ -44,10 +46,10 @@ class Chunk:
             w.hashes = None
             self.words.append(w)
             hashes.append(h)
-            checks.append((c >> np.uint64(48)).astype(np.uint16))
+            checks.append((c >> np.uint64(64 - 8 * CHECK.itemsize)).astype(CHECK))
             counts.append(n)
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        checks = np.concatenate(checks) if checks else np.zeros(0, np.uint16)
+        checks = np.concatenate(checks) if checks else np.zeros(0, CHECK)
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.order = np.argsort(self.hashes, kind="stable")
         h, c = self.hashes[self.order], checks[self.order]
@@ -181,7 +183,7 @@ class FingerprintIndex:
                 waiting.clear()
 
             for chunk, data in rows:
-                h, c = unpack(data.as_py(), np.uint16)
+                h, c = unpack(data.as_py(), CHECK)
                 if chunk < 0:  # a run of the history
                     index.add(h, c)
                     continue
@@ -234,7 +236,7 @@ class FingerprintIndex:
 
         def merge(table: pa.Table) -> pa.Table:
             runs = Runs()
-            runs.runs = [unpack(x.as_py(), np.uint16) for x in table.column("__data")]
+            runs.runs = [unpack(x.as_py(), CHECK) for x in table.column("__data")]
             runs.compact(len(runs.runs))
             return _rows([(-1, table.column("__bucket")[0].as_py(), pack(*runs.runs[0]))])
 
@@ -305,7 +307,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WIN
     A word is removed if a window of k words that covers it also starts in a document of smaller key.
     kept_text has the other words, joined by one space. Null texts have no words; documents of fewer than
     k words lose none; rows of one key are no earlier documents of each other; null keys count as the
-    largest. Two windows are taken for equal if 80 bits of two independent hashes agree. An empty table gives no
+    largest. Two windows are taken for equal if 96 bits of two independent hashes agree. An empty table gives no
     rows. The columns made replace columns of their names. What an index holds that is given comes before all of
     docs, whose windows it then has as well; k is the index's.
     """
