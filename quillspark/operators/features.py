@@ -50,19 +50,30 @@ def reference_summary(references: DataFrame) -> DataFrame:
     return references.agg(F.count_distinct("owner").alias("papers_with_references"), F.count_distinct("member").alias("reference_vocab_size"))
 
 
+#: Sets up to this size meet as arrays.
+SMALL = 256
+
+
 def overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (i, j) and set members (owner, member), distinct: sizes ni, nj (null if none) and common.
 
-    Candidates lead: only their sets are multiplied out, never all sets with each other, and of a pair
-    only the smaller set, whose members are looked up in the other.
+    Candidates lead: only their sets meet, never all sets with each other. Small sets go with the pairs as arrays. Of a
+    pair with a larger one only the smaller set is multiplied out, whose members are looked up in the other.
     """
     sizes = sets.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
-    out = pairs.join(sizes.select(F.col("owner").alias("i"), F.col("n").alias("ni")), "i", "left").join(sizes.select(F.col("owner").alias("j"), F.col("n").alias("nj")), "j", "left")
+    few = sets.join(sizes.where(F.col("n") <= SMALL).select("owner"), "owner").groupBy("owner").agg(F.collect_list("member").alias("m"))
+    owners = sizes.join(few, "owner", "left")
+    out = pairs.select("i", "j")
+    for end in PAIR:
+        out = out.join(owners.select(F.col("owner").alias(end), F.col("n").alias(f"n{end}"), F.col("m").alias(f"m{end}")), end, "left")
+    both = F.col("ni").isNotNull() & F.col("nj").isNotNull()
+    met = out.select("i", "j", "ni", "nj", F.when(both & F.col("mi").isNotNull() & F.col("mj").isNotNull(), F.size(F.array_intersect("mi", "mj"))).alias("met"))
     first = F.col("ni") <= F.col("nj")
-    asked = out.where("ni is not null and nj is not null").select("i", "j", F.when(first, F.col("i")).otherwise(F.col("j")).alias("small"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("large"))
+    asked = out.where(both & (F.col("mi").isNull() | F.col("mj").isNull())).select("i", "j", F.when(first, F.col("i")).otherwise(F.col("j")).alias("small"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("large"))
     members = asked.join(sets.select(F.col("owner").alias("small"), "member"), "small")
     common = members.join(sets.select(F.col("owner").alias("large"), "member"), ["large", "member"]).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("common"))
-    return out.join(common, PAIR, "left").select("i", "j", "ni", "nj", F.when(F.col("ni").isNotNull() & F.col("nj").isNotNull(), F.coalesce("common", F.lit(0))).alias("common"))
+    out = met.join(common, PAIR, "left")
+    return out.select("i", "j", "ni", "nj", F.when(both, F.coalesce(F.col("met").cast("long"), "common", F.lit(0).cast("long"))).alias("common"))
 
 
 def jaccard(common: Column, ni: Column, nj: Column) -> Column:

@@ -126,7 +126,9 @@ def test_records(spark):
     assert [tuple(r) for r in records.references(rows, "id").collect()] == [(1, 0, None, '{"key":"r","year":"1999"}')]
 
 
-def test_overlap_looks_from_the_smaller_side(spark):
+@pytest.mark.parametrize("small", [256, 6, 0])
+def test_overlap_looks_from_the_smaller_side(spark, monkeypatch, small):
+    monkeypatch.setattr(features, "SMALL", small)
     rng = random.Random(3)
     sets = {o: {rng.randint(0, 20) for _ in range(rng.randint(1, 15))} for o in "abcde"}
     rows = spark.createDataFrame([(o, str(m)) for o, ms in sets.items() for m in ms], "owner string, member string")
