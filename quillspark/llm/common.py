@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Maximal runs of characters other than ASCII white space.
@@ -164,29 +164,31 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     component is the smallest node reachable. Alternating large-star and small-star rounds
     (Kiveris et al. 2014): each links nodes to the smallest of their neighbours by a grouped minimum
-    and a join, until nothing changes; rounds grow with the logarithm of the longest path. Every step
-    is a table in the shared folder, so the two sides of a join come as they are, and the many edges of
-    one node can be split among tasks. Null ends and loops are dropped; no edges give no rows.
+    and a join, until nothing changes; rounds grow with the logarithm of the longest path. Every round
+    is a table in the shared folder, and so is what stands above each node, so that a join can split
+    the many edges below one node among tasks. Null ends and loops are dropped; no edges give no rows.
     """
-    sign = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    at = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    at = written(at.distinct(), "edges")
-    seen = sign(at)
+
+    def table(e: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        said = e.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
+        return written(said, "edges"), seen.get
+
+    at, seen = table(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")))
     for _ in range(rounds):
         if not seen["n"]:
             break
         # a is the larger end: what stands over a goes to the least that stands over b, if anything does
         above = written(at.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("g")), "edges-above")
-        large = written(at.join(above, F.col("b") == F.col("u"), "left").select("a", F.coalesce("g", "b").alias("b")).distinct(), "edges-large")
-        least = written(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "edges-least")
+        large = at.join(above, F.col("b") == F.col("u"), "left").select("a", F.coalesce("g", "b").alias("b")).distinct()
+        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        small = large.join(least, F.col("a") == F.col("u")).select(F.explode(ends).alias("e")).select("e.a", "e.b")
-        was, at = at, written(small.where("a <> b").distinct(), "edges")
-        done(was, above, large, least)
-        now = sign(at)
-        if now == seen:
+        small = fresh(large).join(least, F.col("a") == F.col("u")).select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b")
+        was, before = at, seen
+        at, seen = table(small)
+        done(was, above)
+        if seen == before:
             break
-        seen = now
     else:
         raise RuntimeError(f"components: no end after {rounds} rounds")
     roots = at.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

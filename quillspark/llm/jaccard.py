@@ -235,7 +235,6 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
         """Clusters (sid, cl) by size band, as sets of sizes that can link are in one band or in neighbours: (sid, cl, band, sub), the subs of each band, and the sets' bodies."""
         own = sets.select("sid", band.alias("band")).join(cluster, "sid")
         # a table of its own, so that the join with it can split the rows of a large cluster
-        own = keep(own, "jaccard-own")
         per = keep(own.groupBy("cl", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("subs")), "jaccard-bands")
         own = matched(own, per, ["cl", "band"]).withColumn("sub", F.pmod(F.xxhash64("sid"), F.col("subs"))).drop("subs")
         placed = keep(sets.select("sid", "body").join(own, "sid"), "jaccard-placed")
