@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch, and what Spark says where nobody has set them.
 BATCH_BYTES, DEFAULT_BATCH = 4 << 20, "67108864b"
+#: Narrow rows of a file of a small table.
+FILE_ROWS = 8192
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,10 +58,16 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: computed once, kept when executors go, with a short lineage."""
+def written(df: DataFrame, name: str, path: str | None = None, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: computed once, kept when executors go, with a short lineage.
+
+    Where about how many rows it has is known, it has a file for each FILE_ROWS of them at most, as a
+    file costs more than many rows.
+    """
     spark = df.sparkSession
     path = path or scratch(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.quill_path = path
@@ -169,23 +177,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     the many edges below one node among tasks. Null ends and loops are dropped; no edges give no rows.
     """
 
-    def table(e: DataFrame) -> tuple[DataFrame, dict]:
+    def table(e: DataFrame, rows: int | None = None) -> tuple[DataFrame, dict]:
         seen = Observation()
         said = e.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
-        return written(said, "edges"), seen.get
+        return written(said, "edges", rows=rows), seen.get
 
     at, seen = table(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")))
     for _ in range(rounds):
         if not seen["n"]:
             break
         # a is the larger end: what stands over a goes to the least that stands over b, if anything does
-        above = written(at.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("g")), "edges-above")
+        above = written(at.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("g")), "edges-above", rows=seen["n"])
         large = at.join(above, F.col("b") == F.col("u"), "left").select("a", F.coalesce("g", "b").alias("b")).distinct()
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = fresh(large).join(least, F.col("a") == F.col("u")).select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a <> b")
         was, before = at, seen
-        at, seen = table(small)
+        at, seen = table(small, seen["n"])
         done(was, above)
         if seen == before:
             break

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, done, fresh, matched, written
@@ -215,14 +215,16 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
 
     used = []
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
+    def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """written(df), to be deleted at the end."""
-        used.append(written(df, name))
+        used.append(written(df, name, rows=rows))
         return used[-1]
 
     # sets that chunks have in common become one; each gets a number of its own, as keys may repeat or be null
     sets = both.where("kind = 1").groupBy("name").agg(F.min("own").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("body").alias("body"))
-    sets = written(sets.withColumn("sid", F.monotonically_increasing_id()), "jaccard-distinct")
+    seen = Observation()
+    sets = written(sets.withColumn("sid", F.monotonically_increasing_id()).observe(seen, F.count(F.lit(1)).alias("n")), "jaccard-distinct")
+    n = seen.get["n"]
     posts = sets.select("sid", F.explode("prefix").alias("token"))
     least_of = posts.groupBy("token").agg(F.min("sid").alias("b"), F.max("sid").alias("c")).where("b < c").drop("c")
     stars = posts.join(least_of, "token").where("sid <> b").select(F.col("sid").alias("a"), "b")
@@ -235,7 +237,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
         """Clusters (sid, cl) by size band, as sets of sizes that can link are in one band or in neighbours: (sid, cl, band, sub), the subs of each band, and the sets' bodies."""
         own = sets.select("sid", band.alias("band")).join(cluster, "sid")
         # a table of its own, so that the join with it can split the rows of a large cluster
-        per = keep(own.groupBy("cl", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("subs")), "jaccard-bands")
+        per = keep(own.groupBy("cl", "band").agg(F.ceil(F.count(F.lit(1)) / side).alias("subs")), "jaccard-bands", n)
         own = matched(own, per, ["cl", "band"]).withColumn("sub", F.pmod(F.xxhash64("sid"), F.col("subs"))).drop("subs")
         placed = keep(sets.select("sid", "body").join(own, "sid"), "jaccard-placed")
         return placed.select("sid", "cl", "band", "sub"), per, placed
@@ -256,7 +258,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
 
     # what may still link is what shares a rare shingle across components: of these smaller clusters are made anew
     comp = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
-    state = keep(cluster.select("sid").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-state")
+    state = keep(cluster.select("sid").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "jaccard-state", n)
     seen = posts.join(state, "sid")
     still = seen.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("sid").alias("b")).where("lo < hi").select("token", "b")
     stars = keep(seen.join(still, "token").where("sid <> b").select(F.col("sid").alias("a"), "b"), "jaccard-open")
@@ -264,11 +266,11 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
         done(placed)
         own, per, placed = tiles(components(stars).select(F.col("node").alias("sid"), F.col("component").alias("cl")))
         # whatever isn't in its cluster's largest component against all other components of the cluster
-        state = keep(own.join(state, "sid"), "jaccard-state")
+        state = keep(own.join(state, "sid"), "jaccard-state", n)
         main = state.groupBy("cl", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("cl").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-        main = keep(main, "jaccard-main")
-        rest = keep(state.join(main, "cl").where("comp <> main").drop("main", "sub").withColumnRenamed("band", "rband"), "jaccard-rest")
-        rper = keep(rest.groupBy("cl", "rband").agg(F.ceil(F.count(F.lit(1)) / side).alias("rsubs")), "jaccard-bands")
+        main = keep(main, "jaccard-main", n)
+        rest = keep(state.join(main, "cl").where("comp <> main").drop("main", "sub").withColumnRenamed("band", "rband"), "jaccard-rest", n)
+        rper = keep(rest.groupBy("cl", "rband").agg(F.ceil(F.count(F.lit(1)) / side).alias("rsubs")), "jaccard-bands", n)
         rest = matched(rest, rper, ["cl", "rband"]).withColumn("rsub", F.pmod(F.xxhash64("sid"), F.col("rsubs"))).drop("rsubs")
         lefts = rest.select("sid", "cl", "comp", "rband", "rsub", around("rband")).join(per, ["cl", "band"]).select("sid", "cl", "comp", "rband", "rsub", "band", series("subs").alias("sub"))
         lefts = lefts.join(placed.select("sid", "body"), "sid")
@@ -282,7 +284,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
 
     comp = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
     # only here the smallest document names a component
-    linked = written(sets.select("name", "sid", "least").join(comp, "sid", "left"), "jaccard-named")
+    linked = written(sets.select("name", "sid", "least").join(comp, "sid", "left"), "jaccard-named", rows=n)
     rows = written(both.where("kind = 0").select("doc", "own", "n", "name"), "jaccard-documents")
     done(both, sets, *used)
     best = linked.where("comp is not null").groupBy("comp").agg(F.min("least").alias("best"))
