@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..functions import vector
 from ..operators import adjudicate, features, graph
-from ..sources.tables import shared, table, written
+from ..sources.tables import shared, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -28,7 +28,11 @@ LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
 def raw_edges(spark: SparkSession, d: str) -> DataFrame:
-    """(s, t) with DOIs in two spellings, normalised to one."""
+    """(i, j, s, t): keys of both ends, and their DOIs in two spellings, normalised to one. A table that the queries of a session share."""
+    return shared(spark, d, "raw-edges", _raw_edges)
+
+
+def _raw_edges(spark: SparkSession, d: str) -> DataFrame:
     nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*LINE))
     rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("s"), nxt.alias("t")).where("t is not null")
     source = fx.normalize_doi(F.concat(F.lit("https://doi.org/10.1234/P"), F.col("s").cast("string")))
@@ -48,14 +52,18 @@ def papers(spark, d) -> DataFrame:
 
 
 def network(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the graph; the edges are a table that the queries of a session share."""
+    nodes, _, _ = _network(spark, d)
+    return nodes, shared(spark, d, "network", lambda s, f: _network(s, f)[1])
+
+
+def _network(spark, d):
     nodes = papers(spark, d).select("doi", F.col("p_name").alias("title"), F.col("p_partkey").alias("ord"))
-    edges = raw_edges(spark, d).select(F.col("i").alias("source_doi"), F.col("j").alias("target_doi"))
-    nodes, edges, _ = graph.load_graph(nodes, edges)
-    return nodes, edges
+    return graph.load_graph(nodes, raw_edges(spark, d).select(F.col("i").alias("source_doi"), F.col("j").alias("target_doi")))
 
 
 def pairs(spark, d) -> DataFrame:
-    return features.cited_local(papers(spark, d), raw_edges(spark, d).select("i", F.col("j").alias("doi")))
+    return shared(spark, d, "pairs", lambda s, f: features.cited_local(papers(s, f), raw_edges(s, f).select("i", F.col("j").alias("doi"))))
 
 
 @query("doi_normalize", r"""
@@ -97,7 +105,7 @@ BFS = f"""bfs AS (SELECT doi, min(depth) AS depth FROM (WITH RECURSIVE r(doi, de
 def crawled(spark, d):
     nodes, edges = network(spark, d)
     seeds = nodes.where(F.col("doi").isin(SEEDS)).select("doi")
-    return graph.bfs(seeds, written(edges, "bfs-edges"), backward=2, forward=1)
+    return graph.bfs(seeds, edges, backward=2, forward=1)
 
 
 @query("bfs_depth", f"WITH {RAW}, {BFS} SELECT doi, depth FROM bfs")
@@ -187,12 +195,12 @@ RANKS = _ranks_sql()
 
 
 def ranks(spark, d):
-    return graph.pagerank(*network(spark, d), rounds=ROUNDS)
+    return shared(spark, d, "ranks", lambda s, f: graph.pagerank(*network(s, f), rounds=ROUNDS))
 
 
 @query("pagerank", f"WITH {RAW}, {RANKS} SELECT doi, round(pagerank, 8) AS pagerank FROM pr")
 def pagerank(spark, d):
-    return ranks(spark, d).withColumn("pagerank", F.round("pagerank", 8))
+    return graph.pagerank(*network(spark, d), rounds=ROUNDS).withColumn("pagerank", F.round("pagerank", 8))
 
 
 SEM = """vec AS (SELECT '10.1234/p' || p_partkey AS doi, embedding::DOUBLE[] AS v FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
@@ -225,9 +233,8 @@ def edge_table(spark, d) -> DataFrame:
 
 
 def _edge_table(spark, d) -> DataFrame:
-    nodes, edges = (written(x, "network") for x in network(spark, d))
-    p = written(features.cited_local(nodes, edges.select(F.col("source_doi").alias("i"), F.col("target_doi").alias("doi"))), "pairs")
-    r = graph.pagerank(nodes, edges, rounds=ROUNDS)
+    nodes, edges = network(spark, d)
+    p, r = pairs(spark, d), ranks(spark, d)
     parts = [features.bibcoupling(p, references(spark, d)), features.cocitation(p, nodes, edges), features.pagerank_features(p, r), features.author_jaccard(p, authors(spark, d))]
     parts += [features.semantic(p, title_vectors(spark, d), "title_sim"), features.semantic(p, title_vectors(spark, d, 7), "abstract_sim"), features.citation_frequency(p, mentions(spark, d))]
     return features.assemble(p, *parts).select("i", "j", *COLUMNS)
