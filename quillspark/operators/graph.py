@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_doi
 from ..sources.tables import written
+from .features import running
 
 
 def load_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -133,20 +134,28 @@ def adamic_adar(edges: DataFrame, top: int | None = 15) -> DataFrame:
     No pair scores more than either of its nodes with all its neighbours in common. So pairs of the PROBED nodes with
     the highest such bounds are scored first, and nodes whose bound is under the last of their best are left out.
     """
-    both = edges.select(F.least("source_doi", "target_doi").alias("i"), F.greatest("source_doi", "target_doi").alias("j")).where("i <> j").distinct()
-    both = written(both, "adamic-edges")
+    both = edges.select(F.least("source_doi", "target_doi").alias("a"), F.greatest("source_doi", "target_doi").alias("b")).where("a <> b").distinct()
+    # numbers in the order of the DOIs: what is grouped by the million is pairs of numbers
+    nodes = both.select(F.explode(F.array("a", "b")).alias("doi")).distinct().withColumn("one", F.lit(1))
+    nodes = written(running(nodes, "doi", "one", "k").drop("one"), "adamic-nodes")
+    both = both.join(nodes.select(F.col("doi").alias("a"), F.col("k").alias("i")), "a").join(nodes.select(F.col("doi").alias("b"), F.col("k").alias("j")), "b")
+    both = written(both.select("i", "j"), "adamic-edges")
     either = both.select("i", "j").union(both.select("j", "i"))
     degree = either.groupBy("i").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
     arms = written(either.join(degree, "i").select(F.col("i").alias("z"), F.col("j").alias("n"), (1 / F.log("d")).alias("w")), "adamic-arms")
-    if top is None:
-        return _scores(arms, both)
     order = [F.round("score", 8).desc(), "i", "j"]
-    bound = written(arms.groupBy("n").agg(F.sum("w").alias("most")), "adamic-bounds")
-    probed = bound.orderBy(F.desc("most"), "n").limit(PROBED).select("n")
-    first = _scores(arms.join(probed, "n", "left_semi"), both).orderBy(*order).limit(top).agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("s")).first()
-    if first["c"] == top:
-        arms = arms.join(bound.where(F.col("most") >= first["s"] - 1e-6).select("n"), "n", "left_semi")
-    return _scores(arms, both).orderBy(*order).limit(top)
+    if top is not None:
+        bound = written(arms.groupBy("n").agg(F.sum("w").alias("most")), "adamic-bounds")
+        probed = bound.orderBy(F.desc("most"), "n").limit(PROBED).select("n")
+        first = _scores(arms.join(probed, "n", "left_semi"), both).orderBy(*order).limit(top).agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("s")).first()
+        if first["c"] == top:
+            arms = arms.join(bound.where(F.col("most") >= first["s"] - 1e-6).select("n"), "n", "left_semi")
+    found = _scores(arms, both)
+    if top is not None:
+        found = found.orderBy(*order).limit(top)
+    name = lambda c, n: nodes.select(F.col("k").alias(f"__{c}"), F.col("doi").alias(n))
+    found = found.join(name("i", "di"), F.col("i") == F.col("__i")).join(name("j", "dj"), F.col("j") == F.col("__j")).select(F.col("di").alias("i"), F.col("dj").alias("j"), "score")
+    return found if top is None else found.orderBy(*order)
 
 
 def reachable(edges: DataFrame, keys: list[str], rounds: int = 100) -> DataFrame:
