@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..functions import vector
 from ..operators import adjudicate, features, graph
 from ..sources.tables import shared, table
 
