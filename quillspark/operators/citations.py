@@ -179,22 +179,22 @@ def reference_entries(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.groupBy(key, "num").agg(F.max_by("raw", "g").alias("raw"))
 
 
-#: What stands where an entry begins; no text has it.
-CUT = "\u0002"
+#: What an entry of running references begins with, and what may stand before the first.
+MARK, SPACED_MARK = r"(?:\[\d+\]|\(\d+\)|\d{1,3}\.)", r"\s\d{1,3}\."
+HEADING = r"(?i:\s*#?\s*references?(?:\s+and\s+notes)?)"
 
 
 def split_references(c: Column, least: int = 20) -> Column:
     """The entries of a reference section in running text, without their numbers; shorter ones than `least` are none.
 
-    An entry begins with [n], (n) or n. at the start of a line, or with n. after white space. Superscript numbers
-    count as [n]; formulas go.
+    An entry begins with [n], (n) or n. at the start of a line, or with n. after white space, and ends where the next
+    one begins. Superscript numbers count as [n]; formulas go.
     """
-    text = F.regexp_replace(F.trim(c), r"(?i)^\s*#?\s*references?(?:\s+and\s+notes)?\s*", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"\$\^\{(\d+)\}\$", "[$1]"), r"\$.*?\$", "")
-    text = F.regexp_replace(text, r"\s+(\d{1,3}\.)", f"{CUT}$1")
-    text = F.regexp_replace(text, rf"(?:^|\n|{CUT})(?:\[\d+\]|\(\d+\)|\d{{1,3}}\.)\s*", CUT)
-    parts = F.transform(F.split(text, CUT), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    return F.filter(parts, lambda x, i: (i > 0) & (F.length(x) >= least))
+    begin = rf"(?:\A{HEADING}?\s*|\n){MARK}|{SPACED_MARK}"
+    entry = rf"(?s)(?:{begin})(.*?)(?=\n{MARK}|{SPACED_MARK}|\z)"
+    plain = F.regexp_replace(F.regexp_replace(c, r"\$\^\{(\d+)\}\$", "[$1]"), r"\$.*?\$", "")
+    found = F.transform(F.regexp_extract_all(plain, F.lit(entry), F.lit(1)), lambda x: F.regexp_extract(x, r"(?s)^\s*(.*?)\s*$", 1))
+    return F.filter(found, lambda x: F.length(x) >= least)
 
 
 def resolve_references(raws: DataFrame, refs: DataFrame, key: str = "doc_id") -> DataFrame:

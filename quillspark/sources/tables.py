@@ -32,17 +32,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shared: dict[tuple[str, str, str], str] = {}
+_shared: dict[tuple[str, str, str], tuple[list, str]] = {}
+
+
+def files_state(spark: SparkSession, folder: str) -> list[tuple]:
+    """(path, length, files, modification time) of each table of a folder; a table of many files has the time of its own folder."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.parquet")
+    fs = glob.getFileSystem(spark._jsc.hadoopConfiguration())
+    said = lambda f, c: (f.getPath().toString(), c.getLength(), c.getFileCount(), f.getModificationTime())
+    return sorted(said(f, fs.getContentSummary(f.getPath())) for f in fs.globStatus(glob) or [])
+
+
+def shared_path(spark: SparkSession, folder: str, name: str, make) -> str:
+    """The path that make(spark, folder, path) has filled, once for an application and the state of a folder's files.
+
+    It is made anew if the files have changed or the path has gone; what was made of other files is deleted.
+    """
+    key, state = (spark.sparkContext.applicationId, folder, name), files_state(spark, folder)
+    was, path = _shared.get(key, (None, None))
+    if was != state or not there(spark, path):
+        if path:
+            delete(spark, path)
+        path = f"{shared_dir(spark)}/quill-{name}-{uuid.uuid4().hex}"
+        make(spark, folder, path)
+        _shared[key] = state, path
+    return path
 
 
 def shared(spark: SparkSession, folder: str, name: str, make) -> DataFrame:
-    """make(spark, folder) as a table in the shared folder, made once for an application and a folder, and anew if it has gone."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    path = _shared.get(key)
-    if path is None or not there(spark, f"{path}/_SUCCESS"):
-        path = _shared[key] = f"{shared_dir(spark)}/quill-{name}-{uuid.uuid4().hex}"
-        make(spark, folder).write.parquet(path)
-    return spark.read.parquet(path)
+    """make(spark, folder) as a table that the queries of a session share."""
+    return spark.read.parquet(shared_path(spark, folder, name, lambda s, f, path: make(s, f).write.parquet(path)))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def there(spark: SparkSession, path: str) -> bool:
