@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import citation_key, empty_to_null, match_form, name_key, normalize_doi, short_id, strip_xml
+from .text import citation_key, empty_to_null, name_key, normalize_doi, short_id, strip_xml
 
 #: The fields of the records.
 DATE = "struct<`date-parts`:array<array<int>>>"
@@ -122,18 +122,3 @@ def lookup(dois: DataFrame, records: DataFrame) -> DataFrame:
     """dois (doi) with the record of each; null where there is none. Of records (doi, record) with one DOI the first by record counts."""
     known = records.select(normalize_doi(F.col("doi")).alias("__d"), "record").where("__d is not null").groupBy("__d").agg(F.min("record").alias("record"))
     return dois.join(known, normalize_doi(dois["doi"]) == known["__d"], "left").drop("__d")
-
-
-def best_record(references: DataFrame, titles: DataFrame, key: str = "ref_id", letters: int = 3) -> DataFrame:
-    """(key, doi, shared) of free-text references (key, text): the title (doi, title) that shares most words with each, ties to the smaller DOI.
-
-    Words of fewer than `letters` letters don't count. A reference that shares none has a null doi.
-    """
-    words = lambda c: F.array_distinct(F.filter(F.split(match_form(c), " "), lambda w: F.length(w) >= letters))
-    asked = references.select(key, F.explode(words(F.col("text"))).alias("w"))
-    held = titles.select("doi", F.explode(words(F.col("title"))).alias("w"))
-    shared = asked.join(held, "w").groupBy(key, "doi").agg(F.count(F.lit(1)).alias("shared"))
-    best = shared.groupBy(key).agg(F.min(F.struct((-F.col("shared")).alias("s"), "doi")).alias("m")).select(key, "m.doi", (-F.col("m.s")).alias("shared"))
-    return references.select(key).distinct().join(best, key, "left")
-
-

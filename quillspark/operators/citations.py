@@ -197,25 +197,6 @@ def split_references(c: Column, least: int = 20) -> Column:
     return F.filter(found, lambda x: F.length(x) >= least)
 
 
-def resolve_references(raws: DataFrame, refs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, raw, ref_pos, tier) for raws (key, raw) and refs (key, ref_pos, text): the first match.
-
-    Tiers: 1 equal, 2 equal when normalised, 3 one normalised text inside the other. Only texts of one document are compared.
-    """
-    from ..functions.text import match_form
-
-    a = raws.select(key, "raw").distinct().withColumn("norm", match_form(F.col("raw")))
-    b = refs.select(key, "ref_pos", "text").withColumn("rnorm", match_form(F.col("text")))
-    equal = a.join(b.select(F.col(key).alias("__k"), F.col("rnorm"), "ref_pos", "text"), (F.col(key) == F.col("__k")) & (F.col("norm") == F.col("rnorm")))
-    equal = equal.select(key, "raw", F.when(F.col("raw") == F.col("text"), 1).otherwise(2).alias("tier"), "ref_pos")
-    # equal texts are equal when normalised; only what has none of these is looked for inside the others
-    left = a.where("norm <> ''").join(equal.select(key, "raw").distinct(), [key, "raw"], "left_anti")
-    inside = F.col("norm").contains(F.col("rnorm")) | F.col("rnorm").contains(F.col("norm"))
-    part = left.join(b.where("rnorm <> ''"), key).where(inside).select(key, "raw", F.lit(3).alias("tier"), "ref_pos")
-    best = equal.union(part).groupBy(key, "raw").agg(F.min(F.struct("tier", "ref_pos")).alias("m"))
-    return raws.select(key, "raw").distinct().join(best, [key, "raw"], "left").select(key, "raw", "m.ref_pos", "m.tier")
-
-
 def find_author_year(markers: DataFrame, refs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, surname, year, ref_pos) for refs (key, ref_pos, text, author ARRAY, year): the first of the year with the surname."""
     name = F.lower("surname")

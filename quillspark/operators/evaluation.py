@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import reachable, short_hops
+from .graph import reachable
+from .paths import EXACT, hops, mean_distance
 from .retrieval import PLACES, candidates
 
 MATCH, TOP = 0.99, 5
@@ -49,19 +50,19 @@ def edge_connectivity(truth: DataFrame, said: DataFrame, keys: list[str]) -> Dat
     return ends.groupBy(*keys).agg(F.round(F.avg(F.coalesce((F.col("ca") == F.col("cb")).cast("int"), F.lit(0))), 4).alias("mec"))
 
 
-def edge_distance(truth: DataFrame, said: DataFrame, keys: list[str]) -> DataFrame:
+def edge_distance(truth: DataFrame, said: DataFrame, keys: list[str], exact: int = EXACT) -> DataFrame:
     """(keys, med): the mean over true edges of hops in the answer's graph, relative to the mean path of its largest component.
 
-    Ends that aren't there or aren't connected count as the number of its nodes, at least 2.
+    Ends that aren't there or aren't connected count as the number of its nodes, at least 2, and so do edges to themselves.
+    Only the ends of true edges are searched from. The mean path is exact for components of up to `exact` nodes.
     """
-    hops = short_hops(said, keys)
+    far = hops(said, keys, truth)
     comp = reachable(said, keys)
     size = comp.groupBy(*keys).agg(F.greatest(F.count(F.lit(1)), F.lit(2)).alias("penalty"))
     largest = comp.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.max(F.struct("c", "component"))["component"].alias("component"))
-    inside = hops.join(comp.withColumnRenamed("node", "a"), [*keys, "a"]).join(largest, [*keys, "component"])
-    mean = inside.groupBy(*keys).agg(F.avg("dist").alias("mean"))
-    rows = truth.join(hops, [*keys, "a", "b"], "left").join(size, keys, "left").join(mean, keys, "left")
-    # an end of an edge to itself is at no distance if it is there
+    inside = comp.join(largest, [*keys, "component"], "left_semi").select(*keys, F.col("node").alias("a"))
+    mean = mean_distance(said.join(inside, [*keys, "a"], "left_semi"), keys, exact)
+    rows = truth.join(far, [*keys, "a", "b"], "left").join(size, keys, "left").join(mean, keys, "left")
     d = F.coalesce(F.col("dist").cast("double"), F.col("penalty").cast("double"), F.lit(2.0))
     return rows.groupBy(*keys).agg(F.round(F.avg(F.try_divide(d, F.coalesce("mean", F.lit(1.0)))), 4).alias("med"))
 

@@ -178,25 +178,6 @@ def reachable(edges: DataFrame, keys: list[str], rounds: int = 100) -> DataFrame
     raise RuntimeError(f"components: no end after {rounds} rounds")
 
 
-def short_hops(edges: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
-    """(keys, a, b, dist): hop distances (up to `most`, if given) of small undirected graphs, one per keys."""
-    either = edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b"), F.col("a"))).where("a <> b").distinct()
-    either = written(either, "hops-edges")
-    front = seen = written(either.withColumn("dist", F.lit(1)), "hops")
-    steps = either.select(*keys, F.col("a").alias("b"), F.col("b").alias("c"))
-    d = 1
-    while most is None or d < most:
-        d += 1
-        nxt = front.join(steps, [*keys, "b"]).where("a <> c").select(*keys, "a", F.col("c").alias("b")).distinct()
-        front = written(nxt.join(seen.select(*keys, "a", "b"), [*keys, "a", "b"], "left_anti").withColumn("dist", F.lit(d)), "hops")
-        if not front.limit(1).count():
-            break
-        seen = seen.union(front)
-        if d % 16 == 0:
-            seen = written(seen, "hops")
-    return seen
-
-
 def crawl_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Of nodes (doi, depth, is_seed) and edges: one row for each depth, with totals and the seeds' mean in-degree."""
     inside = edges.join(nodes.select(F.col("doi").alias("source_doi")), "source_doi", "left_semi").join(nodes.select(F.col("doi").alias("target_doi"), "is_seed"), "target_doi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import adjudicate, features, graph
+from ..operators import adjudicate, features, graph, paths
 from ..sources.tables import shared, table
 
 QUERIES, ORACLES = {}, {}
@@ -373,3 +373,25 @@ def reachable_components(spark, d):
     _, edges = network(spark, d)
     same = edges.join(p.select(F.col("doi").alias("source_doi"), F.col("p_brand").alias("brand")), "source_doi").join(p.select(F.col("doi").alias("target_doi"), "p_brand"), "target_doi").where("brand = p_brand")
     return graph.reachable(same.select("brand", F.col("source_doi").alias("a"), F.col("target_doi").alias("b")), ["brand"])
+
+
+@query("network_distance")
+def network_distance(spark, d):
+    """The mean hops between connected papers, by bits for networks of up to paths.EXACT papers and by sketches beyond."""
+    _, edges = network(spark, d)
+    found = paths.mean_distance(edges.select(F.lit("network").alias("graph"), F.col("source_doi").alias("a"), F.col("target_doi").alias("b")), ["graph"])
+    return found.select("graph", F.round("mean", 6).alias("mean"))
+
+
+@query("seed_distances", f"""WITH {RAW}, two AS (SELECT i AS a, j AS b FROM e UNION SELECT j, i FROM e), h AS (SELECT s AS a, doi AS b, min(dist) AS dist FROM (WITH RECURSIVE r(s, doi, dist) AS (
+  SELECT doi, doi, 0 FROM papers WHERE p_partkey % 100 = 0 UNION SELECT r.s, two.b, r.dist + 1 FROM r JOIN two ON two.a = r.doi WHERE r.dist < 3) SELECT * FROM r) GROUP BY ALL),
+asked AS (SELECT a.doi AS a, b.doi AS b FROM papers a JOIN papers b ON b.p_partkey = 1 + (a.p_partkey * 13) % (SELECT count(*) FROM papers) OR b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 100 = 0 AND a.doi <> b.doi)
+SELECT DISTINCT a, b, dist FROM asked LEFT JOIN h USING (a, b)""")
+def seed_distances(spark, d):
+    """Hops, up to 3, from the papers whose number is divisible by 100 to two others each."""
+    p, (_, edges) = papers(spark, d), network(spark, d)
+    n = p.count()
+    aims = F.explode(F.array(F.col("p_partkey") * 13 % n + 1, F.col("p_partkey") + 1)).alias("to")
+    asked = p.where("p_partkey % 100 = 0").select(F.col("doi").alias("a"), aims).join(p.select(F.col("p_partkey").alias("to"), F.col("doi").alias("b")), "to").where("a <> b").select(F.lit("network").alias("graph"), "a", "b").distinct()
+    found = paths.hops(edges.select(F.lit("network").alias("graph"), F.col("source_doi").alias("a"), F.col("target_doi").alias("b")), ["graph"], asked, most=3)
+    return asked.join(found, ["graph", "a", "b"], "left").select("a", "b", "dist")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import providers
-from ..functions import jsons, records, vector
+from ..functions import jsons, vector
 from ..functions import text as fx
 from ..operators import citations as ct
 from ..operators import evaluation as ev
-from ..operators import ingest, knowledge, sections
+from ..operators import ingest, knowledge, matching, sections
 from ..operators import markdown as md
 from ..operators import retrieval as rt
 from ..sources import layout
@@ -259,19 +259,19 @@ def json_chunks(spark, d):
 
 
 @query("reference_links", r"""WITH e AS (SELECT c_custkey, 1 AS k, 'Seen in ' || c_mktsegment || ' by ' || c_name || ', 2001' AS entry FROM customer UNION ALL SELECT c_custkey, 2, 'Nothing of what is known at all' FROM customer),
-w AS (SELECT c_custkey, k, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(entry), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) >= 7))) AS w FROM e), t AS (SELECT c_custkey AS doi, unnest(['customer', lpad(c_custkey::VARCHAR, 9, '0')]) AS w FROM customer WHERE c_custkey % 10 < 7),
+w AS (SELECT c_custkey, k, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(entry), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) >= 3))) AS w FROM e), t AS (SELECT c_custkey AS doi, unnest(['customer', lpad(c_custkey::VARCHAR, 9, '0')]) AS w FROM customer WHERE c_acctbal >= 0),
 s AS (SELECT c_custkey, k, doi, count(*) AS shared FROM w JOIN t USING (w) GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, k ORDER BY shared DESC, doi) AS r FROM s)
 SELECT e.c_custkey || '-' || e.k AS ref_id, doi, shared FROM e LEFT JOIN b ON b.c_custkey = e.c_custkey AND b.k = e.k AND r = 1""")
 def reference_links(spark, d):
-    """Entries of reference sections, each with the record that shares most of its long words."""
+    """Entries of reference sections, each with the record that shares most of its words; not all have one."""
     c = table(spark, d, "customer")
     text = F.concat(F.lit("# References\n[1] Seen in "), "c_mktsegment", F.lit(" by "), "c_name", F.lit(", 2001\n(2) Nothing of what is known at all\n3. short"))
     entries = c.select("c_custkey", F.posexplode(ct.split_references(text)).alias("pos", "text")).select(F.concat_ws("-", "c_custkey", F.col("pos") + 1).alias("ref_id"), "text")
-    titles = c.where("c_custkey % 10 < 7").select(F.col("c_custkey").alias("doi"), F.col("c_name").alias("title"))
-    return records.best_record(entries, titles, letters=7)
+    titles = c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("doi"), F.col("c_name").alias("title"))
+    return matching.best_record(entries, titles)
 
 
-@query("mined_triplets", f"""WITH {BLOCKS}, c AS (SELECT doc_id, substring(content, 1, 3000) AS chunk FROM blocks WHERE pos % 9 = 0) SELECT doc_id, 'part' AS path, 'n' || length(chunk) AS source, 'block' AS target, 'is in' AS relation FROM c WHERE length(chunk) % 2 = 0""")
+@query("mined_triplets", f"""WITH {BLOCKS}, c AS (SELECT doc_id, substring(content, i * 3000 + 1, 3000) AS chunk FROM (SELECT doc_id, content, unnest(range((length(content) + 2999) // 3000)) AS i FROM blocks)) SELECT doc_id, 'part' AS path, 'n' || length(chunk) AS source, 'block' AS target, 'is in' AS relation FROM c WHERE length(chunk) % 2 = 0""")
 def mined_triplets(spark, d):
     """Triplets that a stand-in for a model names in blocks of even length."""
 
@@ -279,7 +279,7 @@ def mined_triplets(spark, d):
         sizes = [len(p.split("\n", 2)[2]) for p in prompts]
         return [f'[{{"source": "n{n}", "target": "block", "relation": "is in"}}]' if n % 2 == 0 else "none" for n in sizes]
 
-    chunks = paragraphs(spark, d).where("pos % 9 = 0").select("doc_id", F.lit("part").alias("path"), F.explode(F.slice(md.windows_of(F.col("content"), 3000), 1, 1)).alias("chunk"))
+    chunks = paragraphs(spark, d).select("doc_id", F.lit("part").alias("path"), F.explode(md.windows_of(F.col("content"), 3000)).alias("chunk"))
     return knowledge.mined(chunks, model)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import providers
 from ..functions import records as rc
 from ..functions import text as fx
-from ..operators import adjudicate, crawl, features, graph, knowledge
+from ..operators import adjudicate, crawl, features, graph, knowledge, matching
 from ..sources import sinks
 from ..sources.tables import table, written
 from .graph_queries import DEG, RAW, SEEDS, network, papers, raw_edges, references
@@ -141,11 +141,12 @@ def record_lookup(spark, d):
 WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: length(w) >= 3))"
 
 
-@query("best_records", f"""WITH r AS (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark), t AS (SELECT doc_id, unnest({WORDS.format('left(text, 80)')}) AS w FROM documents), s AS (SELECT item_id, doc_id, count(*) AS shared FROM r JOIN t USING (w) GROUP BY ALL),
+@query("best_records", f"""WITH r AS (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark), t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS w FROM documents), s AS (SELECT item_id, doc_id, count(*) AS shared FROM r JOIN t USING (w) GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS k FROM s) SELECT item_id, b.doc_id AS doi, shared FROM benchmark LEFT JOIN b USING (item_id) WHERE coalesce(k, 1) = 1""")
 def best_records(spark, d):
-    titles = table(spark, d, "documents").select(F.col("doc_id").alias("doi"), F.substring("text", 1, 80).alias("title"))
-    return rc.best_record(table(spark, d, "benchmark").select("item_id", "text"), titles, "item_id")
+    """The document, as a whole, that shares most words with each item."""
+    records = table(spark, d, "documents").select(F.col("doc_id").alias("doi"), F.col("text").alias("title"))
+    return matching.best_record(table(spark, d, "benchmark").select("item_id", "text"), records, "item_id")
 
 
 # Candidates -----------------------------------------------------------------------------------------------------

@@ -196,8 +196,6 @@ def test_components_that_dont_end(spark):
     assert {r.component for r in graph.reachable(path, ["k"]).collect()} == {0}
     with pytest.raises(RuntimeError, match="no end"):
         graph.reachable(path, ["k"], rounds=2)
-    far = graph.short_hops(path, ["k"])
-    assert far.agg(F.max("dist")).first()[0] == 40 and far.count() == 41 * 40
 
 
 def stitched_by_hand(rows):
