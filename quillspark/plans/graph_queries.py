@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import adjudicate, features, graph, paths
-from ..sources.tables import shared, table
+from ..operators.learned import LearnedClassifier, confusion, is_held_out
+from ..sources.tables import shared, shared_path, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -395,3 +396,29 @@ def seed_distances(spark, d):
     asked = p.where("p_partkey % 100 = 0").select(F.col("doi").alias("a"), aims).join(p.select(F.col("p_partkey").alias("to"), F.col("doi").alias("b")), "to").where("a <> b").select(F.lit("network").alias("graph"), "a", "b").distinct()
     found = paths.hops(edges.select(F.lit("network").alias("graph"), F.col("source_doi").alias("a"), F.col("target_doi").alias("b")), ["graph"], asked, most=3)
     return asked.join(found, ["graph", "a", "b"], "left").select("a", "b", "dist")
+
+
+#: What the learned classifier sees: no feature that the first stage's label is made of.
+LEARNED = [c for c in COLUMNS if c not in ("citation_count", "citation_total")]
+
+
+def judged(spark, d) -> DataFrame:
+    """All edges of the first stage with features, the rules' label, and whether they are held out."""
+    return adjudicated(spark, d).withColumn("held_out", is_held_out("i", "j"))
+
+
+def learned(spark, d) -> LearnedClassifier:
+    """The classifier that was fitted to the edges that aren't held out, loaded from its files."""
+    fit = lambda s, f, path: LearnedClassifier.fit(judged(s, f).where("not held_out"), LEARNED).save(path)
+    return LearnedClassifier.load(spark, shared_path(spark, d, "edge-classifier", fit))
+
+
+@query("learned_edges")
+def learned_edges(spark, d):
+    """How the learned classifier labels all edges, those held out apart."""
+    return confusion(judged(spark, d), learned(spark, d))
+
+
+@query("learned_weights")
+def learned_weights(spark, d):
+    return learned(spark, d).weights(spark).withColumn("weight", F.round("weight", 3))
