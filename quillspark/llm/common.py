@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,24 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: The folders, each in the one before, in which scratch tables are made at present.
-_inside: list[str] = []
+#: The folders, each in the one before, in which a thread or task makes scratch tables at present.
+_inside: ContextVar[tuple[str, ...]] = ContextVar("quill_inside", default=())
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return "/".join([shared_dir(spark), *_inside, f"quill-{name}-{uuid.uuid4().hex}"])
+    return "/".join([shared_dir(spark), *_inside.get(), f"quill-{name}-{uuid.uuid4().hex}"])
 
 
 @contextmanager
 def passing(spark: SparkSession, name: str):
     """Scratch tables made in here are deleted at the end, when what was to be made of them is a table elsewhere."""
     at = scratch(spark, name)
-    _inside.append(at.rsplit("/", 1)[1])
+    token = _inside.set((*_inside.get(), at.rsplit("/", 1)[1]))
     try:
         yield
     finally:
-        _inside.pop()
+        _inside.reset(token)
         delete(spark, at)
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -44,8 +45,11 @@ LONG, SHORT, MAX_LINKS, STOP_HIGH, STOP_LOW = 200, 70, 0.2, 0.12, 0.08
 #: In an article links may be up to this share of prose; letters of scripts without spaces count so often towards a length.
 MOST_LINKS, DENSE = 0.5, 3
 
-#: What stands in quotes is taken whole, once and for all, where they close before the tag does; else the tag ends at the next >.
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?=>)|[^>]*+)>", re.DOTALL)
+#: Comments, sections and declarations; a tag without angle brackets inside and with all quotes closed, as nearly all are.
+DECLARED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+STARTS = re.compile(r"</?[a-zA-Z]")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 MARKS = re.compile(r"[^a-z0-9]+")
 WORDS = re.compile(r"[^\W\d_]+")
@@ -55,6 +59,58 @@ UNSPACED = re.compile(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3
 ENDS = re.compile(r"[.!?…。！？؟।]")
 
 
+class Ends:
+    """Where tags of a page end: made once, in time that grows with its length, for pages with tags that aren't PLAIN.
+
+    What stands in quotes is taken whole where they close before the tag does; else the tag ends at the next >.
+    """
+
+    def __init__(self, page: str):
+        self.marks = [m.start() for m in re.finditer("[>\"']", page)]
+        # from each mark on: the next > at all, and the next one that isn't in quotes that begin here or later
+        self.next, self.free = [-1] * (len(self.marks) + 1), [-1] * (len(self.marks) + 1)
+        closing: dict[str, int] = {}
+        for i in range(len(self.marks) - 1, -1, -1):
+            c = page[self.marks[i]]
+            if c == ">":
+                self.next[i] = self.free[i] = self.marks[i]
+                continue
+            self.next[i], self.free[i] = self.next[i + 1], self.free[closing.get(c, i) + 1]
+            closing[c] = i
+
+    def any_after(self, at: int) -> int:
+        return self.next[bisect_left(self.marks, at)]
+
+    def of(self, at: int) -> int:
+        """The end of a tag whose attributes begin at a place; -1 if there is none."""
+        i = bisect_left(self.marks, at)
+        return self.next[i] if self.free[i] < 0 else self.free[i]
+
+
+class Tags:
+    """The tags of a page, from any place on."""
+
+    def __init__(self, page: str):
+        self.page, self.ends = page, None
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the first tag from a place on; of what is declared the name is empty."""
+        page = self.page
+        while (p := page.find("<", at)) >= 0:
+            if m := PLAIN.match(page, p):
+                return p, m.end(), *m.groups()
+            if m := DECLARED.match(page, p):
+                return p, m.end(), "", "", ""
+            if STARTS.match(page, p):
+                self.ends = self.ends or Ends(page)
+                if self.ends.any_after(p) >= 0:
+                    m = NAME.match(page, p)
+                    end = self.ends.of(m.end())
+                    return p, end + 1, m[1], m[2], page[m.end() : end]
+            at = p + 1
+        return None
+
+
 def off(attrs: str, article: bool = False) -> str:
     """What a tag's class, id, role or style says: "hidden", that it holds no article text; "strong" or "weak", that it may hold none; or nothing.
 
@@ -146,6 +202,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     bad = in_article = link = 0
     heading = False
     at, n = 0, len(page)
+    known, unclosed = Tags(page), False  # unclosed: no closing </head> is ahead
 
     def close():
         nonlocal text, links
@@ -156,23 +213,23 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             text, links = [], 0
 
     while at < n:
-        m = TAG.search(page, at)
-        piece = page[at : m.start()] if m else page[at:]
+        found = known.next(at)
+        piece = page[at : found[0]] if found else page[at:]
         if piece:
             if "&" in piece:  # a reference ends where a tag begins
                 piece = entities.unescape(piece)
             text.append(piece)
             if link:
                 links += len(piece)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        start, at, slash, tag, attrs = found
+        tag = tag.lower()
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:-3])
+            if page.startswith("<![CDATA[", start):
+                text.append(page[start + 9 : at - 3])
             continue
-        if m[1]:
+        if slash:
             if tag in BLOCK:
                 close()
             if tag == "a":
@@ -192,12 +249,13 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
                 heading = False
             continue
         if tag in DROPPED:
-            if m[3].endswith("/"):
+            if attrs.endswith("/") or tag == "head" and unclosed:
                 continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             if end:
                 at = end.end()
             elif tag == "head":
+                unclosed = True
                 continue
             else:
                 at = n
@@ -209,7 +267,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             text.append(" ")
         if tag == "a":
             link = 1
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attrs.endswith("/"):
             continue
         if tag in ("p", "li") and stack and stack[-1][0] == tag:
             opened[tag] -= 1
@@ -219,7 +277,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
                 mark = marks[made][0]
         heading = tag in HEADINGS or heading and tag not in BLOCK
         # a header inside an article may hold its title: there only what the class says counts
-        says = off(m[3], tag in ARTICLE) if tag not in ("html", "body") else ""
+        says = off(attrs, tag in ARTICLE) if tag not in ("html", "body") else ""
         if tag in WEAK:
             says = says or "weak"
         was = says == "hidden" or tag in BAD and not (tag == "header" and in_article)
@@ -283,6 +341,9 @@ def extract(page: str | None) -> list[str]:
     labels = [first_pass(b) for b in found]
     if True not in labels:  # no stop words anywhere: in a language without any that are known, length and sentences decide
         labels = [True if x is None and len(b[0]) >= LONG and b[1] <= MAX_LINKS * len(b[0]) and ENDS.search(b[0]) else x for x, b in zip(labels, found, strict=True)]
+    if True not in labels and not any(b[3] and not b[2] for b in found):  # nothing is long, and no article is named: whole sentences decide
+        whole = lambda b: not b[1] and not b[4] and ENDS.search(b[0][-2:]) and ((share := stop_share(b[0])) is None or share >= STOP_HIGH)
+        labels = [True if x is None and whole(b) else x for x, b in zip(labels, found, strict=True)]
     # where a page names its article, the text is in it, unless most of the good text stands outside, as beside a teaser
     inside, outside = (sum(len(b[0]) for x, b in zip(labels, found, strict=True) if x and b[3] == here) for here in (True, False))
     named = any(b[3] and not b[2] for b in found) and 2 * inside >= outside

@@ -217,10 +217,10 @@ def stems(text: str) -> set[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
-    """A model of the labelled documents that aren't held out: at most SAMPLE_TOXIC and SAMPLE_CLEAN of them.
+    """A model of the labelled documents that aren't held out: at most SAMPLE_TOXIC and SAMPLE_CLEAN rows.
 
-    Of a key with several labels the largest counts; null labels and keys are passed over. Of rows of one key all
-    are in the sample. Of texts that are near copies of each other the one with the smallest key stands for all, so the
+    Of a key with several labels the largest counts; null labels and keys are passed over. Of rows of one key that
+    with the least text is in the sample, so the two parameters bound what reaches the driver. Of texts that are near copies of each other the one with the smallest key stands for all, so the
     rows alone decide. Without documents of both classes the model says 0 to everything.
     """
     bounded_batches(docs.sparkSession)
@@ -235,6 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("__y"), b.column("__k"), b.column("__t"), pa.array([sketch(t.as_py()) for t in b.column("__t")], pa.int64())], names=["__y", "__k", "__t", "__s"])
 
+    sample = sample.groupBy("__y", "__k").agg(F.min("__t").alias("__t"))
     # the first of each group of near copies, whose common words would all seem to mark a class
     sample = sample.select("__y", "__k", "__t").mapInArrow(drawn, rows)
     sample = written(sample.groupBy("__y", "__s").agg(F.min(F.struct("__k", "__t"))["__t"].alias("__t")), "toxicity-sample")

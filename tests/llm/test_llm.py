@@ -3,8 +3,9 @@
 import base64
 import hashlib
 import random
-import time
 import re
+import threading
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, html, jaccard, mixing, sharding, substring, topk, toxicity, vectors, warc
-from quillspark.llm.common import components, numbered, scratch
+from quillspark.llm.common import components, numbered, passing, scratch
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -91,6 +92,26 @@ def test_scratch_tables_go(spark, tmp_path):
     assert left() == before
 
 
+def test_scratch_folders_of_two_threads(spark):
+    """What one thread passes doesn't hold, or delete, what another one makes meanwhile."""
+    inside, out, made = threading.Event(), threading.Event(), {}
+
+    def first():
+        with passing(spark, "first"):
+            made["first"] = scratch(spark, "x")
+            inside.set()
+            out.wait(30)
+
+    t = threading.Thread(target=first)
+    t.start()
+    inside.wait(30)
+    with passing(spark, "second"):
+        made["second"] = scratch(spark, "x")
+    out.set()
+    t.join()
+    assert "quill-first-" in made["first"] and "quill-first-" not in made["second"] and "quill-second-" in made["second"]
+
+
 def test_numbers_have_no_gaps_and_repeat(spark):
     rows = spark.createDataFrame([(1, "a")] * 500 + [(i, None if i % 3 else "b") for i in range(300)], "id long, s string")
     a, b = (sorted(map(tuple, numbered(x, "n").collect()), key=str) for x in (rows, rows.repartition(7)))
@@ -177,6 +198,19 @@ def test_held_out_labels_dont_count(spark):
     assert a.entries == b.entries and np.allclose(a.weights, b.weights)
 
 
+def test_toxic_sample_is_bounded_by_rows(spark, monkeypatch):
+    """One labelled doc_id with many different texts is one row of the sample, that with the least text."""
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 3)
+    seen = []
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y: seen.append(len(x)) or np.zeros(x.shape[1] + 1))
+    keys = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 != 2][:6]
+    rows = [(keys[0], f"text number {i} of the same document, with words of its own: w{i} v{i}") for i in range(3000)]
+    rows += [(k, f"you stupid fool number{k} go away now x{k}") for k in keys[1:]]
+    labels = spark.createDataFrame([(keys[0], 0), *[(k, 1) for k in keys[1:]]], "doc_id long, toxic int")
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert seen and seen[0] <= 6
+
+
 def test_inflected_stems_of_chance():
     """A stem that clean texts have by chance, once, and toxic ones twice with many endings, is learned as that stem."""
     rng, ends = random.Random(9), ["ta", "no", "li", "re", "mu", "so", "ki", "pa"]
@@ -250,6 +284,32 @@ def test_html(spark):
 PROSE = "It was the best of the times and it was the worst of them, as all of us had been told by the ones who were there. " * 3
 
 
+@pytest.mark.parametrize("piece", ['<a x="', "<a ", "<head>", '<a x=">"', "<a x='>\" ", "<a", "</head ", '<div class="', "'><a \""])
+def test_html_in_linear_time(piece):
+    began = time.time()
+    html.extract(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 10
+
+
+def test_html_tags_end_by_quotes():
+    found = lambda page: [(x[3], x[4]) for x in walk(page)]
+
+    def walk(page):
+        known, at = html.Tags(page), 0
+        while x := known.next(at):
+            yield x
+            at = x[1]
+
+    assert found('<a x="1>2" y=\'"\'>t</a><b x=">c') == [("a", ' x="1>2" y=\'"\''), ("a", ""), ("b", ' x="')]
+    assert found("<!-- <a> --><?x?><a<b c>d<") == [("", ""), ("", ""), ("a<b", " c")]
+    assert found("<a \"'>' \"> <i") == [("a", " \"'>' \"")] and found("<a '>") == [("a", " '")] and found("<1><a") == []
+
+
+def test_html_short_article():
+    assert html.extract("<div><h1>News</h1><p>Rain fell today.</p><p>It was cold.</p></div>") == ["News", "Rain fell today.", "It was cold."]
+    assert html.extract("<div><p>Home</p><p>About us</p><p><a href=x>It was the one that we had.</a></p></div>") == []
+
+
 def test_html_bad_places_are_no_neighbours():
     page = f'<article><h1>T</h1><div class="ad">Buy it now</div><p>{PROSE}</p><div class="ad">Buy more</div><p>The end.</p><section class=comments><p>{PROSE}</p></section></article>'
     assert html.extract(page) == ["T", PROSE.strip(), "The end."]
