@@ -5,11 +5,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from quillspark.plans import graph_queries, io_queries, paper_queries, record_queries, text_queries
+from quillspark.plans import graph_queries, io_queries, paper_queries, record_queries, stream_queries, text_queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MODULES = (graph_queries, text_queries, record_queries, paper_queries, io_queries)
+MODULES = (graph_queries, text_queries, record_queries, paper_queries, io_queries, stream_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 
