@@ -15,6 +15,8 @@ NAMES = rf"{AUTHOR}(?:\s+(?:et\s+al\.?|and|&)\s+{AUTHOR})*(?:\s+et\s+al\.?)?"
 NARRATIVE = rf"({NAMES})\s+\((\d{{4}})[a-z]?\)"
 BLOCK = r"\(([^()]*\b\d{4}[a-z]?\b[^()]*)\)"
 ENTRY = rf"({NAMES})\s*,?\s+(\d{{4}})[a-z]?"
+#: What every citation has, of whatever style.
+MAY_CITE = r"[\[(]\d|⟦SUP:|\d{4}"
 ENTRY_LINE = r"^\s*(?:\[(\d+)\]|\((\d+)\)|(\d{1,3})\.)\s+(.+)$"
 
 
@@ -58,25 +60,31 @@ def superscript_markers(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(SUPER), F.lit(1))
 
 
+#: White space as regular expressions have it.
+SPACES = " \t\n\r\x0b\x0c"
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def paren_markers(c: Column, most: Column) -> Column:
     """Bodies of numeric parentheses that cite a reference of 1 .. most (any, if null).
 
     None after Eq., Fig. and the like, none before crystal words within 40 characters, and no single number before a word.
-    The text is cut at the parentheses, so that each has what stands before it and the 40 characters behind it.
+    One pattern gives each parenthesis with the text since the one before and the 40 characters behind it, so a text is read in linear time.
     """
-    shape = F.lit(rf"(?s)(.*?)\(({NUMBERS})\)")
-    cuts = F.zip_with(F.regexp_extract_all(c, shape, F.lit(1)), F.regexp_extract_all(c, shape, F.lit(2)), lambda t, b: F.struct(t.alias("text"), b.alias("body")))
-    length = lambda x: F.length(x["text"]) + F.length(x["body"]) + 2
-    begin = lambda i: F.aggregate(F.slice(cuts, F.lit(1), i), F.lit(0), lambda n, x: n + length(x))
-    placed = F.transform(cuts, lambda x, i: F.struct(x["body"].alias("body"), (begin(i) + F.length(x["text"])).alias("at"), (begin(i) + length(x)).alias("end")))
+    found = lambda group: F.regexp_extract_all(c, F.lit(rf"(?s)\G(.*?)\(({NUMBERS})\)(?=(.{{0,40}}))"), F.lit(group))
+    # what may stand before a parenthesis is one word with a full stop: its end and what keeps it apart
+    placed = F.zip_with(found(1), found(2), lambda t, b: F.struct(F.right(F.rtrim(t, F.lit(SPACES)), F.lit(32)).alias("tail"), b.alias("body")))
+    placed = F.zip_with(placed, found(3), lambda x, t: F.struct(x["tail"].alias("tail"), x["body"].alias("body"), t.alias("behind")))
 
     def cites(x: Column) -> Column:
-        behind = F.substring(c, x["end"] + 1, F.lit(40))
         several = x["body"].rlike("[,–—-]")
         numbers = F.size(in_range(expand_numbers(x["body"]), most)) > 0
-        return numbers & ~F.substring(c, F.lit(1), x["at"]).rlike(BEFORE) & ~behind.rlike(AFTER) & (several | ~behind.rlike(r"^\s+[A-Za-z]"))
+        return numbers & ~x["tail"].rlike(BEFORE) & ~x["behind"].rlike(AFTER) & (several | ~x["behind"].rlike(r"^\s+[A-Za-z]"))
 
-    return F.when(c.rlike(rf"\({NUMBERS}\)"), F.transform(F.filter(placed, cites), lambda x: x["body"])).otherwise(F.array().cast("array<string>"))
+    return F.when(c.rlike(r"\(\d"), F.transform(F.filter(placed, cites), lambda x: x["body"])).otherwise(_none())
 
 
 def numeric_markers(c: Column, most: Column) -> Column:
@@ -86,10 +94,13 @@ def numeric_markers(c: Column, most: Column) -> Column:
         return F.filter(F.transform(bodies, lambda b: F.struct(text(b).alias("marker"), numbers(b).alias("numbers"), F.lit(form).alias("form"))), lambda x: F.size(x["numbers"]) > 0)
 
     known = lambda b: in_range(expand_numbers(b), most)
+    kind = "array<struct<marker:string,numbers:array<int>,form:string>>"
+    # a look for what each form begins with spares most texts the rest
+    some = lambda sign, found: F.when(c.rlike(sign), found).otherwise(F.array().cast(kind))
     return F.concat(
-        entries(bracket_markers(c), "bracket", lambda b: F.concat(F.lit("["), b, F.lit("]")), expand_numbers),
-        entries(superscript_markers(c), "superscript", lambda b: F.concat(F.lit("^{"), F.regexp_replace(b, r"\s+", ""), F.lit("}")), known),
-        entries(paren_markers(c, most), "paren", lambda b: F.concat(F.lit("("), b, F.lit(")")), known),
+        some(r"\[\d", entries(bracket_markers(c), "bracket", lambda b: F.concat(F.lit("["), b, F.lit("]")), expand_numbers)),
+        some("⟦SUP:", entries(superscript_markers(c), "superscript", lambda b: F.concat(F.lit("^{"), F.regexp_replace(b, r"\s+", ""), F.lit("}")), known)),
+        some(r"\(\d", entries(paren_markers(c, most), "paren", lambda b: F.concat(F.lit("("), b, F.lit(")")), known)),
     )
 
 
@@ -98,7 +109,8 @@ def author_year_markers(c: Column) -> Column:
     surname = lambda n: F.regexp_extract(n, f"^{AUTHOR}", 0)
     pairs = lambda text, shape: F.zip_with(F.regexp_extract_all(text, F.lit(shape), F.lit(1)), F.regexp_extract_all(text, F.lit(shape), F.lit(2)), lambda n, y: F.struct(surname(n).alias("surname"), y.alias("year")))
     inner = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(BLOCK), F.lit(1)), lambda b: pairs(b, ENTRY)))
-    return F.array_distinct(F.concat(pairs(c, NARRATIVE), inner))
+    found = F.array_distinct(F.concat(pairs(c, NARRATIVE), inner))
+    return F.when(c.rlike(r"\d{4}"), found).otherwise(F.array().cast("array<struct<surname:string,year:string>>"))
 
 
 def numeric_entry(markers: Column) -> Column:
@@ -123,12 +135,14 @@ def citation_contexts(sents: DataFrame, key: str = "doc_id", most: Column | None
     parentheses count where they name a reference of 1 .. most, a column of sents, if given.
     """
     w = Window.partitionBy(key).orderBy("pos")
-    side = lambda f: F.coalesce(render_markers(f("sentence").over(w)), F.lit(""))
-    rows = sents.withColumn("prev_sentence", side(F.lag)).withColumn("next_sentence", side(F.lead))
-    rows = rows.withColumn("__n", numeric_markers(F.col("sentence"), F.lit(None).cast("int") if most is None else most)).withColumn("__a", author_year_markers(F.col("sentence")))
-    rows = rows.where((F.size("__n") > 0) | (F.size("__a") > 0))
+    c = F.col("sentence")
+    side = lambda f: F.coalesce(f("__shown").over(w), F.lit(""))
+    rows = sents.withColumn("__shown", F.when(c.contains("⟦SUP:"), render_markers(c)).otherwise(c))
+    rows = rows.withColumn("prev_sentence", side(F.lag)).withColumn("next_sentence", side(F.lead)).where(c.rlike(MAY_CITE))
+    # markers are found once: what is made of them is exploded, and nothing filters by them below that
+    rows = rows.withColumn("__n", numeric_markers(c, F.lit(None).cast("int") if most is None else most)).withColumn("__a", author_year_markers(c))
     both = F.array(F.when(F.size("__n") > 0, numeric_entry(F.col("__n"))), F.when(F.size("__a") > 0, author_year_entry(F.col("__a"))))
-    rows = rows.withColumn("sentence", render_markers(F.col("sentence"))).select("*", F.posexplode(F.filter(both, lambda x: x.isNotNull())).alias("__k", "__e"))
+    rows = rows.select(*sents.columns, "__shown", "prev_sentence", "next_sentence", F.posexplode(F.filter(both, lambda x: x.isNotNull())).alias("__k", "__e")).withColumn("sentence", F.col("__shown"))
     some = lambda c: F.when(F.col(c) != "", F.col(c))
     rows = rows.withColumn("context", F.concat_ws(" ", some("prev_sentence"), some("sentence"), some("next_sentence")))
     rows = rows.withColumn("citation_id", F.row_number().over(Window.partitionBy(key).orderBy("pos", "__k")))

@@ -62,5 +62,13 @@ def doi_state(doi: Column, info: Column, renamed: Column) -> Column:
 
 
 def summary(results: DataFrame) -> DataFrame:
-    """(total, success, failed) of results with a boolean `success`."""
-    return results.agg(F.count(F.lit(1)).alias("total"), F.count_if("success").alias("success"), F.count_if(~F.col("success")).alias("failed"))
+    """(total, success, failed, errors) of results with a boolean `success` and a text `error`.
+
+    errors is an array of (error, n), the most frequent first: a row for each kind of error, however many rows failed.
+    """
+    failed = F.coalesce(~F.col("success"), F.lit(True))
+    kinds = results.where(failed & F.col("error").isNotNull()).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+    listed = kinds.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "error"))).alias("e"))
+    errors = F.transform("e", lambda x: F.struct(x["error"].alias("error"), (-x["less"]).alias("n")))
+    counts = results.agg(F.count(F.lit(1)).alias("total"), F.count_if("success").alias("success"), F.count_if(~F.col("success")).alias("failed"))
+    return counts.join(F.broadcast(listed.select(errors.alias("errors"))))
