@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_doi
-from ..sources.tables import written
+from ..sources.tables import delete, shared_dir, written
 from .features import running
 
 
@@ -80,26 +82,41 @@ def fetch_first(by_source: DataFrame, keys: list[str], rank: str = "priority") -
     return by_source.withColumn("__m", F.min(rank).over(w)).where(F.col(rank) == F.col("__m")).drop("__m")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10, tolerance: float | None = None) -> DataFrame:
+class Bucketed:
+    """A table in buckets by a column, sorted in them, which joins by that column don't shuffle; gone when it is closed."""
+
+    def __init__(self, df: DataFrame, by: str, buckets: int | None = None):
+        self.spark, self.name = df.sparkSession, f"quill_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/{self.name}"
+        n = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", self.path).saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10, tolerance: float | None = None, buckets: int | None = None) -> DataFrame:
     """(doi, pagerank): uniform teleport and dangling mass, a fixed number of rounds or until the L1 change is small.
 
-    Out-degrees are joined to the edges once. Every round is a table, so lineage stays short, a lost executor
+    Links with their out-degrees are a table in buckets of the citing paper, made once; what a round shuffles is
+    the ranks that meet them and the sums that leave them, never the links. `buckets` are as many as the session's
+    shuffle partitions if not given. Every round is a table, so lineage stays short, a lost executor
     costs one round, and the mass of dangling nodes is summed up while the round is written.
     """
     n = nodes.count()
     if not n:
         return nodes.select("doi", F.lit(None).cast("double").alias("pagerank"))
     out = edges.groupBy("source_doi").agg(F.count(F.lit(1)).alias("deg"))
-    links = written(edges.join(out, "source_doi"), "pagerank-links")
+    links = Bucketed(edges.select("source_doi", "target_doi").join(out, "source_doi"), "source_doi", buckets)
     dangling = nodes.select("doi").join(out, F.col("doi") == F.col("source_doi"), "left_anti").withColumn("dangling", F.lit(True))
     base = written(nodes.select("doi").join(dangling, "doi", "left"), "pagerank-nodes")
     ranks, whole = base.withColumn("rank", F.lit(1.0 / n)), 1.0
     lost = base.agg(F.count_if("dangling").alias("c")).first()["c"] / n
     for _ in range(rounds):
-        given = links.join(ranks.select(F.col("doi").alias("source_doi"), "rank"), "source_doi").groupBy(F.col("target_doi").alias("doi")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        new = base.join(given, "doi", "left").withColumn("rank", (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).drop("got")
-        seen = Observation()
-        new = written(new.observe(seen, F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"), F.sum("rank").alias("whole")), "pagerank")
+        new, seen = _round(base, links.rows, ranks, n, damping, lost)
+        new = written(new, "pagerank")
         lost, whole = seen.get["lost"], seen.get["whole"]
         if tolerance is not None:
             change = new.join(ranks.select("doi", F.col("rank").alias("was")), "doi").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("c")).first()["c"]
@@ -107,9 +124,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
                 ranks = new
                 break
         ranks = new
+    links.close()
     return ranks.select("doi", (F.col("rank") / whole).alias("pagerank"))
 
 
+def _round(base: DataFrame, links: DataFrame, ranks: DataFrame, n: int, damping: float, lost: float) -> tuple[DataFrame, Observation]:
+    """The next ranks, and what is summed up while they are written."""
+    given = links.join(ranks.select(F.col("doi").alias("source_doi"), "rank"), "source_doi").groupBy(F.col("target_doi").alias("doi")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
+    new = base.join(given, "doi", "left").withColumn("rank", (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).drop("got")
+    seen = Observation()
+    return new.observe(seen, F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"), F.sum("rank").alias("whole")), seen
+
+
 #: Neighbours of a node that meet in one task; nodes whose pairs are scored first, to find out what others must reach.
 ARMS, PROBED = 512, 512
 

@@ -10,7 +10,7 @@ from ..functions import records as rc
 from ..functions import text as fx
 from ..operators import adjudicate, crawl, features, graph, knowledge, matching
 from ..sources import sinks
-from ..sources.tables import table, written
+from ..sources.tables import shared_path, table, written
 from .graph_queries import DEG, RAW, SEEDS, network, papers, raw_edges, references
 
 QUERIES, ORACLES = {}, {}
@@ -297,6 +297,26 @@ def gexf_lines(spark, d):
     return sinks.gexf(xml_nodes(spark, d), network(spark, d)[1].withColumn("label", F.lit("cites"))).where("id <> ''").select("id", "value")
 
 
+@query("graph_files", f"""WITH {RAW} SELECT 'graphml' AS format, 'node' AS kind, '10.1234/p' || p_partkey AS id, '<' || p_name || '> & "' || p_brand || '"' AS title FROM part UNION ALL SELECT 'graphml', 'edge', i || ' ' || j, NULL FROM e
+UNION ALL SELECT 'gexf', 'node', '10.1234/p' || p_partkey, '<' || p_name || '> & "' || p_brand || '"' FROM part UNION ALL SELECT 'gexf', 'edge', i || ' ' || j, 'cites' FROM e""")
+def graph_files(spark, d):
+    """The nodes and edges of the network as the files of two formats give them back."""
+
+    def make(s, f, path):
+        edges = network(s, f)[1].withColumn("label", F.lit("cites"))
+        sinks.save_document(sinks.graphml(xml_nodes(s, f), edges), f"{path}/graphml")
+        sinks.save_document(sinks.gexf(xml_nodes(s, f), edges), f"{path}/gexf")
+
+    path = shared_path(spark, d, "graph-files", make)
+    out = None
+    for name, (nodes, edges) in {"graphml": sinks.read_graphml(spark, f"{path}/graphml"), "gexf": sinks.read_gexf(spark, f"{path}/gexf")}.items():
+        label = F.col("label") if name == "gexf" else F.lit(None).cast("string")
+        rows = nodes.select(F.lit(name).alias("format"), F.lit("node").alias("kind"), F.col("doi").alias("id"), "title")
+        rows = rows.union(edges.select(F.lit(name), F.lit("edge"), F.concat_ws(" ", "source_doi", "target_doi"), label))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 @query("layout_degrees", f"WITH {RAW}, {DEG}, g AS (SELECT doi, in_degree + out_degree AS degree FROM deg) SELECT doi, degree, 15 + 3 * degree AS size, round(0.66 * (1 - (degree - (SELECT min(degree) FROM g)) / nullif((SELECT max(degree) - min(degree) FROM g), 0)::DOUBLE), 8) AS hue FROM g")
 def layout_degrees(spark, d):
     nodes, edges = network(spark, d)

@@ -62,12 +62,23 @@ def table_metadata(df: DataFrame) -> dict:
     return json.loads(df.schema[0].metadata.get("feature_metadata", "{}")) if df.schema.fields else {}
 
 
+#: Characters of texts that XML has other forms of; line breaks too, so that a row is a line.
+ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"))
+
+
 def xml_text(c: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for a, b in ESCAPES:
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.coalesce(c, F.lit(""))
 
 
+def xml_plain(c: Column) -> Column:
+    """What xml_text() was made of, but for null, which comes back as an empty text."""
+    for a, b in reversed(ESCAPES):
+        c = F.replace(c, F.lit(b), F.lit(a))
+    return c
+
+
 def _document(parts: list[tuple[DataFrame | None, str]]) -> DataFrame:
     """(pos, id, value): the lines of an XML document, literal parts between rows."""
     spark = next(d.sparkSession for d, _ in parts if d is not None)
@@ -95,9 +106,47 @@ def gexf(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _document([(None, head), (nodes.select(F.col("doi").alias("id"), node.alias("value")), ""), (None, "</nodes>\n<edges>"), (edges.select(key.alias("id"), edge.alias("value")), ""), (None, "</edges>\n</graph>\n</gexf>")])
 
 
-def save_document(lines: DataFrame, path: str) -> None:
-    """One text file of the lines in order; a product for viewers, whose size its graph bounds."""
-    lines.coalesce(1).sortWithinPartitions("pos", "id").select("value").write.mode("overwrite").text(path)
+def save_document(lines: DataFrame, path: str) -> DataFrame:
+    """Writes the lines in order, as fragments that follow one another by their names, and what manifest_of() says of them.
+
+    Tasks write ranges of the document at once; none sees more than its own. The document is the fragments' bytes one after the other.
+    """
+    lines.repartitionByRange("pos", "id").sortWithinPartitions("pos", "id").select("value").write.mode("overwrite").text(path)
+    manifest = manifest_of(lines.sparkSession, path)
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/_manifest")
+    return manifest
+
+
+def manifest_of(spark, path: str) -> DataFrame:
+    """(fragment, bytes, offset) of a saved document: where in it each fragment begins. A row for each fragment."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    rows, at = [], 0
+    for name, size in sorted((f.getPath().getName(), f.getLen()) for f in found):
+        rows.append((name, size, at))
+        at += size
+    return spark.createDataFrame(rows, "fragment string, bytes bigint, offset bigint")
+
+
+def _fields(row: Column, names: dict[str, str]) -> list[Column]:
+    return [xml_plain(F.regexp_extract(row, shape, 1)).alias(name) for name, shape in names.items()]
+
+
+def read_graphml(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes (doi, title, depth, is_seed) and edges (source_doi, target_doi) of a document that graphml() and save_document() made."""
+    row = F.col("value")
+    lines = spark.read.text(path, pathGlobFilter="part-*")
+    data = {"doi": '^<node id="([^"]*)"'} | {k: f'<data key="{k}">([^<]*)</data>' for k in ("title", "depth", "is_seed")}
+    nodes = lines.where(row.startswith("<node ")).select(*_fields(row, data)).withColumn("depth", F.col("depth").cast("int")).withColumn("is_seed", F.col("is_seed").cast("boolean"))
+    return nodes, lines.where(row.startswith("<edge ")).select(*_fields(row, {"source_doi": ' source="([^"]*)"', "target_doi": ' target="([^"]*)"'}))
+
+
+def read_gexf(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes (doi, title) and edges (source_doi, target_doi, label) of a document that gexf() and save_document() made."""
+    row = F.col("value")
+    lines = spark.read.text(path, pathGlobFilter="part-*")
+    nodes = lines.where(row.startswith("<node ")).select(*_fields(row, {"doi": '^<node id="([^"]*)"', "title": ' label="([^"]*)"'}))
+    return nodes, lines.where(row.startswith("<edge ")).select(*_fields(row, {"source_doi": ' source="([^"]*)"', "target_doi": ' target="([^"]*)"', "label": ' label="([^"]*)"'}))
 
 
 def degree_layout(nodes: DataFrame, degrees: DataFrame) -> DataFrame:

@@ -94,6 +94,24 @@ def test_null_is_not_zero(spark):
     assert freq == {"b": (1, 0.25), "c": (0, 0.0), "x": (0, 0.0)}
 
 
+def test_pagerank_links_stay_where_they_are(spark):
+    """From the first round on what is shuffled is ranks and sums: the links are scanned in buckets."""
+    nodes = spark.range(300).select(F.col("id").cast("string").alias("doi"))
+    edges = spark.range(2000).select((F.col("id") % 300).cast("string").alias("source_doi"), (F.col("id") * 7 % 293).cast("string").alias("target_doi")).distinct()
+    links = graph.Bucketed(edges.withColumn("deg", F.lit(7)), "source_doi")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new, _ = graph._round(nodes.withColumn("dangling", F.lit(None).cast("boolean")), links.rows, nodes.withColumn("rank", F.lit(1.0)), 300, 0.85, 0.0)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    scan = plan[: plan.index("FileScan parquet spark_catalog")].rsplit("SortMergeJoin", 1)[1]
+    assert "Exchange" not in scan and "Bucketed: true" in plan
+    links.close()
+    assert not spark.catalog.tableExists(links.name)
+
+
 def test_pagerank_sums_to_one(spark):
     nodes = spark.createDataFrame([(c,) for c in "abcd"], "doi string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d")], "source_doi string, target_doi string")

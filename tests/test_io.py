@@ -39,6 +39,32 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "c"), header=True, quote='"', escape='"').first().label == 'a "q", b'
 
 
+def test_documents_in_fragments(spark, tmp_path):
+    """Several tasks write one document, which parsers and readers take back whole."""
+    import xml.etree.ElementTree as ET
+
+    nodes = spark.range(500).select(F.concat(F.lit("10.1/n"), F.col("id").cast("string")).alias("doi"), F.concat(F.lit('t "<&'), F.col("id").cast("string"), F.lit("\n&lt;")).alias("title"), (F.col("id") % 7).cast("int").alias("depth"), (F.col("id") % 2 == 0).alias("is_seed"))
+    edges = spark.range(900).select(F.concat(F.lit("10.1/n"), (F.col("id") % 500).cast("string")).alias("source_doi"), F.concat(F.lit("10.1/n"), (F.col("id") % 37).cast("string")).alias("target_doi"), F.lit("a > b").alias("label")).distinct()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = {name: sinks.save_document(lines, f"file://{tmp_path}/{name}").collect() for name, lines in (("g", sinks.graphml(nodes, edges)), ("x", sinks.gexf(nodes, edges)))}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    for name, rows in made.items():
+        at = b""
+        for r in rows:
+            part = (tmp_path / name / r.fragment).read_bytes()
+            assert (r.offset, r.bytes) == (len(at), len(part))
+            at += part
+        assert len(rows) > 2
+        root = ET.fromstring(at)
+        assert sum(e.tag.endswith("}node") for e in root.iter()) == 500 and sum(e.tag.endswith("}edge") for e in root.iter()) == edges.count()
+    n, e = sinks.read_graphml(spark, f"file://{tmp_path}/g")
+    assert sorted(map(tuple, n.collect())) == sorted(map(tuple, nodes.collect())) and sorted(map(tuple, e.collect())) == sorted(map(tuple, edges.select("source_doi", "target_doi").collect()))
+    n, e = sinks.read_gexf(spark, f"file://{tmp_path}/x")
+    assert sorted(map(tuple, n.collect())) == sorted(map(tuple, nodes.select("doi", "title").collect())) and sorted(map(tuple, e.collect())) == sorted(map(tuple, edges.collect()))
+
+
 def test_providers(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id int, p string")
     got = {r.id: r.answer for r in providers.chat(df, "p", providers.echo_chat).collect()}
