@@ -794,10 +794,10 @@ def test_pipeline_repeated_and_null_doc_ids(spark):
 def test_queries_are_registered():
     from quillspark.llm import registry
 
-    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
-@pytest.mark.parametrize("name", ["op4_substring", "op6_topk", "op8_jaccard", "op9_vectors"])
+@pytest.mark.parametrize("name", ["op4_substring", "op6_topk", "op8_jaccard", "op9_vectors", "op11_merkle", "op12_clustering", "op13_chat"])
 def test_sql(spark, name):
     import duckdb
 
