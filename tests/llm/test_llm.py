@@ -804,7 +804,7 @@ def test_sql(spark, name):
     from quillspark.llm import registry
 
     folder, db = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     got = registry.QUERIES[name](spark, folder)
     want = db.sql(registry.ORACLES[name])
