@@ -230,30 +230,54 @@ def stitch(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return both.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("__g", "__o", "__at")) - 1).select(key, "pos", "category", "content")
 
 
-def title_ratio(a: str | None, b: str | None) -> float:
+def title_ratio(a: str, b: str) -> float:
     """Similarity of two texts by their matching blocks."""
     from difflib import SequenceMatcher
 
-    return SequenceMatcher(None, a or "", b or "").ratio()
+    return SequenceMatcher(None, a, b).ratio()
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """title_ratio of two columns; null where either is."""
+def _bounded(a: Column, b: Column, least: float) -> Column:
+    """A struct (a, b, sure): whether two texts are more alike than `least` if bounds say so, else the texts.
 
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([title_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+    Matching blocks can't hold more than the shorter text has, nor more of a character than either has. Equal texts
+    are as alike as can be.
+    """
+    none, both = F.lit(None).cast("string"), F.length(a) + F.length(b)
+    count = lambda t, x: F.length(t) - F.length(F.replace(t, x, F.lit("")))
+    letters = F.filter(F.array_distinct(F.split(a, "")), lambda x: x != "")
+    common = F.aggregate(letters, F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    enough = lambda n: F.lit(2.0) * n / both > F.lit(least)
+    sure = F.when(a == b, F.lit(1.0 > least)).when(~enough(F.least(F.length(a), F.length(b))), F.lit(False)).when(~enough(common), F.lit(False))
+    let = lambda value, of: F.element_at(F.transform(F.array(value), of), 1)
+    open_ = lambda k, t: F.when(k.isNull() & a.isNotNull() & b.isNotNull(), t).otherwise(none)
+    return let(sure, lambda k: F.struct(open_(k, a).alias("a"), open_(k, b).alias("b"), k.alias("sure")))
+
+
+def with_alike(rows: DataFrame, name: str, a: Column, b: Column, least: float) -> DataFrame:
+    """rows with a column that says whether title_ratio of two texts is above `least`; null where either is.
+
+    Lengths and counts of characters decide nearly all rows as columns; only the texts of the others
+    reach the matcher, in Arrow batches.
+    """
+
+    @F.pandas_udf("boolean")
+    def settled(x: pd.DataFrame) -> pd.Series:
+        out = zip(x["a"], x["b"], x["sure"], strict=True)
+        return pd.Series([title_ratio(p, q) > least if isinstance(p, str) else None if k is None else bool(k) for p, q, k in out], dtype=object)
 
-    return F.when(a.isNotNull() & b.isNotNull(), ratio(a, b))
+    # the texts are columns of their own, so that what is worked out for them is so once
+    rows = rows.withColumn("__like_a", a).withColumn("__like_b", b)
+    return rows.withColumn(name, settled(_bounded(F.col("__like_a"), F.col("__like_b"), least))).drop("__like_a", "__like_b")
 
 
-def is_title(chunk: Column, title: Column, least: float = 0.85, slack: int = 10) -> Column:
-    """Whether two normalised titles nearly agree; lengths decide first, so few pairs reach Python."""
+def with_title(rows: DataFrame, name: str, chunk: Column, title: Column, least: float = 0.85, slack: int = 10) -> DataFrame:
+    """rows with a column that says whether a chunk is about as long as a title and both, normalised, nearly agree."""
     from ..functions.text import title_form
 
-    a, b = title_form(chunk), title_form(title)
-    near = F.coalesce(F.abs(F.length(a) - F.length(b)) <= slack, F.lit(False))
-    return near & (likeness(F.when(near, a), F.when(near, b)) > least)
+    near = F.coalesce(F.abs(F.length(chunk) - F.length(title)) <= slack, F.lit(False))
+    rows = with_alike(rows, name, F.when(near, title_form(title)), F.when(near, title_form(chunk)), least)
+    return rows.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 def equations(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .markdown import REF_HEADER, equations, is_equation, is_figure, is_reference, is_table, is_title, likeness
+from .markdown import REF_HEADER, equations, is_equation, is_figure, is_reference, is_table, with_alike, with_title
 
 #: A heading of any section, and a line that begins a numbered entry.
 SECTION, ENTRY = r"^#\s+\w", r"^\s*(?:\[\d+\]|\(\d+\)|\d{1,3}\.)\s+.+$"
@@ -44,7 +44,8 @@ def main_section(chunks: DataFrame, titles: DataFrame, key: str = "doc_id") -> D
     """
     w = Window.partitionBy(key)
     rows = chunks.join(titles, key, "left")
-    rows = rows.withColumn("__t", F.min(F.when(is_title(F.col("content"), F.col("title")), F.col("pos"))).over(w))
+    rows = with_title(rows, "__is", F.col("content"), F.col("title"))
+    rows = rows.withColumn("__t", F.min(F.when(F.col("__is"), F.col("pos"))).over(w)).drop("__is")
     rows = rows.where("__t is null or pos >= __t")
     rows = rows.withColumn("__first", F.min("pos").over(w)).withColumn("__ref", F.min(F.when(is_reference(F.col("content")), F.col("pos"))).over(w))
     rows = rows.withColumn("__end", F.min(F.when((F.col("pos") > F.col("__ref")) & F.col("content").rlike(SECTION), F.col("pos"))).over(w))
@@ -83,10 +84,8 @@ def reconciled(rows: DataFrame, known: DataFrame, key: str = "doc_id") -> tuple[
     from ..functions.text import title_form
 
     found = F.col("category") == "abstract"
-    x = rows.join(known, key, "left")
-    like = likeness(F.when(found, title_form(F.col("content"))), title_form(F.col("abstract")))
-    same = F.coalesce(like > SAME_ABSTRACT, F.lit(False))
-    out = x.select(key, "pos", "category", F.when(same, F.col("abstract")).otherwise(F.col("content")).alias("content"))
+    x = with_alike(rows.join(known, key, "left"), "__same", F.when(found, title_form(F.col("content"))), title_form(F.col("abstract")), SAME_ABSTRACT)
+    out = x.select(key, "pos", "category", F.when(F.col("__same"), F.col("abstract")).otherwise(F.col("content")).alias("content"))
     mine = out.where("category = 'abstract'").groupBy(key).agg(F.min_by("content", "pos").alias("mine"))
     return out, known.join(mine, key, "full").select(key, F.coalesce("mine", "abstract").alias("abstract"))
 
