@@ -97,6 +97,26 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def sums_before(rows: DataFrame, keys: list[str], n: str, name: str, count: int | None = None) -> DataFrame:
+    """rows, one for each value of the keys, with the sum of n over all rows of smaller keys, nulls last, as `name`; a table.
+
+    Rows are dealt to ranges of the keys; a range is summed up by itself and shifted by the totals of those before
+    it, a table of as many rows as there are ranges. No step sees all rows in one task. count is about how many rows there are.
+    """
+    order = [F.col(c).asc_nulls_last() for c in keys]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    dealt = written(dealt, "sums-ranges", rows=count)
+    dealt_by = dealt.withColumn("__range", F.shiftright("__id", 33))
+    until = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = dealt_by.groupBy("__range").agg(F.sum(n).alias("__total"))
+    totals = totals.select(F.col("__range").alias("__of"), until(Window.orderBy("__range"), "__total").alias("__shift"))
+    inside = dealt_by.withColumn("__i", until(Window.partitionBy("__range").orderBy("__id"), n))
+    out = inside.join(totals, F.col("__range") == F.col("__of")).withColumn(name, F.col("__i") + F.col("__shift"))
+    out = written(out.select(*rows.columns, name), "sums", rows=count)
+    done(dealt)
+    return out
+
+
 def numbered(df: DataFrame, name: str, leading: list[str] = (), seed: int = 0) -> DataFrame:
     """df with gapless row numbers from 0 in column `name`, in a fixed pseudo-random order; a table in the shared folder.
 
@@ -104,7 +124,7 @@ def numbered(df: DataFrame, name: str, leading: list[str] = (), seed: int = 0) -
     the rows alone. Equal rows are counted before the shuffle, numbered as one run and expanded after it:
     they never meet in one task. Rows are dealt to buckets of the hash of about sqrt(rows) each; a bucket
     is numbered by itself and shifted by the rows of the buckets before it, a table of about sqrt(rows)
-    entries. No step sees all rows in one task.
+    entries and as many as `leading` has values, which is summed up by ranges then. No step sees all rows in one task.
     """
     cols = df.columns
     at = F.xxhash64(F.lit(seed), *cols)
@@ -123,14 +143,19 @@ def numbered(df: DataFrame, name: str, leading: list[str] = (), seed: int = 0) -
     rows = rows.withColumn("__k", F.floor(upper * F.col("__b") / F.lit(2.0**32)).cast("long")).drop("__b")
     keys = [*leading, "__k"]
     counts = rows.groupBy(*keys).agg(F.sum("__n").alias("__c"))
-    before = Window.orderBy(*[F.col(c).asc_nulls_last() for c in keys]).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__o", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    if leading:
+        buckets = groups.agg(F.coalesce(F.sum("__b"), F.lit(0)).alias("b")).first()["b"]
+        sums = counts = sums_before(counts, keys, "__c", "__o", buckets)
+        counts = counts.drop("__c")
+    else:
+        before = Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("__o", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
     inside = Window.partitionBy(*keys).orderBy(unsigned(F.col("__h")), *cols).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__i", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
     out = matched(rows, counts, keys).select(*cols, "__n", (F.col("__i") + F.col("__o")).alias("__f"))
     one = F.explode(F.sequence(F.col("__f"), F.col("__f") + F.col("__n") - 1))
     out = written(out.select(*cols, one.alias(name)), "numbered")
-    done(table)
+    done(table, *([sums] if leading else []))
     return out
 
 

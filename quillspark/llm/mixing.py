@@ -13,10 +13,10 @@ of their own, at whose root all the others stand as one, before these are dealt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import done, matched, n_words, numbered, shielded, uniform, written
+from .common import done, matched, n_words, numbered, shielded, sums_before, uniform, written
 
 #: Documents of a block; documents of more than so many times their source's mean size go first.
 FAN, HEAVY = 64, 16
@@ -29,19 +29,24 @@ def targets(sizes: DataFrame, source: str = "source", most: float = 3.0) -> Data
 
     Sources by code point, null last, weigh 1, 2, 3, 1, 2, 3 ... and share the sum of sizes; none gets more than
     `most` times its size, and what it can't take is shared by weight among the others. That
-    is water-filling: target = min(cap, level * weight), the level found in one pass over the sources
-    by rising cap / weight. The sources of a corpus are a small table, aggregated before.
+    is water-filling, target = min(cap, level * weight): the level rises from that of no caps by what the sources over
+    their caps can't take, until no more of them get over it. Every round is one sum over the sources, which ranges
+    of them have numbered; their number may be that of the documents.
     """
-    rank = F.row_number().over(Window.orderBy(F.encode(F.col(source), "UTF-8").asc_nulls_last()))
-    rows = sizes.withColumn("__w", (rank - 1) % 3 + 1).withColumn("__cap", F.col("source_size") * most)
-    by = Window.orderBy((F.col("__cap") / F.col("__w")), F.encode(F.col(source), "UTF-8").asc_nulls_last())
-    sofar, whole = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("__left", F.sum("source_size").over(whole) - F.coalesce(F.sum("__cap").over(sofar), F.lit(0.0)))
-    rows = rows.withColumn("__level", F.col("__left") / (F.sum("__w").over(whole) - F.coalesce(F.sum("__w").over(sofar), F.lit(0))))
-    # the first source whose cap lies over the level at its turn fixes the level of all that follow
-    rows = rows.withColumn("__fix", F.min(F.when(F.col("__cap") >= F.col("__level") * F.col("__w"), F.struct(F.col("__cap") / F.col("__w"), F.col("__level").alias("v")))).over(whole)["v"])
-    target = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least("__cap", F.coalesce(F.col("__fix"), F.lit(float("inf"))) * F.col("__w")))
-    return rows.withColumn("target", target).drop("__w", "__cap", "__left", "__level", "__fix")
+    rows = sums_before(sizes.withColumn("__1", F.lit(1)), [source], "__1", "__rank")
+    held = rows.withColumn("__w", F.col("__rank") % 3 + 1).withColumn("__cap", F.col("source_size") * most).drop("__1", "__rank")
+    level, over = 0.0, -1
+    while True:
+        capped = F.col("__cap") < F.lit(level) * F.col("__w")
+        said = held.agg(F.sum("source_size").alias("total"), F.sum(F.when(capped, F.col("__cap"))).alias("caps"), F.sum(F.when(~capped, F.col("__w"))).alias("weights"), F.count_if(capped).alias("over")).first()
+        if said["over"] == over or not said["total"]:
+            break
+        over = said["over"]
+        level = (said["total"] - (said["caps"] or 0.0)) / said["weights"] if said["weights"] else float("inf")
+    target = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least("__cap", F.lit(level) * F.col("__w")))
+    out = written(held.withColumn("target", target).drop("__w", "__cap"), "mix-targets")
+    done(rows)
+    return out
 
 
 def _let(value, of):
@@ -165,7 +170,7 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", seed: int =
     docs = docs.withColumn(size, F.coalesce(F.col(size), F.lit(0)).cast("long"))
     rows = plain = numbered(docs, "__g", [source], seed)
     sizes = rows.groupBy(source).agg(F.sum(size).alias("source_size"), F.min("__g").alias("__s"), F.count(F.lit(1)).alias("__m"))
-    aim = written(targets(sizes, source), "mix-targets")
+    aim = targets(sizes, source)
     rows = matched(rows, aim, [source])
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("__x", each).withColumn("__whole", F.floor("__x").cast("int"))

@@ -716,6 +716,29 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty.select("doc_id", "source", F.lit(1).alias("size"))).count() == 0
 
 
+@pytest.mark.parametrize("caps", ["many", "one", "none"])
+def test_targets_of_many_sources(spark, caps):
+    """A source for nearly each document: the targets are those worked out by hand, and no window stands over all sources."""
+    rng = random.Random(12)
+    size = {"many": lambda i: int(2 ** rng.uniform(0, 16)), "one": lambda i: 10**6 if i == 7 else 1 + i % 3, "none": lambda i: 50 + i % 3}[caps]
+    sizes = {f"s{i:05}": size(i) for i in range(4000)} | {None: 40, "zero": 0}
+    given = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)
+    found = mixing.targets(given)
+    want = targets_by_hand(sizes)
+    assert all(abs(r.target - want[r.source]) <= 1e-9 * max(1, want[r.source]) for r in found.collect()) and found.count() == len(sizes)
+
+
+def test_a_source_for_each_document(spark):
+    rows = [(i, f"s{i}" if i % 50 else None, 10 + i % 7) for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    sizes = Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    want = targets_by_hand(dict(sizes))
+    assert len(got) == 900 and all(abs(r.target - want[r.source]) < 1e-6 * want[r.source] and 0 <= r.copies <= 3 for r in got)
+    assert all(abs(r.size * r.copies - r.target) <= r.size for r in got if r.source)
+
+
 @pytest.mark.parametrize(("p", "blocks"), [(0.1, 12), (0.5, 12), (0.75, 12), (0.3, 200)])
 def test_mixing_chances_hold(spark, p, blocks):
     """Over many blocks of the same documents each is taken with its chance, and each block's words are those due but for one document."""
