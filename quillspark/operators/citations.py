@@ -212,8 +212,13 @@ def split_references(c: Column, least: int = 20) -> Column:
 
 
 def find_author_year(markers: DataFrame, refs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, surname, year, ref_pos) for refs (key, ref_pos, text, author ARRAY, year): the first of the year with the surname."""
+    """(key, surname, year, ref_pos) for refs (key, ref_pos, text, author ARRAY, year): the first of the year with the surname.
+
+    Equal markers are asked once, and equal references once, by the first of them. Of these a name meets those of its document and year.
+    """
     name = F.lower("surname")
-    known = F.exists("author", lambda a: F.lower(a).contains(name)) | F.lower("text").contains(name)
-    hit = markers.join(refs, [key, "year"]).where(known).groupBy(key, "surname", "year").agg(F.min("ref_pos").alias("ref_pos"))
-    return markers.distinct().join(hit, [key, "surname", "year"], "left")
+    known = F.exists("author", lambda a: a.contains(name)) | F.col("text").contains(name)
+    asked = markers.select(key, "surname", "year").distinct()
+    first = refs.groupBy(key, "year", F.lower("text").alias("text"), F.transform("author", F.lower).alias("author")).agg(F.min("ref_pos").alias("ref_pos"))
+    hit = asked.join(first, [key, "year"]).where(known).groupBy(key, "surname", "year").agg(F.min("ref_pos").alias("ref_pos"))
+    return asked.join(hit, [key, "surname", "year"], "left")
