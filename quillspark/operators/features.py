@@ -35,6 +35,17 @@ def all_local(papers: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
     return a.join(b, F.col("i") < F.col("j"))
 
 
+def partners(papers: DataFrame) -> DataFrame:
+    """(i, partners): of each local paper how many of all_local()'s pairs it leads, for collections of any size; no pair is made.
+
+    They are the papers after it, so it is numbered in their order.
+    """
+    here = papers.select(F.col("doi").alias("i")).where("i is not null").distinct().withColumn("one", F.lit(1))
+    placed = written(running(here, "i", "one", "before"), "partners")
+    n = placed.agg(F.count(F.lit(1)).alias("n"))
+    return placed.join(F.broadcast(n)).select("i", (F.col("n") - F.col("before") - 1).alias("partners")).where("partners > 0")
+
+
 def local_references(papers: DataFrame, references: DataFrame, cited: DataFrame) -> DataFrame:
     """(i, doi): what local papers (doi) refer to by their references or by the articles that they cite (both i, doi), among local papers, without themselves."""
     return cited_local(papers, references.select("i", "doi").union(cited.select("i", "doi")).where("doi is not null")).withColumnRenamed("j", "doi")

@@ -182,8 +182,7 @@ def candidate_edges(spark, d):
 
 @query("all_pairs", "SELECT a.s_suppkey AS i, count(*) AS partners FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey GROUP BY 1")
 def all_pairs(spark, d):
-    rows = features.all_local(table(spark, d, "supplier").select(F.col("s_suppkey").alias("doi")))
-    return rows.groupBy("i").agg(F.count(F.lit(1)).alias("partners"))
+    return features.partners(table(spark, d, "supplier").select(F.col("s_suppkey").alias("doi")))
 
 
 @query("reference_vocab", f"WITH {RAW} SELECT count(DISTINCT i) AS papers_with_references, count(DISTINCT j) AS reference_vocab_size FROM raw")
