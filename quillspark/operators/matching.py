@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from ..sources.tables import written
 
 #: Records of a word up to which the rounds of best_overlap() read its list; the last round reads what is still needed.
 ROUNDS = (32, 1024, 32768, None)
-#: Characters of the pieces that texts are looked up by.
-GRAM = 8
+#: Characters of the pieces that texts are looked up by, and those of a text that are cut at a time.
+GRAM, CUT = 8, 256
 
 
 def words_of(c: Column, letters: int) -> Column:
@@ -68,36 +70,34 @@ def best_record(references: DataFrame, titles: DataFrame, key: str = "ref_id", l
 
 
 def grams(c: Column, q: int) -> Column:
-    """The distinct pieces of q characters of a text."""
-    n = F.length(c)
-    at = F.when(n >= q, F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(q))))
+    """The distinct pieces of q characters of a text. Where a text is cut is counted from its begin, so it is first cut into parts."""
+    n, most = F.length(c), CUT
+    upto = lambda k: F.when(k >= 1, F.sequence(F.lit(1), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(upto(F.ceil((n - q + 1) / most).cast("int")), lambda k: F.substring(c, (k - 1) * most + 1, F.lit(most + q - 1)))
+    return F.array_distinct(F.flatten(F.transform(parts, lambda x: F.transform(upto(F.length(x) - q + 1), lambda i: F.substring(x, i, F.lit(q))))))
 
 
 def contained(texts: DataFrame, inside: DataFrame, keys: list[str], q: int = GRAM) -> DataFrame:
     """(keys, outer, inner) of texts (keys, outer) and inside (keys, inner), distinct and not empty: where outer contains inner.
 
     An inner text is looked up by the rarest of its pieces of q characters; a shorter one is itself a piece, of its own length. Only texts
-    that have the piece are compared, so what many texts have in common is no reason to compare them.
+    that have the piece are compared, so what many texts have in common is no reason to compare them. Pieces go with the number of their text and as
+    hashes, which may only lead to more comparisons.
     """
-    inner = written(inside.select(*keys, "inner").where("inner <> ''").distinct().withColumn("__q", F.least(F.length("inner"), F.lit(q))), "inner")
+    known = lambda rows, c, name: written(rows.select(*keys, c).where(F.col(c) != "").distinct().withColumn(f"__{c}", F.monotonically_increasing_id()), name)
+    outer, inner = known(texts, "outer", "outer"), known(inside, "inner", "inner")
+    inner = inner.withColumn("__q", F.least(F.length("inner"), F.lit(q)))
     lengths = inner.select(*keys, "__q").distinct()
     # for each length that is asked for under a key, its pieces
-    pieces = texts.select(*keys, "outer").where("outer <> ''").distinct().join(lengths, keys)
-    each = [pieces.where(F.col("__q") == n).select(*keys, "outer", F.explode(grams(F.col("outer"), n)).alias("__g")) for n in range(1, q + 1)]
-    index = each[0]
-    for more in each[1:]:
-        index = index.union(more)
-    index = written(index, "grams")
-    asked = [inner.where(F.col("__q") == n).select(*keys, "inner", F.explode(grams(F.col("inner"), n)).alias("__g")) for n in range(1, q + 1)]
-    wanted = asked[0]
-    for more in asked[1:]:
-        wanted = wanted.union(more)
+    pieces = lambda rows, c: reduce(DataFrame.union, [rows.where(F.col("__q") == n).select(*keys, f"__{c}", F.explode(F.transform(grams(F.col(c), n), lambda g: F.xxhash64(g))).alias("__g")) for n in range(1, q + 1)])
+    index, wanted = written(pieces(outer.join(lengths, keys), "outer"), "grams"), pieces(inner, "inner")
     counts = index.groupBy(*keys, "__g").agg(F.count(F.lit(1)).alias("__n"))
     # a piece that nothing has rules its text out
-    rarest = wanted.join(counts, [*keys, "__g"], "left").groupBy(*keys, "inner").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__g").alias("g"))).alias("m"))
-    look = rarest.where("m.n > 0").select(*keys, "inner", F.col("m.g").alias("__g"))
-    return look.join(index, [*keys, "__g"]).where(F.col("outer").contains(F.col("inner"))).select(*keys, "outer", "inner")
+    rarest = wanted.join(counts, [*keys, "__g"], "left").groupBy(*keys, "__inner").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__g").alias("g"))).alias("m"))
+    look = rarest.where("m.n > 0").select(*keys, "__inner", F.col("m.g").alias("__g"))
+    met = look.join(index, [*keys, "__g"]).select("__inner", "__outer").distinct()
+    met = met.join(inner.select(*keys, "inner", "__inner"), "__inner").join(outer.select("outer", "__outer"), "__outer")
+    return met.where(F.col("outer").contains(F.col("inner"))).select(*keys, "outer", "inner")
 
 
 def resolve_references(raws: DataFrame, refs: DataFrame, key: str = "doc_id") -> DataFrame:

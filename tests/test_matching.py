@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from quillspark.operators import matching
 
 
@@ -76,3 +78,18 @@ def test_match_titles(spark):
     }
     titles = {(r.doc_id, r.raw): r.title for r in matching.match_titles(a, b).collect()}
     assert titles[1, raws[0][1]] == titles[1, raws[1][1]] == titles[1, "ing"] == "A study" and titles[1, raws[2][1]] is None and titles[2, "alone"] == "Two" and len(titles) == 9
+
+
+def test_pieces_of_long_texts_go_without_the_text(spark, monkeypatch):
+    """A text's pieces are cut in parts and looked up by its number: none of the tables of pieces holds texts."""
+    monkeypatch.setattr(matching, "CUT", 5, raising=False)
+    kept, written = {}, matching.written
+    monkeypatch.setattr(matching, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    text = "abcdefghäöü-" * 30 + "xyz" + "q" * 40
+    outer = spark.createDataFrame([(1, text), (1, "abc"), (2, text)], "k int, outer string")
+    inner = spark.createDataFrame([(1, "hhh"), (1, "äöü-abcdefghäöü"), (1, "c"), (1, "xyzqqq"), (2, "zq"), (2, "nowhere in it")], "k int, inner string")
+    got = {(r.k, len(r.outer), r.inner) for r in matching.contained(outer, inner, ["k"]).collect()}
+    assert got == {(1, len(text), "äöü-abcdefghäöü"), (1, len(text), "c"), (1, 3, "c"), (1, len(text), "xyzqqq"), (2, len(text), "zq")}
+    assert kept["grams"].count() and all(f.dataType.typeName() != "string" for f in kept["grams"].schema.fields)
+    for q in (1, 5, 8):
+        assert set(spark.range(1).select(matching.grams(F.lit(text), q)).first()[0]) == {text[i : i + q] for i in range(len(text) - q + 1)}
