@@ -1,6 +1,7 @@
 """Markdown documents: blocks, sentences, chunks, block predicates, merging, sections, stitching."""
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,16 +84,36 @@ def recursive_chunks(text: str | None, size: int = 1200, overlap: int = 300) ->
     return [x for x in out if x]
 
 
-def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1200, overlap: int = 300) -> DataFrame:
-    """(key, pos, chunk) by recursive_chunks, row by row."""
-    kind = docs.schema[key].dataType.simpleString()
+#: Characters of chunks that leave a Python task at once.
+AT_ONCE = 1 << 20
+
+
+def rows_of_chunks(rows: DataFrame, key: str, text: str, chunks) -> DataFrame:
+    """(key, pos, chunk) of what chunks(text) gives for each row: one text at a time is Python's, and chunks leave by AT_ONCE characters."""
+    most, kind = AT_ONCE, rows.schema[key].dataType.simpleString()
 
-    def run(frames):
-        for f in frames:
-            rows = [(k, i, c) for k, t in zip(f[key], f[text], strict=True) for i, c in enumerate(recursive_chunks(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "pos", "chunk"])
+    def run(batches):
+        for batch in batches:
+            schema = pa.schema([pa.field(key, batch.schema.field(0).type), pa.field("pos", pa.int32()), pa.field("chunk", pa.string())])
+            at, pos, out, held = [], [], [], 0
+            for row in range(batch.num_rows):
+                for i, c in enumerate(chunks(batch.column(1)[row].as_py())):
+                    at.append(row)
+                    pos.append(i)
+                    out.append(c)
+                    held += len(c)
+                    if held >= most:
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(pos, pa.int32()), pa.array(out, pa.string())], schema=schema)
+                        at, pos, out, held = [], [], [], 0
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(pos, pa.int32()), pa.array(out, pa.string())], schema=schema)
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, pos int, chunk string")
+    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, pos int, chunk string")
+
+
+def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1200, overlap: int = 300) -> DataFrame:
+    """(key, pos, chunk) by recursive_chunks, row by row."""
+    return rows_of_chunks(docs, key, text, lambda t: recursive_chunks(t, size, overlap))
 
 
 def json_chunks(rows: DataFrame, key: str = "doc_id", json: str = "json", size: int = 1200, overlap: int = 300) -> DataFrame:
