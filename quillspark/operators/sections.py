@@ -27,7 +27,8 @@ def reference_section(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = rows.withColumn("__entry", entry).withColumn("__n", F.count_if(entry).over(w)).withColumn("__last", F.max(F.when(entry, F.col("pos"))).over(w))
     # an entry's number from the end, and so that of the lines before it up to the entry before: two lines of prose there end the block
     inside = rows.where("__head is null and __n >= " + str(LEAST_ENTRIES) + " and pos <= __last")
-    after = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # counted from the end: a frame that only grows is summed on, one that shrinks would be summed anew for every line
+    after = Window.partitionBy(key).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("__block", F.count_if("__entry").over(after))
     prose = F.count_if(~F.col("__entry") & ~blank)
     ends = inside.groupBy(key, "__block").agg(prose.alias("p")).groupBy(key).agg(F.min(F.when(F.col("p") >= PROSE, F.col("__block"))).alias("__stop"))

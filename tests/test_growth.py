@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import citations, features, graph, markdown, paths
-from quillspark.plans import record_queries
+from quillspark.operators import citations, features, graph, markdown, matching, paths, sections
+from quillspark.plans import record_queries, text_queries
 
 
 def plan_of(df):
@@ -70,3 +70,45 @@ def test_components_gather_nothing_at_the_driver(spark, monkeypatch):
     edges = spark.createDataFrame([("k", f"n{i}", f"n{i + 1}") for i in range(20) if i != 9], "k string, a string, b string")
     assert {r.component for r in graph.reachable(edges, ["k"]).collect()} == {"n0", "n10"}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_lines_to_the_end_are_counted_from_there(spark):
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(["a", "[1] x", "prose", "prose", "[2] y", "", "prose", "[3] z", "tail"])], "doc_id int, pos int, line string")
+    found = sections.reference_section(lines)
+    assert [r.pos for r in found.orderBy("pos").collect()] == [4, 5, 6, 7, 8]
+    # a frame from here to the end is summed anew for each row
+    assert "currentrow$(), unboundedfollowing" not in plan_of(found).lower()
+
+
+def test_blocks_are_classified_once(spark):
+    rows = [(1, k, c, t) for k, (c, t) in enumerate([("references", "[1] a"), ("figure", "f"), ("references", "[2] b"), ("figure", "g"), ("main_letter", " c"), ("table", "t"), ("main_letter", "d."), ("main_letter", "")])]
+    merged = markdown.merge_adjacent(spark.createDataFrame(rows, "doc_id int, pos int, category string, content string"))
+    assert [tuple(r) for r in merged.orderBy("pos").collect()] == [(1, 0, "figure", "f\n\ng"), (1, 1, "main_letter", " c"), (1, 2, "table", "t"), (1, 3, "main_letter", "d."), (1, 4, "reference", "[1] a\n[2] b")]
+    stitched = markdown.stitch(merged)
+    assert [tuple(r)[2:] for r in stitched.orderBy("pos").collect()] == [("figure", "f\n\ng"), ("main_letter", "c"), ("table", "t"), ("main_letter", "d."), ("reference", "[1] a\n[2] b")]
+    assert plan_of(stitched).count("Scan ExistingRDD") == 1
+
+
+def test_citations_are_sorted_and_found_once(spark):
+    folder = "/root/testdata/sf0.001"
+    assert plan_of(text_queries.cited(spark, folder)).count("Sort [") == 1
+    assert plan_of(text_queries.citation_by_article(spark, folder)).count("posexplode(") == 1
+
+
+def test_pairs_by_way_of_a_node_are_not_shuffled(spark):
+    arms = spark.createDataFrame([(z, n, 0.5, 3) for z in (1, 2) for n in (3, 4, 5)], "z long, n long, w double, d long")
+    found = graph._scores(arms, 2)
+    assert "hashpartitioning(i" not in plan_of(found) and "hashpartitioning(b" in plan_of(found)
+    assert [tuple(r) for r in found.orderBy("i", "j").collect()] == [(3, 4, 1.0), (3, 5, 1.0)]
+    numbers = spark.createDataFrame([(9, 1), (9, 10), (9, 2), (10, 3), (2, 3)], "source_doi long, target_doi long")
+    got = graph.adamic_adar(numbers, 1, name=lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))).collect()
+    assert [(r.i, r.j) for r in got] == [("p10", "p2")]
+
+
+def test_records_are_read_for_asked_words_only(spark, monkeypatch):
+    tables, written = {}, matching.written
+    monkeypatch.setattr(matching, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    asked = spark.createDataFrame([("k", ["a", "b"])], "key string, words array<string>")
+    held = spark.createDataFrame([(2, ["a", "x", "y"]), (1, ["b", "z"]), (3, ["q"]), (2, ["b"])], "doi long, words array<string>")
+    assert [tuple(r) for r in matching.best_overlap(asked, held).collect()] == [("k", 2, 2)]
+    assert sorted((r.doi, len(r.ids)) for r in tables["overlap-records"].collect()) == [(1, 1), (2, 2)]
