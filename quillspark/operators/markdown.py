@@ -194,16 +194,14 @@ def classify_blocks(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def merge_adjacent(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, category, content): without `other`; neighbours of one category figure or table as one block; references last, as one."""
-    w = Window.partitionBy(key).orderBy("pos")
-    rows = rows.where((F.col("category") != "other") & (F.col("content") != ""))
-    refs = F.col("category") == "references"
-    rest = rows.where(~refs)
+    # references and the rest are told apart within one pass, so that what rows are made of is read once
+    w = Window.partitionBy(key, "__refs").orderBy("pos")
+    rows = rows.where((F.col("category") != "other") & (F.col("content") != "")).withColumn("__refs", F.col("category") == "references")
     new = F.when(F.col("category").isin("figure", "table") & (F.lag("category").over(w) == F.col("category")), 0).otherwise(1)
-    rest = rest.withColumn("__new", new).withColumn("__g", F.sum("__new").over(w))
-    joined = lambda sep: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), sep)
-    rest = rest.groupBy(key, "__g").agg(F.first("category").alias("category"), joined("\n\n").alias("content"))
-    last = rows.where(refs).groupBy(key).agg(F.lit(2**40).alias("__g"), F.lit("reference").alias("category"), joined("\n").alias("content"))
-    both = rest.select(key, "__g", "category", "content").union(last.select(key, "__g", "category", "content"))
+    rows = rows.withColumn("__new", new).withColumn("__g", F.when(F.col("__refs"), F.lit(2**40)).otherwise(F.sum("__new").over(w)))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"])
+    both = rows.groupBy(key, "__refs", "__g").agg(F.first("category").alias("category"), parts.alias("parts"))
+    both = both.select(key, "__g", F.when(F.col("__refs"), "reference").otherwise(F.col("category")).alias("category"), F.when(F.col("__refs"), F.array_join("parts", "\n")).otherwise(F.array_join("parts", "\n\n")).alias("content"))
     return both.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("__g")) - 1).select(key, "pos", "category", "content")
 
 
@@ -244,10 +242,12 @@ def stitch(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = rows.withColumn("__g", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     first = F.min(F.when(F.col("__body"), F.col("pos"))).over(Window.partitionBy(key, "__g"))
     order = F.when(F.col("__stop"), 3).when(F.col("__body"), 1).when(first.isNull() | (F.col("pos") < first), 0).otherwise(2)
-    rows = rows.withColumn("__o", order)
+    # a segment's main text is one group, every other block its own, so that rows are made once
+    rows = rows.withColumn("__o", order).withColumn("__own", F.when(F.col("__o") != 1, F.col("pos")))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"])
-    texts = rows.where("__o = 1").groupBy(key, "__g", "__o").agg(F.min("pos").alias("__at"), F.lit("main_letter").alias("category"), trimmed(F.array_join(parts, " ")).alias("content")).where("content <> ''")
-    both = rows.where("__o <> 1").select(key, "__g", "__o", F.col("pos").alias("__at"), "category", "content").union(texts)
+    both = rows.groupBy(key, "__g", "__o", "__own").agg(F.min("pos").alias("__at"), F.first("category").alias("category"), F.first("content").alias("one"), parts.alias("parts"))
+    text = F.when(F.col("__o") == 1, trimmed(F.array_join("parts", " "))).otherwise(F.col("one"))
+    both = both.select(key, "__g", "__o", "__at", "category", text.alias("content")).where("__o <> 1 or content <> ''")
     return both.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("__g", "__o", "__at")) - 1).select(key, "pos", "category", "content")
 
 
