@@ -128,24 +128,29 @@ def author_year_entry(markers: Column) -> Column:
     return F.struct(F.lit("author-year").alias("style"), F.array().cast("array<string>").alias("forms"), text.alias("markers"), F.array().cast("array<int>").alias("refs"), markers.alias("names"))
 
 
-def citation_contexts(sents: DataFrame, key: str = "doc_id", most: Column | None = None) -> DataFrame:
+def citation_contexts(sents: DataFrame, key: str = "doc_id", most: Column | None = None, order: list[str] | None = None) -> DataFrame:
     """Sentences (key, pos, sentence) that cite: style, forms, markers, sorted refs, names, neighbours, context and a running id.
 
     A sentence that cites by number and by author and year has two rows, numbers first. Superscripts and
-    parentheses count where they name a reference of 1 .. most, a column of sents, if given.
+    parentheses count where they name a reference of 1 .. most, a column of sents, if given. `order`: columns of sents that order a
+    document's sentences as pos does; rows that are sorted by them already aren't sorted again.
     """
-    w = Window.partitionBy(key).orderBy("pos")
+    w = Window.partitionBy(key).orderBy(*(order or ["pos"]))
     c = F.col("sentence")
-    side = lambda f: F.coalesce(f("__shown").over(w), F.lit(""))
-    rows = sents.withColumn("__shown", F.when(c.contains("⟦SUP:"), render_markers(c)).otherwise(c))
-    rows = rows.withColumn("prev_sentence", side(F.lag)).withColumn("next_sentence", side(F.lead)).where(c.rlike(MAY_CITE))
+    shown = lambda c: F.when(c.contains("⟦SUP:"), render_markers(c)).otherwise(c)
+    rows = sents.withColumn("__before", F.lag("sentence").over(w)).withColumn("__after", F.lead("sentence").over(w)).where(c.rlike(MAY_CITE))
+    rows = rows.withColumn("__shown", shown(c)).withColumn("prev_sentence", F.coalesce(shown(F.col("__before")), F.lit(""))).withColumn("next_sentence", F.coalesce(shown(F.col("__after")), F.lit("")))
     # markers are found once: what is made of them is exploded, and nothing filters by them below that
     rows = rows.withColumn("__n", numeric_markers(c, F.lit(None).cast("int") if most is None else most)).withColumn("__a", author_year_markers(c))
     both = F.array(F.when(F.size("__n") > 0, numeric_entry(F.col("__n"))), F.when(F.size("__a") > 0, author_year_entry(F.col("__a"))))
-    rows = rows.select(*sents.columns, "__shown", "prev_sentence", "next_sentence", F.posexplode(F.filter(both, lambda x: x.isNotNull())).alias("__k", "__e")).withColumn("sentence", F.col("__shown"))
+    rows = rows.withColumn("__es", F.filter(both, lambda x: x.isNotNull()))
+    # ids go on from the citations of the sentences before, which stand in order: the entries aren't sorted once more
+    before = F.coalesce(F.sum(F.size("__es")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ids")
+    rows = rows.select(*sents.columns, "__shown", "prev_sentence", "next_sentence", "__es", before)
+    rows = rows.select(*sents.columns, "__shown", "prev_sentence", "next_sentence", "__ids", F.posexplode("__es").alias("__k", "__e")).withColumn("sentence", F.col("__shown"))
     some = lambda c: F.when(F.col(c) != "", F.col(c))
     rows = rows.withColumn("context", F.concat_ws(" ", some("prev_sentence"), some("sentence"), some("next_sentence")))
-    rows = rows.withColumn("citation_id", F.row_number().over(Window.partitionBy(key).orderBy("pos", "__k")))
+    rows = rows.withColumn("citation_id", (F.col("__ids") + F.col("__k") + 1).cast("int"))
     return rows.select(*sents.columns, "prev_sentence", "next_sentence", "context", "citation_id", "__e.*")
 
 
@@ -171,10 +176,10 @@ def by_article(citations: DataFrame, references: DataFrame, key: str = "doc_id")
 
     Articles are told apart by DOI, else title, else raw text, else number.
     """
-    rows = citations.select(key, "citation_id", F.explode("refs").alias("num")).join(references, [key, "num"], "left")
     some = lambda c: F.when(F.col(c) != "", F.col(c))
-    article = F.coalesce(F.concat(F.lit("doi::"), some("doi")), F.concat(F.lit("title::"), some("title")), F.concat(F.lit("raw::"), some("raw")), F.concat(F.lit("ref::"), F.col("num").cast("string")))
-    return rows.groupBy(key, article.alias("article")).agg(F.array_sort(F.collect_set("num")).alias("ref_keys"), F.count_distinct("citation_id").alias("citation_count"), F.min("num").alias("first_ref"))
+    article = F.coalesce(F.concat(F.lit("doi::"), some("doi")), F.concat(F.lit("title::"), some("title")), F.concat(F.lit("raw::"), some("raw"))).alias("article")
+    rows = citations.select(key, "citation_id", F.explode("refs").alias("num")).join(references.select(key, "num", article).hint("merge"), [key, "num"], "left")
+    return rows.groupBy(key, F.coalesce("article", F.concat(F.lit("ref::"), F.col("num").cast("string"))).alias("article")).agg(F.array_sort(F.collect_set("num")).alias("ref_keys"), F.count_distinct("citation_id").alias("citation_count"), F.min("num").alias("first_ref"))
 
 
 def ordered_articles(articles: DataFrame, key: str = "doc_id", name: str = "article") -> DataFrame:
