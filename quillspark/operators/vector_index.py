@@ -19,6 +19,8 @@ from .retrieval import PLACES, SLACK, candidates
 
 #: Radians of a ring, cells that a query looks into first, rows of either side that meet in a task.
 RING, FIRST, BLOCK = 0.05, 4, 2048
+#: Rows of a part, which queries that look into many rings meet as a whole.
+PART = 1 << 14
 #: How far an angle may be off by rounding.
 EDGE = 1e-6
 
@@ -165,6 +167,13 @@ class VectorIndex:
         rows = rows.join(probes.select("cell", "ring").distinct(), ["cell", "ring"], "left_semi")
         return candidates(probes.join(asked.select("query_id", "q"), "query_id"), rows.select("cell", "ring", "id", "v"), ["cell", "ring"], k).select("query_id", "id", "score")
 
+    def _all_scores(self, probes: DataFrame, asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+        """As _scores(), but cells go together in parts of about PART rows, to each of which a query goes once, not once to every ring; a part is compared as a whole."""
+        n = rows.count()
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(-(-n // PART) or 1)).alias("part")
+        there = written(probes.select("query_id", part("cell")).distinct(), "probes")
+        return candidates(there.join(asked.select("query_id", "q"), "query_id"), rows.select(part("cell"), "id", "v"), ["part"], k).select("query_id", "id", "score")
+
     def search(self, queries: DataFrame, k: int, version: int | None = None, first: int = FIRST) -> DataFrame:
         """(query_id, rank, id, score) of queries (query_id, q): the k highest cosines, by six decimals, ties to the smaller id.
 
@@ -183,7 +192,7 @@ class VectorIndex:
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
         least = got.withColumn("i", place).where(F.col("i") == k).select("query_id", F.col("score").alias("least"))
         more = self.probes(asked.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0))), version)
-        more = written(more.join(begun, ["query_id", "cell", "ring"], "left_anti"), "probes")
-        found = got.unionByName(self._scores(more, asked, rows, k)).withColumn("score", F.round("score", PLACES))
+        # what was found first is in these rings too, and is found again with the rest
+        found = self._all_scores(more, asked, rows, k).withColumn("score", F.round("score", PLACES))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

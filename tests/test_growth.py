@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import citations, features, graph, markdown, matching, paths, sections
+from quillspark.operators import citations, features, graph, markdown, matching, paths, retrieval, sections, vector_index
 from quillspark.plans import record_queries, text_queries
 
 
@@ -101,8 +101,8 @@ def test_pairs_by_way_of_a_node_are_not_shuffled(spark):
     assert "hashpartitioning(i" not in plan_of(found) and "hashpartitioning(b" in plan_of(found)
     assert [tuple(r) for r in found.orderBy("i", "j").collect()] == [(3, 4, 1.0), (3, 5, 1.0)]
     numbers = spark.createDataFrame([(9, 1), (9, 10), (9, 2), (10, 3), (2, 3)], "source_doi long, target_doi long")
-    got = graph.adamic_adar(numbers, 1, name=lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))).collect()
-    assert [(r.i, r.j) for r in got] == [("p10", "p2")]
+    got = graph.adamic_adar(numbers, 2, name=lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))).collect()
+    assert [(r.i, r.j) for r in got] == [("p3", "p9"), ("p10", "p2")]
 
 
 def test_records_are_read_for_asked_words_only(spark, monkeypatch):
@@ -112,3 +112,13 @@ def test_records_are_read_for_asked_words_only(spark, monkeypatch):
     held = spark.createDataFrame([(2, ["a", "x", "y"]), (1, ["b", "z"]), (3, ["q"]), (2, ["b"])], "doi long, words array<string>")
     assert [tuple(r) for r in matching.best_overlap(asked, held).collect()] == [("k", 2, 2)]
     assert sorted((r.doi, len(r.ids)) for r in tables["overlap-records"].collect()) == [(1, 1), (2, 2)]
+
+
+def test_a_query_goes_once_to_a_part_of_the_index(spark, tmp_path, monkeypatch):
+    rng, sent, was = random.Random(4), [], vector_index.candidates
+    monkeypatch.setattr(vector_index, "candidates", lambda queries, *a, **kw: sent.append(queries) or was(queries, *a, **kw))
+    rows = spark.createDataFrame([(i, "s", [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)], "id long, source string, v array<double>")
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    got = vector_index.VectorIndex.create(rows, f"{tmp_path}/index").search(queries, 3)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in retrieval.nearest(queries, rows.select("id", "v"), 3).collect()}
+    assert sent[-1].count() == 15
