@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from ..sources.tables import written
 
 #: Records of a word up to which the rounds of best_overlap() read its list; the last round reads what is still needed.
 ROUNDS = (32, 1024, 32768, None)
+#: References of a block, records of one that meet it in a task, and counts of both that are held at a time.
+BLOCK, PART, CELLS = 2048, 1 << 14, 1 << 22
 #: Characters of the pieces that texts are looked up by, and those of a text that are cut at a time.
 GRAM, CUT = 8, 256
 
@@ -21,20 +26,20 @@ def words_of(c: Column, letters: int) -> Column:
 
 
 def best_overlap(asked: DataFrame, held: DataFrame, rounds: tuple = ROUNDS) -> DataFrame:
-    """(key, doi, shared) of asked (key, words) and held (doi, words), arrays of distinct words: the doi that shares most with each, ties to the smaller.
+    """(key, doi, shared) of asked (key, words) and held (doi, words), arrays of words: the doi that shares most with each, ties to the smaller.
 
-    Words are numbered from the rarest on. If a record with b words in common is known, only records with one of a
+    Words that nothing asks for are left out where they are read; the others are numbers. Of a doi with several rows the words count together.
+    Words count from the rarest on. If a record with b words in common is known, only records with one of a
     reference's n - b + 1 rarest words can be better or as good, so common words are seldom looked up: they only count. A
     single word's answer stands in the dictionary. References with the same words are asked once. Those that share no
-    word with anything have no row.
+    word with anything have no row. What references and records have in common is counted in blocks of references, to each of which a record goes once.
     """
-    counts = held.select("doi", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.min("doi").alias("first"))
-    ordered = counts.repartitionByRange("df", "w").sortWithinPartitions("df", "w").withColumn("id", F.monotonically_increasing_id())
-    words = written(ordered, "overlap-words")
-    numbers = lambda rows, key: rows.select(key, F.explode("words").alias("w")).join(words, "w")
-    records = written(numbers(held, "doi").groupBy("doi").agg(F.collect_list("id").alias("ids")), "overlap-records")
-    postings = written(numbers(held, "doi").select("id", "doi"), "overlap-postings")
-    mine = numbers(asked, "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "df"))).alias("ws"), F.min("first").alias("first"))
+    words = written(asked.select(F.explode("words").alias("w")).distinct().withColumn("id", F.monotonically_increasing_id()), "overlap-words")
+    numbers = lambda rows, key: rows.select(key, F.explode("words").alias("w")).join(words, "w").groupBy(key).agg(F.collect_set("id").alias("ids"))
+    records = written(numbers(held, "doi"), "overlap-records")
+    postings = records.select("doi", F.explode("ids").alias("id"))
+    counts = written(postings.groupBy("id").agg(F.count(F.lit(1)).alias("df"), F.min("doi").alias("first")), "overlap-counts")
+    mine = numbers(asked, "key").select("key", F.explode("ids").alias("id")).join(counts, "id").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "id"))).alias("ws"), F.min("first").alias("first"))
     mine = written(mine, "overlap-asked")
     ids = F.transform("ws", lambda w: w["id"])
     sets = written(mine.groupBy("ws").agg(F.min("first").alias("first")).select(F.monotonically_increasing_id().alias("set"), ids.alias("ids"), F.transform("ws", lambda w: w["df"]).alias("dfs"), F.size("ws").alias("n"), "first"), "overlap-sets")
@@ -48,9 +53,7 @@ def best_overlap(asked: DataFrame, held: DataFrame, rounds: tuple = ROUNDS) -> D
         rare = F.lit(2**31 - 1) if most is None else F.size(F.filter("dfs", lambda x: x <= most))
         todo = open_.withColumn("upto", F.least(rare, need()))
         look = todo.select("set", F.explode(F.slice("ids", F.col("read") + 1, F.greatest(F.col("upto") - F.col("read"), F.lit(0)))).alias("id"))
-        met = look.join(postings, "id").select("set", "doi").distinct()
-        met = met.join(open_.select("set", "ids"), "set").join(records.select("doi", F.col("ids").alias("theirs")), "doi")
-        found = met.groupBy("set").agg(F.min(F.struct((-F.size(F.array_intersect("ids", "theirs"))).alias("less"), "doi")).alias("now"))
+        found = _shared(open_.select("set", "ids"), look, records, postings).groupBy("set").agg(F.min(F.struct("less", "doi")).alias("now"))
         new = todo.join(found, "set", "left").select("set", F.least("best", F.coalesce("now", "best")).alias("best"), F.greatest("upto", "read").alias("read"))
         state = written(state.join(new.select("set"), "set", "left_anti").unionByName(new), "overlap-state")
     found = sets.join(state, "set").select(F.struct("ids", "dfs").alias("s"), "best.doi", (-F.col("best.less")).cast("long").alias("shared"))
@@ -58,13 +61,58 @@ def best_overlap(asked: DataFrame, held: DataFrame, rounds: tuple = ROUNDS) -> D
     return named.join(found, "s").select("key", "doi", "shared")
 
 
+def _shared(sets: DataFrame, look: DataFrame, records: DataFrame, postings: DataFrame) -> DataFrame:
+    """(set, less, doi): of each block of sets (set, ids) and each part of the records (doi, ids) that one of them looks up, by look (set, id) and
+    postings (doi, id), the record that shares most with each set, ties to the smaller doi; less is the negative count."""
+    n = sets.count()
+    block = F.pmod(F.xxhash64("set"), F.lit(-(-n // BLOCK) or 1)).alias("__x")
+    met = look.select("id", block).distinct().join(postings, "id").select("__x", "doi").distinct()
+    rows = records.join(met, "doi").select("__x", "doi", "ids")
+    sizes = met.groupBy("__x").agg(F.ceil(F.count(F.lit(1)) / PART).alias("__n"))
+    rows = rows.join(sizes, "__x").select("__x", F.pmod(F.xxhash64("doi"), F.col("__n")).alias("__y"), "doi", "ids")
+    asked = sets.withColumn("__x", block).join(sizes, "__x").select("__x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__y"), "set", "ids")
+    kind = f"set bigint, less int, doi {records.schema['doi'].dataType.simpleString()}"
+
+    def most(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), b["doi"].slice(0, 0)], names=["set", "less", "doi"])
+        b = b.take(pc.sort_indices(b["doi"]))  # of equal counts the first is the smallest
+        mine, theirs = a["ids"].combine_chunks(), b["ids"].combine_chunks()
+        word, owner = mine.flatten().to_numpy(), np.repeat(np.arange(len(mine)), np.diff(mine.offsets.to_numpy()))
+        order = np.argsort(word, kind="stable")
+        owner = owner[order]
+        known, first, many = np.unique(word[order], return_index=True, return_counts=True)
+        begin, values = theirs.offsets.to_numpy() - theirs.offsets[0].as_py(), theirs.flatten().to_numpy()
+        best, where, step = np.zeros(len(mine), "int64"), np.zeros(len(mine), "int64"), max(1, CELLS // len(mine))
+        for k in range(0, len(theirs), step):
+            upto = min(k + step, len(theirs))
+            v, row = values[begin[k] : begin[upto]], np.repeat(np.arange(upto - k), np.diff(begin[k : upto + 1]))
+            at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+            row, at = row[known[at] == v], at[known[at] == v]
+            cells, ends, f = np.zeros((upto - k) * len(mine), "int64"), np.cumsum(many[at]), 0
+            while f < len(at):
+                g = max(f + 1, int(np.searchsorted(ends, (ends[f - 1] if f else 0) + CELLS, "right")))
+                m = many[at[f:g]]
+                hit = owner[np.repeat(first[at[f:g]] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+                cells += np.bincount(np.repeat(row[f:g], m) * len(mine) + hit, minlength=len(cells))
+                f = g
+            cells = cells.reshape(upto - k, len(mine))
+            now = cells.argmax(0)
+            more = cells[now, np.arange(len(mine))]
+            where, best = np.where(more > best, now + k, where), np.maximum(best, more)
+        some = best > 0
+        return pa.table([a["set"].filter(pa.array(some)), pa.array(-best[some].astype("int32")), b["doi"].take(pa.array(where[some]))], names=["set", "less", "doi"])
+
+    return asked.groupBy("__x", "__y").cogroup(rows.groupBy("__x", "__y")).applyInArrow(most, kind)
+
+
 def best_record(references: DataFrame, titles: DataFrame, key: str = "ref_id", letters: int = 3) -> DataFrame:
     """(key, doi, shared) of free-text references (key, text): the title (doi, title) that shares most words with each, ties to the smaller DOI.
 
     Words of fewer than `letters` letters don't count. A reference that shares none has a null doi. Of several texts with one key the words count together.
     """
-    asked = references.select(F.col(key).alias("key"), F.explode(words_of(F.col("text"), letters)).alias("w")).groupBy("key").agg(F.collect_set("w").alias("words"))
-    held = titles.where("doi is not null").select("doi", F.explode(words_of(F.col("title"), letters)).alias("w")).groupBy("doi").agg(F.collect_set("w").alias("words"))
+    asked = references.select(F.col(key).alias("key"), words_of(F.col("text"), letters).alias("words"))
+    held = titles.where("doi is not null").select("doi", words_of(F.col("title"), letters).alias("words"))
     best = best_overlap(asked, held).withColumnRenamed("key", key)
     return references.select(key).distinct().join(best, key, "left").select(key, "doi", "shared")
 
