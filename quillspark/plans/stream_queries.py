@@ -110,13 +110,13 @@ def event_sessions(spark, d):
 def _sessions(spark, d, path):
     events = table(spark, d, "events").select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"), "value")
     ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    parts = [events]
     if ends["a"] is not None:
         # every seventh event comes up to a day late
         late = F.when(F.xxhash64("user", "ts") % 7 == 0, F.lit(86_000)).otherwise(0)
         part = F.least(F.floor((F.unix_timestamp("ts") + late - int(ends["a"].timestamp())) * 4 / max(1, int((ends["b"] - ends["a"]).total_seconds()))), F.lit(3))
-        for k in range(4):
-            events.where(part == k).coalesce(1).write.mode("append").parquet(f"{path}-landing")
-    else:
-        events.write.parquet(f"{path}-landing")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}-landing")
-    session_store(stream, path, f"{path}-checkpoint", gap="2 hours", late="10 days")
+        parts = [events.where(part == k) for k in range(4)]
+    for rows in parts:  # a part is written by many tasks; the stream, run again, takes it as its next batch
+        rows.write.mode("append").parquet(f"{path}-landing")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}-landing")
+        session_store(stream, path, f"{path}-checkpoint", gap="2 hours", late="10 days")

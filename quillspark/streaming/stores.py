@@ -28,6 +28,8 @@ def table_stream(stream: DataFrame, log: Snapshots, checkpoint: str, kind: str =
     run(stream, lambda rows, epoch: log.add({kind: rows}, writer=writer, epoch=epoch), checkpoint)
 
 
+#: Groups of users that share a state: what a batch calls for in Python grows with its rows, not with its users.
+BUCKETS = 512
 SESSION = "user string, began timestamp, ended timestamp, n bigint, total double, gone boolean"
 
 
@@ -44,35 +46,50 @@ def merged(sessions: list[list], more: list[list], gap: int) -> tuple[list[list]
     return out, {s[0] for s in sessions} - kept
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
+def merged_all(known: pd.DataFrame, events: pd.DataFrame, gap: int, old: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """merged() for many users at once: sessions (user, began, ended, n, total, told) of known ones (user, began, ended, n, total) and events, of the same
+    columns, that aren't more than `old` before the user's last known one; told are those that changed. And (user, began) of those that aren't any more.
+    """
+    last = events["user"].map(known.groupby("user")["ended"].max())
+    events = events[~(events["began"] < last - old)]
+    rows = pd.concat([known.assign(told=False), events.assign(told=True)], ignore_index=True).sort_values(["user", "began", "ended"], kind="stable", ignore_index=True)
+    until, same = rows.groupby("user")["ended"].cummax().shift(), rows["user"].eq(rows["user"].shift())
+    run = (~same | (rows["began"] - until > gap)).cumsum()
+    out = rows.groupby(run).agg(user=("user", "first"), began=("began", "min"), ended=("ended", "max"), n=("n", "sum"), total=("total", "sum"), told=("told", "any"))
+    return out, rows.loc[~rows["told"] & (rows["began"] > out["began"].reindex(run).to_numpy()), ["user", "began"]]
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """A stream (user, began, ended, n, total, gone) of what becomes of users' sessions by a stream of events (user, ts, value).
 
     Events of a user that are not more than `gap` apart are one session. A session is told anew whenever it changes; where an
     event that came late joins two, the later one's beginning is told as gone. Sessions that ended more than `late` before the user's
     last event are forgotten, and events older than that are left out: so the state of a user is bounded by what can happen within `late`.
+    Users of a bucket share a state, and their events of a batch are merged together; a checkpoint holds for its number of buckets.
     """
     wide, old = (int(pd.Timedelta(x).total_seconds() * 1e6) for x in (gap, late))
+    columns = ["user", "began", "ended", "n", "total"]
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = [list(s) for s in zip(*state.get, strict=True)] if state.exists else []
-        was, gone = {tuple(s) for s in known}, set()
-        for f in frames:
-            at = f["ts"].astype("datetime64[us]").astype("int64")
-            last = max([s[1] for s in known], default=-(2**62))
-            own = sorted([int(t), int(t), 1, float(v)] for t, v in zip(at, f["value"].fillna(0.0), strict=True) if t >= last - old)
-            known, went = merged(known, merged([], own, wide)[0], wide)
-            gone |= went
-        gone -= {s[0] for s in known}
-        told = [s for s in known if tuple(s) not in was]
-        last = max([s[1] for s in known], default=0)
-        state.update(tuple(list(c) for c in zip(*[s for s in known if s[1] >= last - old - wide], strict=True)) or ([], [], [], []))
-        stamp = lambda x: pd.to_datetime(pd.Series(x, dtype="int64"), unit="us")
-        rows = [(*s, False) for s in told] + [(b, b, 0, 0.0, True) for b in sorted(gone)]
-        yield pd.DataFrame({"user": pd.Series([key[0]] * len(rows), dtype="object"), "began": stamp([r[0] for r in rows]), "ended": stamp([r[1] for r in rows]), "n": pd.Series([r[2] for r in rows], dtype="int64"), "total": pd.Series([r[3] for r in rows], dtype="float64"), "gone": pd.Series([r[4] for r in rows], dtype="bool")})
-
-    kept = "began array<bigint>, ended array<bigint>, n array<bigint>, total array<double>"
+        f = pd.concat(list(frames), ignore_index=True)
+        at = f["ts"].astype("datetime64[us]").astype("int64")
+        come = pd.DataFrame({"user": f["user"].astype("object"), "began": at, "ended": at, "n": 1, "total": f["value"].fillna(0.0).astype("float64")})
+        kept = state.get if state.exists else ([], [], [], [], [])
+        kinds = {"user": "object", "began": "int64", "ended": "int64", "n": "int64", "total": "float64"}
+        known = pd.DataFrame({c: pd.Series(list(x), dtype=kinds[c]) for c, x in zip(columns, kept, strict=True)})
+        now, gone = merged_all(known, come, wide, old)
+        rest = now[now["ended"] >= now.groupby("user")["ended"].transform("max") - old - wide]
+        state.update(tuple(rest[c].tolist() for c in columns))
+        told = now.loc[now["told"], columns].assign(gone=False)
+        gone = gone.drop_duplicates().assign(ended=gone["began"], n=0, total=0.0, gone=True)
+        rows = pd.concat([x for x in (told, gone) if len(x)], ignore_index=True) if len(told) + len(gone) else told
+        if len(rows):
+            yield rows.assign(**{c: pd.to_datetime(rows[c], unit="us") for c in ("began", "ended")})[[*columns, "gone"]]
+
+    kept = "user array<string>, began array<bigint>, ended array<bigint>, n array<bigint>, total array<double>"
     rows = events.where("user is not null and ts is not null").select(F.col("user").cast("string").alias("user"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
-    return rows.groupBy("user").applyInPandasWithState(update, SESSION, kept, "update", GroupStateTimeout.NoTimeout)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("user"), F.lit(buckets)).cast("int"))
+    return rows.groupBy("bucket").applyInPandasWithState(update, SESSION, kept, "update", GroupStateTimeout.NoTimeout)
 
 
 def session_store(events: DataFrame, path: str, checkpoint: str, gap: str = "30 minutes", late: str = "1 day", writer: str = "sessions") -> Registry:

@@ -2,10 +2,13 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.operators import citations, features, graph, markdown, matching, paths, retrieval, sections, vector_index
-from quillspark.plans import record_queries, text_queries
+from quillspark.plans import record_queries, stream_queries, text_queries
+from quillspark.sources.snapshots import Registry
+from quillspark.streaming import stores
 
 
 def plan_of(df):
@@ -122,3 +125,24 @@ def test_a_query_goes_once_to_a_part_of_the_index(spark, tmp_path, monkeypatch):
     got = vector_index.VectorIndex.create(rows, f"{tmp_path}/index").search(queries, 3)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in retrieval.nearest(queries, rows.select("id", "v"), 3).collect()}
     assert sent[-1].count() == 15
+
+
+def test_users_of_a_bucket_are_merged_together():
+    row = lambda user, began, ended=None, n=1, total=1.0: (user, began, began if ended is None else ended, n, total)
+    frame = lambda *rows: pd.DataFrame(rows, columns=["user", "began", "ended", "n", "total"])
+    known = frame(row("a", 10, 20, 3, 3.0), row("a", 30, 35, 2, 2.0), row("b", 10, 12, 2, 2.0))
+    now, gone = stores.merged_all(known, frame(row("a", 25), row("b", 40), row("c", 1), row("a", -60)), 5, 100)
+    assert sorted(now.itertuples(index=False, name=None)) == [("a", -60, -60, 1, 1.0, True), ("a", 10, 35, 6, 6.0, True), ("b", 10, 12, 2, 2.0, False), ("b", 40, 40, 1, 1.0, True), ("c", 1, 1, 1, 1.0, True)]
+    assert list(gone.itertuples(index=False, name=None)) == [("a", 30)]
+    # older than `late` before the user's last event
+    assert len(stores.merged_all(known, frame(row("a", -60), row("b", -60)), 5, 90)[0]) == 4
+
+
+def test_parts_of_events_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(6000).select((F.col("id") % 40).alias("user_id"), (F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 97)).alias("ts"), F.lit(1.0).alias("value"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    stream_queries._sessions(spark, str(tmp_path), f"file://{tmp_path}/sessions")
+    landed = spark.read.parquet(f"file://{tmp_path}/sessions-landing")
+    assert len(landed.inputFiles()) > 4 and landed.count() == 6000
+    found = Registry(spark, f"file://{tmp_path}/sessions", ["user", "began"])
+    assert found.rows().agg(F.sum("n")).first()[0] == 6000 and len(found.log.versions()) == 4
