@@ -146,3 +146,36 @@ def test_parts_of_events_are_written_by_many_tasks(spark, tmp_path):
     assert len(landed.inputFiles()) > 4 and landed.count() == 6000
     found = Registry(spark, f"file://{tmp_path}/sessions", ["user", "began"])
     assert found.rows().agg(F.sum("n")).first()[0] == 6000 and len(found.log.versions()) == 4
+
+
+def test_sums_of_ranks_leave_links_by_blocks(spark, monkeypatch):
+    rng, plans, was = random.Random(8), [], graph._round_in_blocks
+    monkeypatch.setattr(graph, "BITS", 5)
+    monkeypatch.setattr(graph, "LINKED", 40)
+
+    def seen(*a):
+        new = was(*a)
+        plans.append(plan_of(new[0]))
+        return new
+
+    monkeypatch.setattr(graph, "_round_in_blocks", seen)
+    ids = [k - 70 for k in range(200) if k % 9]
+    pairs = sorted({(rng.choice(ids[:150]), rng.choice(ids)) for _ in range(900)} | {(-70 + 1, k) for k in ids[:120]})
+    nodes, edges = spark.createDataFrame([(k,) for k in ids], "doi long"), spark.createDataFrame(pairs, "source_doi long, target_doi long")
+    want, out = {k: 1 / len(ids) for k in ids}, {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    for _ in range(4):
+        lost = sum(r for k, r in want.items() if k not in out) / len(ids)
+        new = {k: 0.15 / len(ids) + 0.85 * lost for k in ids}
+        for a, bs in out.items():
+            for b in bs:
+                new[b] += 0.85 * want[a] / len(bs)
+        want = new
+    got = {r.doi: r.pagerank for r in graph.pagerank(nodes, edges, rounds=4).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v / sum(want.values())) < 1e-12 for k, v in want.items())
+    # neither links nor nodes are shuffled in a round: ranks go to the links, and sums, a list for each block, to the nodes
+    assert len(plans) == 4 and all(p.count("Exchange hashpartitioning") == 2 and p.count("Bucketed: true") >= 2 for p in plans[1:])
+    far = spark.createDataFrame([(k * 10**9,) for k in range(4)], "doi long")
+    ring = spark.createDataFrame([(k * 10**9, (k + 1) % 4 * 10**9) for k in range(4)], "source_doi long, target_doi long")
+    assert {round(r.pagerank, 12) for r in graph.pagerank(far, ring).collect()} == {0.25} and len(plans) == 4
