@@ -68,8 +68,8 @@ def reference_summary(references: DataFrame) -> DataFrame:
 
 #: Sets up to this size meet as arrays.
 SMALL = 256
-#: Numbers of cited papers in a block, and the pairs of a block that meet in one task; members that are looked up at a time.
-BLOCK, SHARE, LOOKED_UP = 4096, 1 << 18, 1 << 21
+#: Numbers of cited papers in a block, the pairs and about how many citing papers of a block meet in one task; members that are looked up at a time.
+BLOCK, SHARE, HELD, LOOKED_UP = 1 << 14, 1 << 19, 1 << 17, 1 << 21
 
 
 def numbered(pairs: DataFrame, *sets: DataFrame) -> bool:
@@ -132,21 +132,23 @@ def _cosine(column: pa.ChunkedArray, i: np.ndarray, j: np.ndarray) -> pa.Array:
     return pa.array(out, mask=~(said | zero))
 
 
-def meet(pairs: DataFrame, nodes: DataFrame, sets: tuple = (), vectors: tuple = (), values: tuple = ()) -> DataFrame:
-    """Pairs (i, j, more) of numbered papers, with what columns of nodes (doi, ...) say: for lists of numbers how many are common (common_<name>),
+def meet(pairs: DataFrame, nodes: list[DataFrame], sets: tuple = (), vectors: tuple = (), values: tuple = ()) -> DataFrame:
+    """Pairs (i, j, more) of numbered papers, with what columns of nodes (doi, ...), tables with one row for a paper, say: for lists of numbers how many are common (common_<name>),
     for vectors their cosine (<name>), for other columns both values (<name>_i, <name>_j).
 
     Pairs are dealt to blocks by the cited paper's number, crowded blocks by the citing one's hash too. A paper's row goes once to each block where it is
     needed, never along with each pair, and meets the block's pairs there; what leaves is as small as the answer. Numbers should be dense, else blocks are many.
+    The papers that are needed lead, so each table of nodes is dealt once to where they are.
     """
     block = F.floor(F.col("j") / BLOCK).alias("__b")
-    crowd = pairs.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("__k")).where("__k > 1")
+    crowd = pairs.groupBy(block).agg(F.ceil(F.greatest(F.count(F.lit(1)) / SHARE, F.approx_count_distinct("i") / HELD)).alias("__k")).where("__k > 1")
     dealt = pairs.withColumn("__b", block).join(F.broadcast(crowd), "__b", "left").withColumn("__p", F.pmod(F.xxhash64("i"), F.coalesce("__k", F.lit(1)))).drop("__k")
     needed = dealt.select(F.col("i").alias("doi"), "__b", "__p").union(dealt.select("j", "__b", "__p")).distinct()
     needed = needed.groupBy("doi").agg(F.collect_list(F.struct("__b", "__p")).alias("__at"))
-    rows = needed.join(nodes.select("doi", *sets, *vectors, *values), "doi", "left").select(F.explode("__at").alias("__at"), "doi", *sets, *vectors, *values)
+    rows = reduce(lambda a, b: a.join(b.select("doi", *[c for c in (*sets, *vectors, *values) if c in b.columns]), "doi", "left"), nodes, needed)
+    rows = rows.select(F.explode("__at").alias("__at"), "doi", *sets, *vectors, *values)
     rows = rows.select("__at.__b", "__at.__p", "doi", *sets, *vectors, *values)
-    kept, types = [c for c in pairs.columns], {f.name: f.dataType.simpleString() for f in [*nodes.schema.fields, *pairs.schema.fields]}
+    kept, types = [c for c in pairs.columns], {f.name: f.dataType.simpleString() for t in (*nodes, pairs) for f in t.schema.fields}
     schema = [f"`{c}` {types[c]}" for c in kept] + [f"`common_{c}` long" for c in sets] + [f"`{c}` double" for c in vectors] + [f"`{c}_{e}` {types[c]}" for c in values for e in PAIR]
 
     def met(these: pa.Table, there: pa.Table) -> pa.Table:
@@ -167,11 +169,9 @@ def as_lists(sets: DataFrame, name: str) -> DataFrame:
     return sets.groupBy(F.col("owner").alias("doi")).agg(n.alias(f"n_{name}"), F.collect_list("member").alias("m")).select("doi", f"n_{name}", F.when(F.size("m") <= most, F.col("m")).alias(name))
 
 
-def overlap_in_blocks(pairs: DataFrame, sets: dict[str, DataFrame], nodes: DataFrame | None = None, vectors: tuple = (), values: tuple = ()) -> DataFrame:
+def overlap_in_blocks(pairs: DataFrame, sets: dict[str, DataFrame], nodes: tuple[DataFrame, ...] = (), vectors: tuple = (), values: tuple = ()) -> DataFrame:
     """meet() for several kinds of sets (owner, member) of numbered papers, with the sizes n_<name>_i and n_<name>_j, and for columns of nodes (doi, ...)."""
-    lists = [as_lists(rows, name) for name, rows in sets.items()]
-    lists = reduce(lambda a, b: a.join(b, "doi", "full"), lists + ([nodes] if nodes is not None else []))
-    out = meet(pairs, lists, tuple(sets), vectors, (*[f"n_{name}" for name in sets], *values))
+    out = meet(pairs, [*(as_lists(rows, name) for name, rows in sets.items()), *nodes], tuple(sets), vectors, (*[f"n_{name}" for name in sets], *values))
     large = {name: rows.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL) for name, rows in sets.items()}
     large = {name: rows for name, rows in large.items() if rows.limit(1).count()}
     if large:
@@ -228,7 +228,7 @@ def cocitation(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     """(i, j, cocitation_raw, cocitation_salton) by the citers of both; null if either isn't in the graph."""
     citers, inside = cited_by(edges), nodes.select("doi", F.lit(True).alias("there"))
     if numbered(pairs, citers):
-        o = overlap_in_blocks(pairs.select(*PAIR), {"set": citers}, inside, values=("there",))
+        o = overlap_in_blocks(pairs.select(*PAIR), {"set": citers}, (inside,), values=("there",))
         return o.select("i", "j", *salton(F.when(F.col("there_i") & F.col("there_j"), F.coalesce("common_set", F.lit(0))), F.col("n_set_i"), F.col("n_set_j")))
     o = overlap(pairs, citers)
     o = o.join(inside.select(F.col("doi").alias("i"), F.col("there").alias("ti")), "i", "left").join(inside.select(F.col("doi").alias("j"), F.col("there").alias("tj")), "j", "left")
@@ -273,7 +273,7 @@ def citation_frequency(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
 def semantic(pairs: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
     """(i, j, name): cosine of vectors (doi, v); null if either is missing."""
     if numbered(pairs, vectors.select("doi")):
-        return meet(pairs.select(*PAIR), vectors.select("doi", F.col("v").alias(name)), vectors=(name,))
+        return meet(pairs.select(*PAIR), [vectors.select("doi", F.col("v").alias(name))], vectors=(name,))
     a, b = vectors.select(F.col("doi").alias("i"), F.col("v").alias("vi")), vectors.select(F.col("doi").alias("j"), F.col("v").alias("vj"))
     return pairs.join(a, "i", "left").join(b, "j", "left").select("i", "j", vector.cosine(F.col("vi"), F.col("vj")).alias(name))
 
@@ -338,12 +338,21 @@ def running(values: DataFrame, c: str, n: str, name: str) -> DataFrame:
     return shifted.select(c, n, (F.col("__i") + F.col("__b")).alias(name))
 
 
-def spearman_inputs(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Average ranks rx, ry of the rows that have both columns, from running counts of distinct values."""
+def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """(spearman): Pearson's coefficient of average ranks of the rows that have both columns, null as pearson() is.
+
+    Ranks come from running counts of distinct values, and what they meet is the distinct pairs of values with their numbers, not the rows.
+    """
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
 
     def ranks(c: str, name: str) -> DataFrame:
         values = running(both.groupBy(c).agg(F.count(F.lit(1)).alias("__n")), c, "__n", "__before")
         return values.select(c, (F.col("__before") + (F.col("__n") + 1) / 2).alias(name))
 
-    return both.join(ranks(x, "rx"), x).join(ranks(y, "ry"), y).select("rx", "ry")
+    met = both.groupBy(x, y).agg(F.count(F.lit(1)).alias("__m")).join(ranks(x, "rx"), x).join(ranks(y, "ry"), y)
+    met = met.join(F.broadcast(both.agg(F.count(F.lit(1)).alias("__all"))))
+    # average ranks have this mean, so those of a constant column are 0 from it
+    dx, dy = (F.col(c) - (F.col("__all") + 1) / 2 for c in ("rx", "ry"))
+    one = met.agg(F.sum("__m").alias("n"), *[F.sum(F.col("__m") * d).alias(c) for c, d in (("xy", dx * dy), ("xx", dx * dx), ("yy", dy * dy))])
+    spread = F.sqrt("xx") * F.sqrt("yy")
+    return one.select(F.when((F.col("n") >= 2) & (spread > 0), F.try_divide("xy", spread)).alias("spearman"))

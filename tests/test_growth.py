@@ -179,3 +179,42 @@ def test_sums_of_ranks_leave_links_by_blocks(spark, monkeypatch):
     far = spark.createDataFrame([(k * 10**9,) for k in range(4)], "doi long")
     ring = spark.createDataFrame([(k * 10**9, (k + 1) % 4 * 10**9) for k in range(4)], "source_doi long, target_doi long")
     assert {round(r.pagerank, 12) for r in graph.pagerank(far, ring).collect()} == {0.25} and len(plans) == 4
+
+
+def test_papers_that_are_needed_lead(spark):
+    """Tables of papers are dealt to where they are needed, never joined with each other before."""
+    pairs = spark.createDataFrame([(1, 2), (2, 40_000), (40_000, 1)], "i long, j long")
+    sets = {c: spark.createDataFrame([(1, 5), (2, 5), (2, 6), (7, 5), (None, 1)], "owner long, member long") for c in ("refs", "citers")}
+    ranks = spark.createDataFrame([(1, 0.5), (2, 0.25), (9, 0.25)], "doi long, pagerank double")
+    met = features.overlap_in_blocks(pairs, sets, (ranks,), values=("pagerank",))
+    got = {(r.i, r.j): (r.common_refs, r.n_citers_i, r.n_citers_j, r.pagerank_i, r.pagerank_j) for r in met.collect()}
+    assert got == {(1, 2): (1, 1, 2, 0.5, 0.25), (2, 40_000): (None, 2, None, 0.25, None), (40_000, 1): (None, None, 1, None, 0.5)}
+    assert "FullOuter" not in plan_of(met)
+
+
+def test_papers_of_a_block_are_dealt_by_their_number(spark, monkeypatch):
+    """A block whose citing papers are too many for a task is parted, though its pairs are few."""
+    monkeypatch.setattr(features, "HELD", 20)
+    pairs = spark.range(200).select(F.col("id").alias("i"), F.lit(7).cast("long").alias("j"))
+    values = spark.range(200).select(F.col("id").alias("doi"), (F.col("id") * 2).alias("n"))
+    met = features.meet(pairs, [values], values=("n",))
+    assert {tuple(r) for r in met.collect()} == {(k, 7, 2 * k, 14) for k in range(200)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert met.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ranks_meet_distinct_values(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 0.5, 1.5, 2.0]), rng.choice([None, 1, 2, 3, 4]), 3.0) for _ in range(500)]
+    frame = spark.createDataFrame([(x, None if y is None or x is None else y + x, z) for x, y, z in rows], "x double, y double, z double")
+    pd_rows = frame.toPandas().dropna()
+    want = pd_rows.x.rank().corr(pd_rows.y.rank())
+    found = features.spearman(frame, "x", "y")
+    assert abs(found.first()[0] - want) < 1e-12
+    # before ranks are joined, equal pairs of values are counted
+    joined = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [x#" in joined and joined.index("Join Inner") < joined.rindex("Aggregate [x#")
+    assert features.spearman(frame, "x", "z").first()[0] is None and features.spearman(frame.limit(0), "x", "y").first()[0] is None
