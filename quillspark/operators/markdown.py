@@ -124,6 +124,8 @@ def json_chunks(rows: DataFrame, key: str = "doc_id", json: str = "json", size:
 
 # Block predicates -----------------------------------------------------------------------------------------------
 
+#: Where a word begins and ends: only ASCII letters, digits and _ belong to words, as in SQL. Java's own \b counts other letters too.
+BEGIN, END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 #: The shapes of headings, entries, captions and markers.
 REF_HEADER = r"(?i)^#\s*(?:references|bibliography)(?:\s+and\s+notes?)?\s*:?\s*$"
 REF_ENTRY = r"^(?:\[\d+\]|\(\d+\)|\d+\.)\s+"
@@ -133,10 +135,10 @@ FIGURE, CAPTION, PANEL = r"(?i)(fig\.|figure)\s+\d+", r"(?i)^\s*(fig\.|figure)\s
 TABLE_CAPTION = r"(?i)^\s*table\s+\d+[\s.:]"
 NUMBERED, WANTED = r"^\d+(\.\d+)*\..+", r"(?i)^(introduction|experimental|methods?|results?|discussion|conclusions?|summary)$"
 UNWANTED, CONTACT, SUPPORT = r"^(ASSOCIATED CONTENT|AUTHOR INFORMATION|ACKNOWLEDGMENTS)$", r"(?i)^(corresponding authors?|author contributions)", r"(?i)supporting information"
-METADATA = r"(?i)(\bDOI\b|doi\.org|email:|@)"
+METADATA = rf"(?i)({BEGIN}DOI{END}|doi\.org|email:|@)"
 DISPLAY, INLINE = r"(?s)^\s*\$\$.*\$\$\s*$", r"^\s*\$[^$]{10,}\$\s*$"
-CITED, SENTENCES = r"\[\d+\]|\(\d{4}\)|\bet al\.", r"[.!?]\s+[A-Z]"
-LEGEND, SHOWN, SOURCED = r"(?i)^\s*(fig\.|figure|table)\s+\d+", r"(?i)\b(fig\.|figure)\s*\d+", r"\[\d+[\d,\s\-–]+\]|\[\d+\]"
+CITED, SENTENCES = rf"\[\d+\]|\(\d{{4}}\)|{BEGIN}et al\.", r"[.!?]\s+[A-Z]"
+LEGEND, SHOWN, SOURCED = r"(?i)^\s*(fig\.|figure|table)\s+\d+", rf"(?i){BEGIN}(fig\.|figure)\s*\d+", r"\[\d+[\d,\s\-–]+\]|\[\d+\]"
 
 
 def is_reference(c: Column, least: int = 3) -> Column:
