@@ -19,6 +19,8 @@ ROUNDS = (32, 1024, 32768, None)
 BLOCK, PART, CELLS = 2048, 1 << 14, 1 << 22
 #: Characters of the pieces that texts are looked up by, and those of a text that are cut at a time.
 GRAM, CUT = 8, 256
+#: Characters and pairs of texts of a key up to which they meet in one task, and about how many characters of such keys a task has.
+CHARS, TRIED, BUNDLE = 1 << 19, 1 << 21, 1 << 22
 
 
 def words_of(c: Column, letters: int) -> Column:
@@ -148,6 +150,44 @@ def contained(texts: DataFrame, inside: DataFrame, keys: list[str], q: int = GRA
     return met.where(F.col("outer").contains(F.col("inner"))).select(*keys, "outer", "inner")
 
 
+def within(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """(key, norm, ref_pos) of asked (key, norm) and known (key, rnorm, ref_pos), distinct and not empty: the least ref_pos whose text contains norm or is inside it.
+
+    Texts of a small key meet in a task together with other small keys, so that texts are shuffled once and never cut into pieces; those of a
+    key with more than CHARS characters or TRIED pairs are looked up by their pieces.
+    """
+    count = lambda rows, c, n: rows.groupBy(key).agg(F.count(F.lit(1)).alias(f"__{n}"), F.sum(F.length(c)).alias(f"__c{n}"))
+    sizes = count(asked, "norm", "a").join(count(known, "rnorm", "k").hint("merge"), key)
+    sizes = written(sizes.select(key, ((F.col("__ca") + F.col("__ck") > CHARS) | (F.col("__a") * F.col("__k") > TRIED)).alias("__large"), (F.col("__ca") + F.col("__ck")).alias("__c")), "within-keys")
+    told = sizes.agg(F.sum(F.when(~F.col("__large"), F.col("__c"))).alias("c"), F.count_if("__large").alias("large")).first()
+    bundle = F.pmod(F.xxhash64(key), F.lit(1 + (told["c"] or 0) // BUNDLE)).alias("__b")
+    of = lambda rows, large: rows.join(sizes.where(F.col("__large") == large).select(key).hint("merge"), key, "left_semi")
+    kinds = {c: rows.schema[c].dataType.simpleString() for rows, c in ((asked, key), (asked, "norm"), (known, "ref_pos"))}
+
+    def met(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        texts: dict = {}
+        theirs = theirs.sort_by("ref_pos")
+        for at, (k, text) in enumerate(zip(theirs[key].to_pylist(), theirs["rnorm"].to_pylist(), strict=True)):
+            texts.setdefault(k, []).append((at, text))
+        rows, found = [], []
+        for row, (k, norm) in enumerate(zip(mine[key].to_pylist(), mine["norm"].to_pylist(), strict=True)):
+            at = next((at for at, text in texts.get(k, ()) if text in norm or norm in text), None)
+            if at is not None:
+                rows.append(row)
+                found.append(at)
+        rows, found = pa.array(rows, pa.int64()), pa.array(found, pa.int64())
+        return pa.table({key: mine[key].take(rows), "norm": mine["norm"].take(rows), "ref_pos": theirs["ref_pos"].take(found)})
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())
+    small = of(asked, False).select(bundle, key, "norm").groupBy("__b").cogroup(of(known, False).select(bundle, key, "rnorm", "ref_pos").groupBy("__b")).applyInArrow(met, schema)
+    if not told["large"]:
+        return small
+    more, held = of(asked, True), of(known, True)
+    longer = contained(more.select(key, F.col("norm").alias("outer")), held.select(key, F.col("rnorm").alias("inner")), [key]).select(key, F.col("outer").alias("norm"), F.col("inner").alias("rnorm"))
+    shorter = contained(held.select(key, F.col("rnorm").alias("outer")), more.select(key, F.col("norm").alias("inner")), [key]).select(key, F.col("inner").alias("norm"), F.col("outer").alias("rnorm"))
+    return small.union(longer.union(shorter).join(held, [key, "rnorm"]).groupBy(key, "norm").agg(F.min("ref_pos").alias("ref_pos")))
+
+
 def resolve_references(raws: DataFrame, refs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, raw, ref_pos, tier) for raws (key, raw) and refs (key, ref_pos, text): the first match.
 
@@ -162,10 +202,7 @@ def resolve_references(raws: DataFrame, refs: DataFrame, key: str = "doc_id") ->
     left = written(left, "unequal")
     known = written(b.where("rnorm <> ''").groupBy(key, "rnorm").agg(F.min("ref_pos").alias("ref_pos")), "references")
     asked = left.select(key, "norm").distinct()
-    longer = contained(asked.select(key, F.col("norm").alias("outer")), known.select(key, F.col("rnorm").alias("inner")), [key]).select(key, F.col("outer").alias("norm"), F.col("inner").alias("rnorm"))
-    shorter = contained(known.select(key, F.col("rnorm").alias("outer")), asked.select(key, F.col("norm").alias("inner")), [key]).select(key, F.col("inner").alias("norm"), F.col("outer").alias("rnorm"))
-    part = longer.union(shorter).join(known, [key, "rnorm"]).groupBy(key, "norm").agg(F.min("ref_pos").alias("ref_pos"))
-    part = left.join(part, [key, "norm"]).select(key, "raw", F.lit(3).alias("tier"), "ref_pos")
+    part = left.join(within(asked, known, key), [key, "norm"]).select(key, "raw", F.lit(3).alias("tier"), "ref_pos")
     best = equal.union(part).groupBy(key, "raw").agg(F.min(F.struct("tier", "ref_pos")).alias("m"))
     return raws.select(key, "raw").distinct().join(best, [key, "raw"], "left").select(key, "raw", "m.ref_pos", "m.tier")
 
